@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from stridemap.llm import token_counts
+from stridemap.llm import exact_dedup, lang_id, token_counts
 
 QUERIES = {
+    "op2_lang_id": lang_id.op2_lang_id,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
