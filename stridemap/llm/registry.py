@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stridemap.llm import exact_dedup, lang_id, token_counts
+from stridemap.llm import exact_dedup, lang_id, packing, token_counts
 
 QUERIES = {
     "op2_lang_id": lang_id.op2_lang_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_packing": packing.op4_packing,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
