@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from stridemap.llm import exact_dedup, lang_id, packing, token_counts
+from stridemap.llm import exact_dedup, html_text, lang_id, packing, token_counts, url_filter
 
 QUERIES = {
     "op2_lang_id": lang_id.op2_lang_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
+    "op5_html_text": html_text.op5_html_text,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
+ORACLE_SQL = {
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op8_url_filter": url_filter.OP8_SQL,
+}
