@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stridemap.llm import exact_dedup, html_text, lang_id, packing, token_counts, url_filter
+from stridemap.llm import exact_dedup, html_text, lang_id, packing, token_counts, url_filter, warc_revisit
 
 QUERIES = {
+    "op1_warc_revisit": warc_revisit.op1_warc_revisit,
     "op2_lang_id": lang_id.op2_lang_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE_SQL = {
+    "op1_warc_revisit": warc_revisit.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
 }
