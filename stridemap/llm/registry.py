@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stridemap.llm import exact_dedup, html_text, lang_id, packing, token_counts, url_filter, warc_revisit
+from stridemap.llm import decontamination, exact_dedup, html_text, lang_id, packing, token_counts, url_filter, warc_revisit
 
 QUERIES = {
     "op1_warc_revisit": warc_revisit.op1_warc_revisit,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_html_text": html_text.op5_html_text,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE_SQL = {

@@ -16,6 +16,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _TABLE[_SPACE] = 0
 _LOWER = _TABLE.copy()
 _LOWER[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
+#: ASCII punctuation also parts words of this kind, and A-Z are hashed as a-z.
+_PARTS = _SPACE.copy()
+_PARTS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+_FOLDED = np.where(_PARTS, np.uint64(0), _LOWER)
+KINDS = {"plain": (_TABLE, _SPACE), "lower": (_LOWER, _SPACE), "folded": (_FOLDED, _PARTS)}
 _BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
 _STEP = 0xD1342543DE82EF95
@@ -45,31 +50,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, kind: str = "plain") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, offsets of the rows' words, byte at which each word starts) over rows of bytes.
 
-    ``lower`` hashes A-Z as a-z. Long inputs are hashed in blocks; a word across blocks is summed over them.
+    ``kind``: "plain", "lower" (A-Z hashed as a-z) or "folded" (also parted at ASCII punctuation). Long inputs are hashed in blocks; a word across blocks is summed over them.
     """
     total = len(raw)
     if not total:
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), np.empty(0, np.int64)
-    inside = ~_SPACE[raw]
+    table, parts = KINDS[kind]
+    inside = ~parts[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < total]
     begins[first] = inside[first]
     starts = np.flatnonzero(begins)
     row_words = np.searchsorted(starts, offsets).astype(np.int64)
-    table = _LOWER if lower else _TABLE
     hashes = np.zeros(len(starts), dtype=np.uint64)
     for at in range(0, total, _BLOCK):
         part = table[raw[at : at + _BLOCK]] * _UP[: min(_BLOCK, total - at)]
         a, b = np.searchsorted(starts, [at, at + _BLOCK])
         here = starts[a:b] - at
         if a and (not len(here) or here[0]):  # the word that began in an earlier block goes on
-            rest = part[: here[0] if len(here) else None].sum(dtype=np.uint64)
+            rest = int(part[: here[0] if len(here) else None].sum(dtype=np.uint64))
             back = at - int(starts[a - 1])
-            hashes[a - 1] += rest * np.uint64(pow(_BASE, back, 1 << 64))
+            hashes[a - 1] = (int(hashes[a - 1]) + rest * pow(_BASE, back, 1 << 64)) % (1 << 64)
         if len(here):
             hashes[a:b] += np.add.reduceat(part, here) * _DOWN[here]
     return mix(hashes), row_words, starts
