@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stridemap.llm import decontamination, exact_dedup, html_text, lang_id, ngram_join, packing, token_counts, url_filter, warc_revisit
+from stridemap.llm import decontamination, exact_dedup, html_text, lang_id, ngram_join, packing, substring_dedup, token_counts, url_filter, warc_revisit
 
 QUERIES = {
     "op1_warc_revisit": warc_revisit.op1_warc_revisit,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_html_text": html_text.op5_html_text,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_token_counts": token_counts.op10_token_counts,
@@ -19,5 +20,6 @@ ORACLE_SQL = {
     "op1_warc_revisit": warc_revisit.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_url_filter": url_filter.OP8_SQL,
 }
