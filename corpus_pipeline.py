@@ -1,9 +1,77 @@
-"""Corpus pipeline (being laid down)."""
+"""A corpus from raw documents to packed sequences: each stage works on all that the one before it kept.
 
-STAGES = []
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of ``documents``. Documents are
+dropped by anti-joins with the ids that a stage rejects, which are broadcast only while they are few.
+
+Rows that share an id are kept or dropped together by the stages that tell documents by their id alone (n-gram join: kept if one
+of them stays; decontamination: dropped if one of them holds a test item). A null id is an id like any other.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stridemap.llm import decontamination, exact_dedup, lang_id, ngram_join, packing
+from stridemap.runtime import materialize, small_side
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in ``ids`` (column ``gone``)."""
+    ids = small_side(materialize(ids, "gone"), 24)
+    return docs.select(*COLUMNS).join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the labels teach."""
+    return lang_id.known_language(docs)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the longest as written, then the one with the smallest id."""
+    found = exact_dedup.exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("gone_sha"))
+    found = small_side(materialize(found.distinct(), "copies"), 120)
+    bare = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), " \t\n\x0b\x0c\r", ""), 256)
+    same = docs["doc_id"].eqNullSafe(found["gone"]) & (bare == F.col("gone_sha"))
+    return docs.select(*COLUMNS).join(found, same, "left_anti")
+
+
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id."""
+    found = ngram_join.ngram_components(docs)
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = found.groupBy("doc_id").agg(stays.alias("stays")).where(~F.col("stays"))
+    return _without(docs, gone.select(F.col("doc_id").alias("gone")))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.select(F.col("doc_id").alias("gone")).distinct())
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all remaining documents."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup_stage),
+    ("ngram_join", ngram_join_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: Language identification, the n-gram join's components and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The documents as they are, until stages exist."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's result but the last is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -134,7 +134,7 @@ def train(labelled: DataFrame) -> dict[str, list[float]]:
     return {r["lang"]: [x["x"] for x in r["v"]] for r in sorted(rows, key=lambda r: r["lang"])}
 
 
-def _predict(prototypes: dict[str, list[float]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict(prototypes: dict[str, list[float]], text: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*prototypes, UNKNOWN], dtype=object)
         profile = np.array(list(prototypes.values()), dtype=np.float64).reshape(len(prototypes), DIMENSIONS)
@@ -148,9 +148,9 @@ def _predict(prototypes: dict[str, list[float]]) -> Callable[[Iterator[pa.Record
                 cosines = (sums @ profile.T.astype(np.float32)) / np.maximum(norms, 1e-12)[:, None]
                 best[known] = cosines[known].argmax(axis=1)
                 score[known] = np.clip(cosines[known].max(axis=1), 0, 1)
+            others = [k for k in part.schema.names if text or k != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(k) for k in part.schema.names if k != "text"), pa.array(names[best], pa.string()), pa.array(score, pa.float64())],
-                names=[*(k for k in part.schema.names if k != "text"), "lang_pred", "score"],
+                [*(part.column(k) for k in others), pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=[*others, "lang_pred", "score"]
             )
 
     return run
@@ -163,6 +163,23 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
+#: A text of at least so many code points whose cosine stays under this is in none of the learned languages.
+SURE_CHARS, LEAST_SCORE = 100, 0.1
+
+
+def known_language(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, lang, source, n_chars) without those in no learned language.
+
+    A document goes if its text has no letter, or if it has SURE_CHARS code points and a score under LEAST_SCORE; a short text's score
+    says too little. The prototypes are learned from ``docs``.
+    """
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang", "source", "n_chars")
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes) + ", lang_pred string, score double"
+    judged = rows.mapInArrow(_predict(learned(rows), text=True), schema)
+    rejected = (F.col("lang_pred") == UNKNOWN) | ((F.length("text") >= SURE_CHARS) & (F.col("score") < LEAST_SCORE))
+    return judged.where(~rejected).drop("lang_pred", "score")
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a document is kept from training: crc32 of the id's text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
