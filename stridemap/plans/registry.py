@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from stridemap.plans import walk_queries
 
 FLAGSHIP = "rarity"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = dict(walk_queries.QUERIES)
+ORACLE_SQL = dict(walk_queries.ORACLE_SQL)
