@@ -14,7 +14,7 @@ from stridemap.plans.lens import scans as looks_of
 REACH_S = 3600
 
 
-def _r(*names: str, digits: int = 6) -> list:
+def _r(*names: str, digits: int = 9) -> list:
     return [F.round(n, digits).alias(n) for n in names]
 
 
@@ -212,7 +212,7 @@ def network_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROLLUP_SQL = f"""WITH {PLACED_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY run, key ORDER BY strength DESC, t, pos) AS nth,
   count(DISTINCT scan_id) OVER w AS seen, min(t) OVER w AS first_t, max(t) OVER w AS last_t, bool_or(connected) OVER w AS con, min(pos) OVER w AS first_pos
   FROM placed WINDOW w AS (PARTITION BY run, key))
-SELECT run, key, seen, first_t, last_t, t AS best_t, seg, round(fraction, 6) AS fraction, strength AS best, con AS connected,
+SELECT run, key, seen, first_t, last_t, t AS best_t, seg, round(fraction, 9) AS fraction, strength AS best, con AS connected,
   row_number() OVER (PARTITION BY run ORDER BY seg, o.fraction, first_pos) AS ord FROM o WHERE nth = 1"""
 
 _DIST = "6371000.0::DOUBLE * sqrt(pow(radians({0} - {2}), 2) + pow(radians({1} - {3}) * cos(radians(({0} + {2}) / 2)), 2))"
@@ -225,7 +225,7 @@ def centroid_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CENTROID_SQL = f"""WITH {PLACED_SQL}, m AS (SELECT run, key, sum(w * lat) / sum(w) AS est_lat, sum(w * lon) / sum(w) AS est_lon, avg(lat) AS p_lat, avg(lon) AS p_lon,
   count(*) AS sightings FROM placed GROUP BY run, key)
-SELECT p.run, p.key, sightings, round(any_value(est_lat), 6) AS est_lat, round(any_value(est_lon), 6) AS est_lon,
+SELECT p.run, p.key, sightings, round(any_value(est_lat), 9) AS est_lat, round(any_value(est_lon), 9) AS est_lon,
   round(sum(w * {_DIST.format("est_lat", "est_lon", "lat", "lon")}) / sum(w), 4) AS spread_m, round(avg({_DIST.format("p_lat", "p_lon", "lat", "lon")}), 4) AS plain_spread_m,
   sightings < 3 AS few_sightings FROM placed p JOIN m ON p.run = m.run AND p.key = m.key GROUP BY p.run, p.key, sightings"""
 
@@ -238,7 +238,7 @@ def centroid_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROUTE_SQL = f"""WITH {PLACED_SQL}, s AS (SELECT run, key, stretch, row_number() OVER (PARTITION BY run, key ORDER BY round(sum(w), 12) DESC, min(t)) AS nth FROM placed GROUP BY run, key, stretch),
 c AS (SELECT p.* FROM placed p JOIN s ON p.run = s.run AND p.key = s.key AND p.stretch = s.stretch AND nth = 1),
 m AS (SELECT run, key, sum(w * along) / sum(w) AS mid, avg(along) AS p_at, count(*) AS sightings FROM c GROUP BY run, key)
-SELECT c.run, c.key, stretch, sightings, round(any_value(mid), 6) AS "at", round(sum(w * abs(along - mid)) / sum(w), 6) AS spread, round(avg(abs(along - p_at)), 6) AS plain_spread,
+SELECT c.run, c.key, stretch, sightings, round(any_value(mid), 9) AS "at", round(sum(w * abs(along - mid)) / sum(w), 9) AS spread, round(avg(abs(along - p_at)), 9) AS plain_spread,
   sightings < 3 AS few_sightings FROM c JOIN m ON c.run = m.run AND c.key = m.key GROUP BY c.run, c.key, stretch, sightings"""
 
 
@@ -250,7 +250,7 @@ def pass_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 PASSES_SQL = f"""WITH {PLACED_SQL}, p AS (SELECT run, stretch, seg, forward, key, sum(w * along) / sum(w) AS mid FROM placed GROUP BY ALL),
 k AS (SELECT run, stretch, key, count(*) AS n, max(mid) - min(mid) AS r, avg(mid) FILTER (forward) AS there, avg(mid) FILTER (NOT forward) AS back FROM p GROUP BY ALL),
 q AS (SELECT run, stretch, count(DISTINCT seg) AS passes FROM p GROUP BY ALL HAVING count(DISTINCT seg) > 1)
-SELECT k.run, k.stretch, passes, count(*) AS shared, round(avg(r), 6) AS disagreement, round(avg(there - back) / 2, 6) AS shift
+SELECT k.run, k.stretch, passes, count(*) AS shared, round(avg(r), 9) AS disagreement, round(avg(there - back) / 2, 9) AS shift
 FROM k JOIN q ON k.run = q.run AND k.stretch = q.stretch WHERE n > 1 GROUP BY ALL"""
 
 
@@ -300,7 +300,7 @@ def _held_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 def similarity(spark: SparkSession, sf_dir: str, by_signal: bool = False) -> DataFrame:
     rows = matching.similarities(*_held_out(spark, sf_dir), by_signal=by_signal)
-    top = Window.partitionBy("query").orderBy(F.round("score", 6).desc(), "fp_id")
+    top = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "fp_id")
     return rows.withColumn("nth", F.row_number().over(top)).where("nth <= 5").select("query", "fp_id", "nth", *_r("score"))
 
 
@@ -322,7 +322,7 @@ sim AS (SELECT query, met.fp_id, round(inter / (wq + wf - inter), 9) AS score, r
 
 
 def _top_sql(column: str) -> str:
-    return f"""WITH {SIM_SQL}, o AS (SELECT query, fp_id, round({column}, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round({column}, 6) DESC, fp_id) AS nth FROM sim)
+    return f"""WITH {SIM_SQL}, o AS (SELECT query, fp_id, round({column}, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY round({column}, 9) DESC, fp_id) AS nth FROM sim)
 SELECT query, fp_id, nth, score FROM o WHERE nth <= 5"""
 
 
@@ -364,8 +364,8 @@ def locate_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _located(spark, sf_dir, by_signal=True)
 
 
-ANSWER_SQL = """SELECT a.query, a.stretch, round(a.fraction, 6) AS fraction, round(a.lat, 6) AS lat, round(a.lon, 6) AS lon, round(a.best, 6) AS score, a.matches,
-  round(list_sum([x.s * abs(x.f - a.fraction) FOR x IN a.m]) / list_sum([x.s FOR x IN a.m]), 6) AS spread, CASE WHEN a.share < 0.6 THEN b.stretch END AS alternative
+ANSWER_SQL = """SELECT a.query, a.stretch, round(a.fraction, 9) AS fraction, round(a.lat, 9) AS lat, round(a.lon, 9) AS lon, round(a.best, 9) AS score, a.matches,
+  round(list_sum([x.s * abs(x.f - a.fraction) FOR x IN a.m]) / list_sum([x.s FOR x IN a.m]), 9) AS spread, CASE WHEN a.share < 0.6 THEN b.stretch END AS alternative
 FROM rk a LEFT JOIN rk b ON a.query = b.query AND b.rank = 2 WHERE a.rank = 1"""
 _ALIKE = LOCATE_SQL.replace("CASE WHEN df > coalesce(own, 0) THEN ln(1 + (n - own_n)::DOUBLE / (df - coalesce(own, 0))) ELSE ln(1 + n - own_n) END AS w", "1.0::DOUBLE AS w")
 _SIGNAL = LOCATE_SQL.replace("coalesce(s.score, 0) AS score", "coalesce(s.by_signal, 0) AS score")
@@ -373,7 +373,7 @@ _SIGNAL = LOCATE_SQL.replace("coalesce(s.score, 0) AS score", "coalesce(s.by_sig
 
 def stretch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matching.stretch_lines(fingerprints(events(spark, sf_dir))[0])
-    return rows.select("stretch", *_r("lat_slope", "lat_0", "lon_slope", "lon_0"))
+    return rows.select("stretch", *_r("lat_slope", "lat_0", "lon_slope", "lon_0", digits=6))
 
 
 def anti_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,17 +407,17 @@ ORACLE_SQL = {
     "carry_outing": CARRY_SQL, "walk_order": WALKS_SQL, "last_walks": LAST_WALK_SQL, "merged_cycles": MERGED_SQL, "open_networks": OPEN_SQL, "first_seen": FIRST_SQL,
     "sessions": SESSIONS_SQL, "assoc_changes": ASSOC_SQL, "failure_runs": FAILURES_SQL, "debounce": DEBOUNCE_SQL, "clock_drift": DRIFT_SQL, "outing_summaries": SUMMARY_SQL,
     "answer_changes": CHANGES_SQL, "announcements": ANNOUNCE_SQL,
-    "scan_turnover": f"WITH {STEPS_SQL} SELECT run, seg, scan_id, span, hole, round(step, 6) AS step FROM step",
-    "place_by_clock": f"""WITH {CLOCK_SQL} SELECT run, scan_id, t, seg, start_name, end_name, round(fraction, 6) AS fraction,
-        round(start_lat + (end_lat - start_lat) * fraction, 6) AS lat, round(start_lon + (end_lon - start_lon) * fraction, 6) AS lon FROM clock""",
-    "place_by_movement": f"WITH {MOVE_SQL} SELECT run, scan_id, seg, round(fraction, 6) AS fraction FROM move",
+    "scan_turnover": f"WITH {STEPS_SQL} SELECT run, seg, scan_id, span, hole, round(step, 9) AS step FROM step",
+    "place_by_clock": f"""WITH {CLOCK_SQL} SELECT run, scan_id, t, seg, start_name, end_name, round(fraction, 9) AS fraction,
+        round(start_lat + (end_lat - start_lat) * fraction, 9) AS lat, round(start_lon + (end_lon - start_lon) * fraction, 9) AS lon FROM clock""",
+    "place_by_movement": f"WITH {MOVE_SQL} SELECT run, scan_id, seg, round(fraction, 9) AS fraction FROM move",
     "outside_route": f"""WITH {LOOKS_SQL}, b AS (SELECT run, min(t) AS a, max(t) AS z FROM wp WHERE ord BETWEEN 1 AND 3 GROUP BY run)
         SELECT scan.run, count(*) FILTER (t < a) AS before, count(*) FILTER (t > z) AS after FROM scan JOIN b ON scan.run = b.run GROUP BY ALL""",
     "network_rollup": ROLLUP_SQL, "centroid_map": CENTROID_SQL, "centroid_route": ROUTE_SQL, "pass_compare": PASSES_SQL, "route_stretches": STRETCH_SQL, "check_pace": PACE_SQL,
-    "map_fingerprints": f"""WITH {FPS_SQL} SELECT fp_id, grp, walk, t, stretch, round(fraction, 6) AS fraction, round(lat, 6) AS lat, round(lon, 6) AS lon,
+    "map_fingerprints": f"""WITH {FPS_SQL} SELECT fp_id, grp, walk, t, stretch, round(fraction, 9) AS fraction, round(lat, 9) AS lat, round(lon, 9) AS lon,
         round(length_m, 2) AS length_m FROM fps""",
     "map_summary": f"WITH {FPS_SQL} SELECT count(*) AS fingerprints, count(DISTINCT walk) AS walks, count(DISTINCT stretch) AS stretches, count(DISTINCT grp) AS outings FROM fps",
-    "rarity": f"WITH {FPS_SQL} SELECT key, count(*) AS df, round(ln(1 + (SELECT count(*) FROM fps)::DOUBLE / count(*)), 6) AS weight FROM fk GROUP BY key",
+    "rarity": f"WITH {FPS_SQL} SELECT key, count(*) AS df, round(ln(1 + (SELECT count(*) FROM fps)::DOUBLE / count(*)), 9) AS weight FROM fk GROUP BY key",
     "similarity": _top_sql("score"), "similarity_signal": _top_sql("by_signal"),
     "looks": f"WITH {BESIDE_SQL} SELECT query, walk, stretch, round(fraction, 4) AS fraction, score, best FROM look",
     "locate": f"WITH {LOCATE_SQL} {ANSWER_SQL}", "locate_alike": f"WITH {_ALIKE} {ANSWER_SQL}", "locate_signal": f"WITH {_SIGNAL} {ANSWER_SQL}",
