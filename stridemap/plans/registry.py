@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stridemap.plans import walk_queries
+from stridemap.plans import answer_queries, walk_queries
 
-FLAGSHIP = "rarity"
-QUERIES = dict(walk_queries.QUERIES)
-ORACLE_SQL = dict(walk_queries.ORACLE_SQL)
+FLAGSHIP = "place_by_movement"
+QUERIES = walk_queries.QUERIES | answer_queries.QUERIES
+ORACLE_SQL = walk_queries.ORACLE_SQL | answer_queries.ORACLE_SQL
