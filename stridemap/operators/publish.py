@@ -28,7 +28,7 @@ def crossing(key: bytes, name: Column) -> Column:
     """A crossing's pseudonym, street by street if it is a corner; a comma stays one. Spellings that fold alike are one street."""
     two = halves(name)
     street = lambda s: pseudonym(key, "street", folded(s))
-    corner = F.concat(street(two[0]), F.when(F.instr(name, ",") > 0, ", ").otherwise(" y "), street(two[1]))
+    corner = F.concat(street(F.get(two, F.lit(0))), F.when(F.instr(name, ",") > 0, ", ").otherwise(" y "), street(F.get(two, F.lit(1))))
     return F.when(two.isNotNull(), corner).otherwise(pseudonym(key, "place", folded(name)))
 
 

@@ -46,12 +46,12 @@ h AS (SELECT n_nationkey, k2, name, CASE WHEN len(p) = 2 AND trim(p[1]) <> '' AN
 
 def corner_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = exprs.halves(F.col("name"))
-    return _corners(spark, sf_dir).select("n_nationkey", "k2", "name", two[0].alias("first"), two[1].alias("second"))
+    return _corners(spark, sf_dir).select("n_nationkey", "k2", "name", F.get(two, F.lit(0)).alias("first"), F.get(two, F.lit(1)).alias("second"))
 
 
 def confusable(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _corners(spark, sf_dir).withColumn("t", exprs.halves(F.col("name")))
-    rows = rows.select(exprs.folded(F.col("name")).alias("folded"), exprs.folded(F.col("t")[0]).alias("fold_a"), exprs.folded(F.col("t")[1]).alias("fold_b"))
+    rows = rows.select(exprs.folded(F.col("name")).alias("folded"), exprs.folded(F.get("t", F.lit(0))).alias("fold_a"), exprs.folded(F.get("t", F.lit(1))).alias("fold_b"))
     return geo.confusable(rows)
 
 

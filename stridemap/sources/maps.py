@@ -76,8 +76,8 @@ LAYERS = {"street": 2, "road": 2, "river": 2, "building": 3, "water": 3, "park":
 def _points(v: Column, path: str, least: int) -> Column:
     """An array of [lat, lon] pairs; broken pairs are dropped, and a shape with too few left is null."""
     items = F.try_variant_get(v, path, "array<array<double>>")
-    good = F.filter(items, lambda p: (F.size(p) == 2) & p[0].between(-90, 90) & p[1].between(-180, 180))
-    points = F.transform(good, lambda p: F.struct(p[0].alias("lat"), p[1].alias("lon")))
+    good = F.filter(items, lambda p: (F.size(p) == 2) & F.get(p, F.lit(0)).between(-90, 90) & F.get(p, F.lit(1)).between(-180, 180))
+    points = F.transform(good, lambda p: F.struct(F.get(p, F.lit(0)).alias("lat"), F.get(p, F.lit(1)).alias("lon")))
     return F.when(F.size(points) >= least, points)
 
 
