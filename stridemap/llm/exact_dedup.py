@@ -110,9 +110,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     recipes = materialize(rows.mapInArrow(_recipes, _RECIPE), "recipes")
     recipes = _verified(recipes).select("id", "chars", "text_sha256", "recipe")
-    best = F.max(F.struct(F.col("chars"), F.col("id").isNotNull().alias("named"), (-F.col("id")).alias("back")))
+    best = F.max(F.struct(F.col("chars"), F.col("id").isNotNull().alias("named"), F.bitwise_not("id").alias("back")))
     groups = recipes.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select(F.col("recipe").alias("of"), (-F.col("best.back")).alias("keep_id"), F.col("best.chars").alias("most"), "group_size")
+    groups = groups.select(F.col("recipe").alias("of"), F.bitwise_not("best.back").alias("keep_id"), F.col("best.chars").alias("most"), "group_size")
     joined = recipes.join(groups, F.col("recipe") == F.col("of"))
     return joined.select(
         F.col("id").alias(id_col),
