@@ -63,7 +63,7 @@ def variant(digest: bytes) -> int:
     return int.from_bytes(digest[:4], "little") >> 1
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _documents(batches: Iterator[pa.RecordBatch], most: int = LOOK) -> Iterator[pa.RecordBatch]:
     """id, v, n_words, sha, and anchors: ``asked`` (met once in this look), ``known`` (met again in it)."""
     held: list[tuple[pa.Array, list[int], list[int], list[str], list[np.ndarray]]] = []
     count = 0
@@ -111,7 +111,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append(values)
             count += len(values)
         held.append((part.column("id"), v, n, sha, found))
-        if count > LOOK:
+        if count > most:
             yield from look()
             seen.clear()
             count = 0
@@ -124,15 +124,18 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not got:
         return
     a, ids, v = (np.concatenate([g[k] for g in got]) for k in range(3))
-    order = np.argsort(a, kind="stable")
+    order = np.lexsort((v, ids, a))
     a, ids, v = a[order], ids[order], v[order]
+    fresh = np.ones(len(a), bool)  # copies of one document ask as that document
+    fresh[1:] = (a[1:] != a[:-1]) | (ids[1:] != ids[:-1]) | (v[1:] != v[:-1])
+    a, ids, v = a[fresh], ids[fresh], v[fresh]
     first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
     width = np.diff(np.r_[first, len(a)])
     good = np.repeat(width > 1, width) & (v >= 0)
     yield pa.RecordBatch.from_arrays([pa.array(ids[good]), pa.array(v[good]), pa.array(a[good])], names=["id", "v", "a"])
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paths(batches: Iterator[pa.RecordBatch], most: int = LOOK) -> Iterator[pa.RecordBatch]:
     """Suffixes whose anchors were met: (p, w, id, v, start, length).
 
     A row with length 0 is a suffix that is the first of its path in this look; one with a length is a run of windows
@@ -189,7 +192,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, _ = windows(words, whole, WINDOW, salt=3)
             held.append((id_, v, start.astype(np.int32), p[start].view(np.int64), w[start].view(np.int64)))
             count += len(start)
-        if count > LOOK:
+        if count > most:
             yield from look()
             count = 0
     yield from look()
@@ -262,29 +265,29 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256, starts and ends of the removed spans (in words)."""
-    spark = docs.sparkSession
+    spark, most = docs.sparkSession, LOOK
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     rows = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _documents, "id long, v int, n_words long, sha string, asked array<long>, known array<long>"
+        lambda batches: _documents(batches, most), "id long, v int, n_words long, sha string, asked array<long>, known array<long>"
     )
     base = materialize(base.withColumnRenamed("id", "own").withColumn("id", F.coalesce("own", F.lit(_LAST))), "documents")
     # Copies of whole documents: all their windows begin earlier in the first of them.
     copies = base.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     copies = small_side(materialize(copies.select(F.col("sha").alias("of"), "first"), "copies"), 100)
     base = base.join(copies, F.col("sha") == F.col("of"), "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
-    base = base.drop("of", "first")
-    # Anchors in more than one place. A later copy's anchors count only through the first.
-    asked = base.where(~F.col("copy")).select(F.explode("asked").alias("a"), "id", "v")
+    base = base.withColumn("first", F.coalesce("first", "id")).drop("of")
+    # Anchors in more than one place. A copy's anchors are those of the first of its documents, whichever row sent them.
+    asked = base.select(F.explode("asked").alias("a"), F.col("first").alias("id"), "v")
     marks = base.select(F.explode("known").alias("a")).distinct().select("a", F.lit(0).cast("long"), F.lit(-1))
     met = asked.union(marks).repartition("a").mapInArrow(_met, "id long, v int, a long")
-    known = base.where(~F.col("copy")).select("id", "v", F.explode("known").alias("a"))
+    known = base.select(F.col("first").alias("id"), "v", F.explode("known").alias("a"))
     met = met.union(known).groupBy("id", "v").agg(F.collect_set("a").alias("met"))
     met = materialize(met, "met")
     total = met.agg(F.sum(32 + 8 * F.size("met"))).first()[0] or 0
     some = _sided(met, total)
     texts = rows.join(some, "id").select("id", "v", "text", "met")
-    paths = materialize(texts.mapInArrow(_paths, "p long, w long, id long, v int, start int, length int"), "paths")
+    paths = materialize(texts.mapInArrow(lambda batches: _paths(batches, most), "p long, w long, id long, v int, start int, length int"), "paths")
     suffixes = paths.where("length = 0").select("p", "w", "id", "v", "start")
     groups = max(1, -(-suffixes.count() // GROUP), int(spark.conf.get("spark.sql.shuffle.partitions")))
     deep = suffixes.repartitionByRange(groups, "p", "w").mapInArrow(_subtree, "id long, v int, start int, length int")
@@ -295,7 +298,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = _sided(spans, total)
     left = rows.join(some, "id").select("id", "v", "text", "starts", "ends").mapInArrow(_kept, "id long, v int, removed long, left_sha string")
     left = materialize(left.dropDuplicates(["id", "v"]), "left")
-    out = base.drop("asked", "known").join(left, ["id", "v"], "left").join(spans, ["id", "v"], "left")
+    out = base.drop("asked", "known", "first").join(left, ["id", "v"], "left").join(spans, ["id", "v"], "left")
     whole = lambda n: F.array(F.lit(n).cast("int"))
     return out.select(
         F.col("own").alias(id_col), "n_words",
