@@ -2,8 +2,8 @@
 
 Words are runs of characters other than white space and ASCII punctuation, A-Z as a-z. Every run of SEED words of a test
 item is a seed (an item with fewer words is one seed). A first pass over all documents counts in how many documents
-each seed occurs. Of an item's seeds the rarer half stays, and whatever else occurs in at most one of RARE documents, so
-that each item keeps seeds even if it leaked into very many documents. A second pass looks the seeds up in all
+each seed occurs. Of an item's seeds that occur at all the rarer two thirds stay (four at least), and whatever else occurs in at most one of
+RARE documents, so that each item keeps seeds even if it leaked into very many documents. A second pass looks the seeds up in all
 documents; where at least two different seeds of an item lie together (all, if it has fewer), and enough of the
 item's words are there, the passage is aligned with the item word by word. The score is the alignment's, of the
 item's with itself; pairs from THRESHOLD on are returned.
@@ -79,18 +79,18 @@ def seeds_of(items: list[np.ndarray]) -> list[Seeds]:
 
 
 def rare_seeds(seeds: list[Seeds], df: dict[int, int], documents: int) -> list[Seeds]:
-    """The rarer half of each item's seeds and all that are in at most one of RARE documents. ``df`` has unsigned hashes."""
+    """The rarer two thirds of each item's seeds that occur, and all that are in at most one of RARE documents. ``df`` has unsigned hashes."""
     out = []
     for s in seeds:
         n = np.array([df.get(int(h), 0) for h in s.all])
-        keep = n * RARE <= documents
-        order = np.lexsort((s.offset, n, s.item))
+        met = n > 0
+        order = np.lexsort((s.offset, n, ~met, s.item))  # of each item the seeds that occur, the rarest first
         rank = np.empty(len(order), dtype=np.int64)
-        starts = np.searchsorted(s.item[order], s.item[order])
-        rank[order] = np.arange(len(order)) - starts
-        total = np.bincount(s.item, minlength=s.item.max() + 1)[s.item]
-        keep |= rank < np.maximum((total + 1) // 2, 2)
-        out.append(Seeds(s.size, [(int(h), int(i), int(o)) for h, i, o in zip(s.all[keep], s.item[keep], s.offset[keep], strict=True)]))
+        rank[order] = np.arange(len(order)) - np.searchsorted(s.item[order], s.item[order])
+        total = np.bincount(s.item, weights=met, minlength=s.item.max() + 1)[s.item]
+        keep = met & ((n * RARE <= documents) | (rank < np.maximum(np.ceil(total * 2 / 3), 4)))
+        if keep.any():
+            out.append(Seeds(s.size, [(int(h), int(i), int(o)) for h, i, o in zip(s.all[keep], s.item[keep], s.offset[keep], strict=True)]))
     return out
 
 
