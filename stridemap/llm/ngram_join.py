@@ -80,7 +80,7 @@ def class_of(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little") >> 1, int.from_bytes(digest[8:], "little") >> 1
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], local: int = LOCAL) -> Iterator[pa.RecordBatch]:
     """id, n, cls, check; for the first row of a class in its look also the prefix, parted into narrow and wide columns."""
     held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]] = []
     seen: set[int] = set()
@@ -89,7 +89,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def look() -> Iterator[pa.RecordBatch]:
         flat = np.concatenate([np.empty(0, np.int64), *(p for h in held for p in h[4])])
         keys, counts = np.unique(flat, return_counts=True)
-        wide = keys[counts > LOCAL]
+        wide = keys[counts > local]
         for ids, n, cls, check, prefixes in held:
             sizes = np.array([len(p) for p in prefixes])
             values = np.concatenate([np.empty(0, np.int64), *prefixes])
@@ -125,7 +125,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from look()
 
 
-def _block_product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_product(batches: Iterator[pa.RecordBatch], widest: int = WIDE) -> Iterator[pa.RecordBatch]:
     """A block of columns (s, cls, n; a mark has n 0): overlap counts of pairs, and the classes of wide columns.
 
     Rows out: (a, b, na, nb, c) for a pair; (a, s, na, 0, 0) for a class a in a wide column s.
@@ -145,7 +145,7 @@ def _block_product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     width = np.diff(np.r_[first, len(s)])
     marked = np.add.reduceat(mark, first) > 0
-    is_wide = marked | (width > WIDE)
+    is_wide = marked | (width > widest)
     rows = np.flatnonzero(np.repeat(is_wide, width) & ~mark)
     if len(rows):
         yield _rows(names[who[rows]], s[rows], size[who[rows]], np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64))
@@ -158,7 +158,7 @@ def _block_product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         codes, at = np.unique(np.concatenate([total[0], codes]), return_inverse=True)
         return codes, np.bincount(at, weights=np.concatenate([total[1], counts]), minlength=len(codes)).astype(np.int64)
 
-    for w in range(2, WIDE + 1):
+    for w in range(2, widest + 1):
         at = first[(width == w) & ~is_wide]
         i, j = np.triu_indices(w, 1)
         step = max(1, 2_000_000 // len(i))
@@ -276,7 +276,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of ``docs``: id, n_shingles, component_id, class_id (equal shingle sets; null without shingles)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, n long, cls long, check long, narrow array<long>, wide array<long>"
-    sets = materialize(rows.mapInArrow(_sets, schema), "sets")
+    local = LOCAL
+    sets = materialize(rows.mapInArrow(lambda batches: _sets(batches, local), schema), "sets")
     classes = sets.where("n > 0").groupBy("cls").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), (F.min("check") == F.max("check")).alias("one")
     )
@@ -300,7 +301,8 @@ def candidate_ties(sets: DataFrame, classes: DataFrame) -> DataFrame:
     narrow = sets.where(F.size("narrow") > 0).select(F.explode("narrow").alias("s"), "cls", "n")
     marks = sets.where(F.size("wide") > 0).select(F.explode("wide").alias("s")).distinct()
     columns = narrow.union(marks.select("s", F.lit(-1).cast("long"), F.lit(0).cast("long")))
-    blocks = columns.repartition("s").mapInArrow(_block_product, "a long, b long, na long, nb long, c long")
+    widest = WIDE
+    blocks = columns.repartition("s").mapInArrow(lambda batches: _block_product(batches, widest), "a long, b long, na long, nb long, c long")
     blocks = materialize(blocks, "products")
     # Classes in wide columns, and how many of their columns are wide.
     met = blocks.where("nb = 0").select(F.col("a").alias("cls"), F.col("b").alias("s"), F.col("na").alias("n"))
