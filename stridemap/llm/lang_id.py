@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from stridemap.llm.batches import slices, text_bytes
 
 #: Elements of a vector; classes that hash the code points' letters.
-DIMENSIONS, CLASSES = 1024, 1024
+DIMENSIONS, CLASSES = 2048, 1024
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -164,18 +164,19 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str =
 
 
 #: A text of at least so many code points whose cosine stays under this is in none of the learned languages.
-SURE_CHARS, LEAST_SCORE = 100, 0.1
+SURE_CHARS, LEAST_SCORE = 100, 0.05
 
 
 def known_language(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, n_chars) without those in no learned language.
 
     A document goes if its text has no letter, or if it has SURE_CHARS code points and a score under LEAST_SCORE; a short text's score
-    says too little. The prototypes are learned from ``docs``.
+    says too little. The prototypes are learned from all of ``docs`` that have a label.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang", "source", "n_chars")
     schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes) + ", lang_pred string, score double"
-    judged = rows.mapInArrow(_predict(learned(rows), text=True), schema)
+    prototypes = train(rows.where(F.col("lang").isNotNull()))
+    judged = rows.mapInArrow(_predict(prototypes, text=True), schema)
     rejected = (F.col("lang_pred") == UNKNOWN) | ((F.length("text") >= SURE_CHARS) & (F.col("score") < LEAST_SCORE))
     return judged.where(~rejected).drop("lang_pred", "score")
 
