@@ -101,13 +101,18 @@ def fingerprints(result: Reconciliation) -> tuple[DataFrame, DataFrame]:
     return fps.drop("fp_id").withColumnRenamed("fp_new", "fp_id"), keys
 
 
-def check(fps: DataFrame, keys: DataFrame, by_signal: bool = False, order: str | None = None, pace: bool = False, reach_s: int = C.ONE_LOOK_S) -> tuple[DataFrame, DataFrame]:
+def check(
+    fps: DataFrame, keys: DataFrame, by_signal: bool = False, order: str | None = None, pace: bool = False, calibrate: bool = False, along_levels: bool = False,
+    reach_s: int = C.ONE_LOOK_S,
+) -> tuple[DataFrame, DataFrame]:
     """(report, jumps) of a map with each outing held out; ``order``: None, "tie" or "path"."""
     queries = fps.select(F.col("fp_id").alias("query"), "grp")
-    asked = keys.withColumnRenamed("fp_id", "query")
+    asked = corrected_keys(fps, keys)[0] if calibrate else keys.withColumnRenamed("fp_id", "query")
     scores = materialize(matching.similarities(fps, keys, queries, asked, by_signal), "scores")
     ranked = materialize(matching.candidates(matching.looks(scores, fps, reach_s), fps), "ranked")
     answers = settled(ranked, fps, order)
+    if along_levels:
+        answers = held_out_levels(answers, fps, keys, asked)
     if pace:
         timed = answers.join(fps.select(F.col("fp_id").alias("query"), F.col("grp").alias("run"), "t"), "query").withColumn("seq", F.col("query"))
         moved = sequence.paced(timed).select("query", F.col("fraction").alias("moved"))
@@ -134,6 +139,19 @@ def held_out_lines(fps: DataFrame) -> DataFrame:
     return lines.withColumn("grp", F.split("stretch", "\0")[0]).withColumn("stretch", F.split("stretch", "\0")[1])
 
 
+def corrected_keys(fps: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query keys, offsets): the map's own looks with their levels corrected by what each held-out run teaches about its card."""
+    queries = fps.select(F.col("fp_id").alias("query"), "grp")
+    asked = keys.withColumnRenamed("fp_id", "query")
+    found = matching.locate(fps, keys, queries, asked)
+    runs = fps.select(F.col("grp").alias("run"), "grp", F.col("fp_id").alias("seq"), F.col("fp_id").alias("query"))
+    pairs = sequence.calibration_pairs(found.join(runs, "query"), fps, keys, asked)
+    offsets = materialize(sequence.running_offsets(pairs, runs.drop("grp")), "offsets")
+    moved = asked.join(offsets.select("query", "offset"), "query", "left")
+    level = F.coalesce(F.bround(F.col("strength") - F.col("offset")), F.col("strength"))
+    return moved.select("query", "key", level.alias("strength")), offsets
+
+
 def settled(ranked: DataFrame, fps: DataFrame, order: str | None) -> DataFrame:
     """Locations of the first candidates, or of those that the scans before them settle on."""
     if order is None:
@@ -145,6 +163,21 @@ def settled(ranked: DataFrame, fps: DataFrame, order: str | None) -> DataFrame:
     return places.join(chosen.select("query", "other"), "query").withColumn("alternative", F.when(~F.col("scattered"), F.col("other"))).drop("other")
 
 
+def held_out_levels(answers: DataFrame, fps: DataFrame, keys: DataFrame, asked: DataFrame) -> DataFrame:
+    """Answers placed on the level curves of the map without their own group."""
+    groups = fps.select(F.col("grp").alias("held")).distinct()
+    rest = fps.join(groups, F.col("grp") != F.col("held"))
+    named = rest.withColumn("stretch", F.concat_ws("\0", "held", "stretch")).withColumn("copy", F.concat_ws("\0", "held", F.col("fp_id").cast("string")))
+    theirs = keys.where("strength is not null").join(named.select("fp_id", "copy"), "fp_id").drop("fp_id").withColumnRenamed("copy", "fp_id")
+    curve = materialize(levels.curves(named.drop("fp_id").withColumnRenamed("copy", "fp_id"), theirs), "curves")
+    own = answers.join(fps.select(F.col("fp_id").alias("query"), F.col("grp").alias("own")), "query").withColumn("stretch", F.concat_ws("\0", "own", "stretch"))
+    moved = levels.place(own, curve, asked.where("strength is not null")).withColumnRenamed("fraction", "moved")
+    lines = held_out_lines(fps)
+    rows = answers.join(moved, "query", "left").join(fps.select(F.col("fp_id").alias("query"), "grp"), "query").join(lines, ["grp", "stretch"], "left")
+    on = lambda c: F.when(F.col("moved").isNotNull() & F.col(c).isNotNull(), F.col(f"{c}_0") + F.col(f"{c}_slope") * F.col("moved")).otherwise(F.col(c))
+    return rows.withColumn("lat", on("lat")).withColumn("lon", on("lon")).withColumn("fraction", F.coalesce("moved", "fraction")).select(answers.columns)
+
+
 def place_on_levels(answers: DataFrame, fps: DataFrame, keys: DataFrame, query_keys: DataFrame) -> DataFrame:
     """Answers moved to where the levels fit best; those without curves stay."""
     moved = levels.place(answers, levels.curves(fps, keys), query_keys).withColumnRenamed("fraction", "fitted")

@@ -75,6 +75,7 @@ def test_located_query(world, spark):
     [
         ({}, (136, 8, 18, 17, 23, 21, 69, 12, 22, 129)),
         ({"by_signal": True}, (139, 5, 17, 17, 23, 22, None, 14, 9, 132)),
+        ({"by_signal": True, "calibrate": True}, (138, 6, 17, 17, 23, 22, None, 13, 9, 131)),
         ({"order": "tie"}, (136, 8, 18, 17, 23, 21, 69, 12, 22, 129)),
         ({"order": "path"}, (135, 9, 18, 17, 24, 22, 68, 12, 23, 128)),
         ({"order": "tie", "pace": True}, (136, 8, 17, 18, 23, 23, 71, 11, 6, 129)),
@@ -88,3 +89,13 @@ def test_held_out_map(world, how, want):
         r["within_band"] if want[6] is not None else None, round(r["pulled_in_m"]), s["fast"], s["steps"],
     )
     assert got == want and r["wrong_stretch"] == r["not_on_map"] == 0
+
+
+def test_what_a_card_learns(world):
+    offsets = [r["offset"] for r in walk.corrected_keys(world[4], world[5])[1].collect() if r["offset"] is not None]
+    assert len(offsets) == 100 and sorted(offsets)[50] == 0.5
+
+
+def test_along_levels(world):
+    r = walk.check(world[4], world[5], along_levels=True)[0].first()
+    assert (round(r["mean_m"]), round(r["median_m"])) == (23, 21)
