@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridemap import constants as C
-from stridemap.functions.exprs import distance_m, fold, project
+from stridemap.functions.exprs import distance_m, folded, project
 from stridemap.operators.components import connected_components
 
 POINT = "struct<lat:double,lon:double>"
@@ -174,13 +174,11 @@ NAME_TAGS = ("name", "alt_name", "short_name", "official_name", "name:es", "loc_
 NOT_STREETS = ("footway", "path", "steps", "cycleway", "construction", "proposed", "platform", "bus_guideway", "raceway")
 
 
-def ways_by_street(ways: DataFrame, wanted: list[str]) -> DataFrame:
-    """(street, way_id, nodes): each way under the first of its names that is wanted, compared folded. ``ways``: way_id, tags (map), nodes."""
-    from stridemap.functions.exprs import folded
-
-    keys = sorted({fold(w) for w in wanted})
+def ways_by_street(ways: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(street, way_id, nodes): each way under the first of its names that is wanted. ``ways``: way_id, tags (map), nodes; ``wanted``: street (folded)."""
     named = ways.withColumn("t", F.explode(F.array(*(F.struct(F.lit(k).alias("p"), F.col("tags")[tag].alias("n")) for k, tag in enumerate(NAME_TAGS)))))
-    named = named.where("t.n is not null").withColumn("street", folded("t.n")).where(F.col("street").isin(keys))
+    named = named.where("t.n is not null and not coalesce(array_contains(array('" + "','".join(NOT_STREETS) + "'), tags['highway']), false)")
+    named = named.withColumn("street", folded("t.n")).join(wanted.select("street").distinct(), "street", "left_semi")
     return named.groupBy("way_id").agg(F.min_by(F.struct("street", "nodes"), "t.p").alias("m")).select("m.street", "way_id", "m.nodes")
 
 
