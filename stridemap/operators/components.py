@@ -15,10 +15,10 @@ from stridemap.runtime import materialize
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) edges of comparable ids -> (node, component): the least node of each component, for every node with an edge."""
-    edges = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    edges = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges", few=True)
     before = None
     while True:
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        edges = materialize(_small_star(_large_star(edges)), "stars", few=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only while its measured rows stay under this many bytes.
 BROADCAST_BYTES = 48 * 1024 * 1024
+#: Row groups of intermediate tables: a writing task holds one in memory.
+ROW_GROUP_BYTES = 32 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,16 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_ROOTS: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/stridemap/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder; it goes when the driver ends, or by ``clear_scratch``."""
+    root = f"{shared_dir(spark)}/stridemap/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(clear_scratch, spark)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that still read them must have been written before."""
+    with contextlib.suppress(Exception):  # at the end of a driver the session may be gone
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stridemap/{spark.sparkContext.applicationId}")
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+
+def materialize(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With ``few`` the rows of a shuffle go into a few files for each core of the cluster instead of one for each shuffle partition.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    if few:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
