@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose id is in ``ids`` (column ``gone``)."""
-    ids = small_side(materialize(ids, "gone"), 24)
+    ids = small_side(materialize(ids, "gone", few=True), 24)
     return docs.select(*COLUMNS).join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
 
 
@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the longest as written, then the one with the smallest id."""
     found = exact_dedup.exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("gone_sha"))
-    found = small_side(materialize(found.distinct(), "copies"), 120)
+    found = small_side(materialize(found.distinct(), "copies", few=True), 120)
     bare = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), " \t\n\x0b\x0c\r", ""), 256)
     same = docs["doc_id"].eqNullSafe(found["gone"]) & (bare == F.col("gone_sha"))
     return docs.select(*COLUMNS).join(found, same, "left_anti")

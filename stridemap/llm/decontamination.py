@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemap.llm.batches import slices, text_bytes
+from stridemap.llm.batches import bounded, slices, text_bytes
 from stridemap.llm.words import windows, word_hashes
 
 #: Words of a seed; a seed in at most one of so many documents is rare; items of a block.
@@ -215,7 +215,7 @@ def contaminated(
     item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, score (0 to 1), first_word, end_word."""
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = spark.createDataFrame([], PAIRS)
     block: list[tuple[int | None, str]] = []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemap.llm.batches import slices
+from stridemap.llm.batches import bounded, slices
 
 #: Gaussian kernel: lines on either side, and its standard deviation in lines.
 RADIUS, SIGMA = 2, 1.0
@@ -167,7 +167,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    rows = pages.select(
+    rows = bounded(pages).select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")
     )
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

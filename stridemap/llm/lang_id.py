@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemap.llm.batches import slices, text_bytes
+from stridemap.llm.batches import bounded, slices, text_bytes
 
 #: Elements of a vector; classes that hash the code points' letters.
 DIMENSIONS, CLASSES = 2048, 1024
@@ -127,7 +127,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(labelled: DataFrame) -> dict[str, list[float]]:
     """The prototype of each language from (lang, text): one vector a language, which is all that comes to the driver."""
-    partial = labelled.select("lang", "text").mapInArrow(_train, "lang string, v array<double>")
+    partial = bounded(labelled).select("lang", "text").mapInArrow(_train, "lang string, v array<double>")
     # Sums of whole numbers below 2**53: the order of the tasks can't change them.
     parts = partial.select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
     rows = parts.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).collect()
@@ -158,7 +158,7 @@ def _predict(prototypes: dict[str, list[float]], text: bool = False) -> Callable
 
 def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, lang_pred, score (cosine with the prototype, 0 at least)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(_predict(prototypes), "id long, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
@@ -173,7 +173,7 @@ def known_language(docs: DataFrame) -> DataFrame:
     A document goes if its text has no letter, or if it has SURE_CHARS code points and a score under LEAST_SCORE; a short text's score
     says too little. The prototypes are learned from all of ``docs`` that have a label.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang", "source", "n_chars")
+    rows = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"), "lang", "source", "n_chars")
     schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes) + ", lang_pred string, score double"
     prototypes = train(rows.where(F.col("lang").isNotNull()))
     judged = rows.mapInArrow(_predict(prototypes, text=True), schema)

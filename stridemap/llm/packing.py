@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemap.llm.batches import slices
+from stridemap.llm.batches import bounded, slices
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -223,7 +223,7 @@ def pack_documents(
 
     ``tiers`` are powers of two in rising order.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_pack_task(json_path, ranks_path, tiers), SCHEMA)
 
 
