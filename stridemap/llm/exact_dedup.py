@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stridemap.llm.batches import slices, text_bytes
+from stridemap.llm.batches import bounded, slices, text_bytes
 from stridemap.runtime import materialize
 
 #: Mean bytes of a chunk (a power of two), and the most.
@@ -87,12 +87,12 @@ def _verified(recipes: DataFrame) -> DataFrame:
     """
     pairs = recipes.select(F.explode(F.arrays_zip("chunks", "digests")).alias("z")).select("z.chunks", "z.digests")
     clash = pairs.groupBy("chunks").agg(F.min("digests").alias("low"), F.max("digests").alias("high")).where("low <> high")
-    clash = materialize(clash.select("chunks"), "clashes")
+    clash = materialize(clash.select("chunks"), "clashes", few=True)
     if clash.isEmpty():  # what is expected below some 2**32 distinct chunks
         return recipes.withColumn("recipe", F.col("chunks"))
     ranked = pairs.join(clash, "chunks").distinct()
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("chunks").orderBy("digests")).cast("long"))
-    ranked = materialize(ranked, "ranked")
+    ranked = materialize(ranked, "ranked", few=True)
     keyed = recipes.withColumn("row", F.monotonically_increasing_id())
     keyed = materialize(keyed, "keyed")
     parts = keyed.select("row", F.posexplode(F.arrays_zip("chunks", "digests")).alias("pos", "z")).select("row", "pos", "z.chunks", "z.digests")
@@ -107,7 +107,7 @@ def _verified(recipes: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 (of the text without white space)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     recipes = materialize(rows.mapInArrow(_recipes, _RECIPE), "recipes")
     recipes = _verified(recipes).select("id", "chars", "text_sha256", "recipe")
     best = F.max(F.struct(F.col("chars"), F.col("id").isNotNull().alias("named"), F.bitwise_not("id").alias("back")))
