@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemap.llm.batches import list_column, slices, text_bytes
+from stridemap.llm.batches import bounded, list_column, slices, text_bytes
 from stridemap.operators.components import connected_components
 from stridemap.llm.words import windows, word_hashes
 from stridemap.runtime import materialize, small_side
@@ -274,16 +274,16 @@ TIES = "candidate long, block long, a long, b long"
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, class_id (equal shingle sets; null without shingles)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, n long, cls long, check long, narrow array<long>, wide array<long>"
     local = LOCAL
     sets = materialize(rows.mapInArrow(lambda batches: _sets(batches, local), schema), "sets")
     classes = sets.where("n > 0").groupBy("cls").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), (F.min("check") == F.max("check")).alias("one")
     )
-    classes = materialize(classes.withColumn("one", F.expr("if(one, one, raise_error('two shingle sets share a class digest'))")), "classes")
+    classes = materialize(classes.withColumn("one", F.expr("if(one, one, raise_error('two shingle sets share a class digest'))")), "classes", few=True)
     ties = candidate_ties(sets, classes)
-    links = materialize(exact_ties(rows, classes, ties), "links")
+    links = materialize(exact_ties(rows, classes, ties), "links", few=True)
     components = connected_components(links)  # exact ties: stars already, unless a candidate was split
     named = classes.select("cls", "rep").join(components.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("component", F.coalesce("component", "cls"))
@@ -303,12 +303,12 @@ def candidate_ties(sets: DataFrame, classes: DataFrame) -> DataFrame:
     columns = narrow.union(marks.select("s", F.lit(-1).cast("long"), F.lit(0).cast("long")))
     widest = WIDE
     blocks = columns.repartition("s").mapInArrow(lambda batches: _block_product(batches, widest), "a long, b long, na long, nb long, c long")
-    blocks = materialize(blocks, "products")
+    blocks = materialize(blocks, "products", few=True)
     # Classes in wide columns, and how many of their columns are wide.
     met = blocks.where("nb = 0").select(F.col("a").alias("cls"), F.col("b").alias("s"), F.col("na").alias("n"))
     met = met.union(sets.where(F.size("wide") > 0).select("cls", F.explode("wide").alias("s"), "n"))
-    met = materialize(met.distinct(), "wide")
-    wide = materialize(met.groupBy("cls").agg(F.count("*").alias("h"), F.first("n").alias("n")), "widths")
+    met = materialize(met.distinct(), "wide", few=True)
+    wide = materialize(met.groupBy("cls").agg(F.count("*").alias("h"), F.first("n").alias("n")), "widths", few=True)
     h = small_side(wide.select(F.col("cls").alias("k"), "h"), 16)
     pairs = blocks.where("nb > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     pairs = pairs.join(h.withColumnsRenamed({"k": "ka", "h": "ha"}), F.col("a") == F.col("ka"), "left")
@@ -320,7 +320,7 @@ def candidate_ties(sets: DataFrame, classes: DataFrame) -> DataFrame:
     kept = pairs.where(F.col("c") + hidden >= bound).select("a", "b")
     # Classes that wide columns may link: one tie for each of their wide columns.
     broad = wide.where(F.col("h") >= F.floor(F.col("n") / 16) + 1).select("cls")
-    among = materialize(met.join(broad, "cls", "left_semi").select("s", "cls", "n"), "broad")
+    among = materialize(met.join(broad, "cls", "left_semi").select("s", "cls", "n"), "broad", few=True)
     hubs = among.groupBy("s").agg(F.min("cls").alias("hub"))
     stars = among.join(hubs, "s").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
     return kept.union(stars)
@@ -329,30 +329,30 @@ def candidate_ties(sets: DataFrame, classes: DataFrame) -> DataFrame:
 def exact_ties(rows: DataFrame, classes: DataFrame, ties: DataFrame) -> DataFrame:
     """(a, b): ties that connect exactly the linked classes."""
     found = connected_components(ties).select(F.col("node").alias("cls"), F.col("component").alias("candidate"))
-    wanted = materialize(found.join(classes, "cls").select("cls", "candidate", "rep", "n"), "wanted")
+    wanted = materialize(found.join(classes, "cls").select("cls", "candidate", "rep", "n"), "wanted", few=True)
     sizes = wanted.groupBy("candidate").agg(F.ceil(F.sum("n") / CAP).alias("blocks"))
-    wanted = materialize(wanted.join(sizes, "candidate").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))), "blocks")
+    wanted = materialize(wanted.join(sizes, "candidate").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))), "blocks", few=True)
     chosen = small_side(wanted.select("cls", "candidate", "block", "rep"), 32)
     texts = rows.join(chosen, rows["id"].eqNullSafe(chosen["rep"])).select("candidate", "block", "cls", "text")
     schema = "candidate long, block long, cls long, shingles array<long>"
     whole = materialize(texts.mapInArrow(_resets, schema), "whole")
-    first = materialize(whole.groupBy("candidate", "block").applyInArrow(_search, TIES), "first")
+    first = materialize(whole.groupBy("candidate", "block").applyInArrow(_search, TIES), "first", few=True)
     ties = first.select("a", "b")
     split = wanted.where("blocks > 1")
     if split.isEmpty():
         return ties
-    whole = whole.join(split.select("candidate", "blocks").distinct(), "candidate")
+    whole = whole.join(split.select("candidate", "blocks", few=True).distinct(), "candidate")
     # Samples of the blocks' components: their first classes are searched together.
     heads = whole.join(first.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi").withColumn("block", F.lit(-1).cast("long"))
     again = heads.select(*schema_names(schema)).groupBy("candidate", "block").applyInArrow(_search, TIES)
     merged = connected_components(ties.union(again.select("a", "b")))
     # What isn't in a candidate's largest component is held against every block, at most CAP shingles at a time.
     placed = whole.join(merged.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    placed = materialize(placed, "placed")
+    placed = materialize(placed, "placed", few=True)
     counts = placed.groupBy("candidate", "component").agg(F.count("*").alias("k"))
     largest = counts.groupBy("candidate").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
     rest = placed.join(largest, "candidate").where("component <> largest")
-    rest = materialize(rest, "rest")
+    rest = materialize(rest, "rest", few=True)
     chunks = rest.groupBy("candidate").agg(F.ceil(F.sum(F.size("shingles")) / CAP).alias("chunks"))
     rest = rest.join(chunks, "candidate").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")))
     pieces = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -369,4 +369,18 @@ def schema_names(schema: str) -> list[str]:
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under links of 0.75 or more."""
-    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_id")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b)
+SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
