@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemap.llm.batches import list_column, slices, text_bytes
+from stridemap.llm.batches import bounded, list_column, slices, text_bytes
 from stridemap.llm.words import windows, word_hashes
 from stridemap.runtime import BROADCAST_BYTES, materialize, small_side
 
@@ -265,7 +265,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256, starts and ends of the removed spans (in words)."""
-    spark, most = docs.sparkSession, LOOK
+    spark, most = bounded(docs).sparkSession, LOOK
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     rows = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
@@ -274,8 +274,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = materialize(base.withColumnRenamed("id", "own").withColumn("id", F.coalesce("own", F.lit(_LAST))), "documents")
     # Copies of whole documents: all their windows begin earlier in the first of them.
     copies = base.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    copies = small_side(materialize(copies.select(F.col("sha").alias("of"), "first"), "copies"), 100)
-    base = base.join(copies, F.col("sha") == F.col("of"), "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
+    copies = small_side(materialize(copies.select(F.col("sha").alias("of"), "first"), "copies", few=True), 100)
+    base = base.join(copies, F.col("sha") == F.col("of"), "left", few=True).withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
     base = base.withColumn("first", F.coalesce("first", "id")).drop("of")
     # Anchors in more than one place. A copy's anchors are those of the first of its documents, whichever row sent them.
     asked = base.select(F.explode("asked").alias("a"), F.col("first").alias("id"), "v")
@@ -283,22 +283,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = asked.union(marks).repartition("a").mapInArrow(_met, "id long, v int, a long")
     known = base.select(F.col("first").alias("id"), "v", F.explode("known").alias("a"))
     met = met.union(known).groupBy("id", "v").agg(F.collect_set("a").alias("met"))
-    met = materialize(met, "met")
+    met = materialize(met, "met", few=True)
     total = met.agg(F.sum(32 + 8 * F.size("met"))).first()[0] or 0
     some = _sided(met, total)
-    texts = rows.join(some, "id").select("id", "v", "text", "met")
+    texts = rows.join(some, "id").select("id", "v", "text", "met", few=True)
     paths = materialize(texts.mapInArrow(lambda batches: _paths(batches, most), "p long, w long, id long, v int, start int, length int"), "paths")
     suffixes = paths.where("length = 0").select("p", "w", "id", "v", "start")
     groups = max(1, -(-suffixes.count() // GROUP), int(spark.conf.get("spark.sql.shuffle.partitions")))
     deep = suffixes.repartitionByRange(groups, "p", "w").mapInArrow(_subtree, "id long, v int, start int, length int")
     runs = deep.union(paths.where("length > 0").select("id", "v", "start", "length"))
     spans = runs.groupBy("id", "v").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
-    spans = materialize(spans.mapInArrow(_merged, "id long, v int, starts array<int>, ends array<int>"), "spans")
+    spans = materialize(spans.mapInArrow(_merged, "id long, v int, starts array<int>, ends array<int>"), "spans", few=True)
     total = spans.agg(F.sum(48 + 8 * F.size("starts"))).first()[0] or 0
     some = _sided(spans, total)
     left = rows.join(some, "id").select("id", "v", "text", "starts", "ends").mapInArrow(_kept, "id long, v int, removed long, left_sha string")
-    left = materialize(left.dropDuplicates(["id", "v"]), "left")
-    out = base.drop("asked", "known", "first").join(left, ["id", "v"], "left").join(spans, ["id", "v"], "left")
+    left = materialize(left.dropDuplicates(["id", "v"]), "left", few=True)
+    out = base.drop("asked", "known", "first").join(left, ["id", "v"], "left", few=True).join(spans, ["id", "v"], "left", few=True)
     whole = lambda n: F.array(F.lit(n).cast("int"))
     return out.select(
         F.col("own").alias(id_col), "n_words",
@@ -317,3 +317,14 @@ def _sided(df: DataFrame, total_bytes: int) -> DataFrame:
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated windows of 20 words over all documents."""
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("starts", "ends")
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END AS g FROM t),
+f AS (SELECT doc_id, i, word, g IS NOT NULL AND row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM g),
+c AS (SELECT doc_id, i, word, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""

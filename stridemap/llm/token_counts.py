@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemap.llm.batches import slices
+from stridemap.llm.batches import bounded, slices
 from stridemap.runtime import materialize, scratch_path, small_side
 
 LONG = 200_000
@@ -95,7 +95,7 @@ def count_tokens(
     ``cache_path`` is a Parquet table in a place that all executors reach; it is read if it exists, and the counts
     of texts that it lacks are appended.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("_id"), text.alias("text")).withColumn("content", F.unhex(F.sha2(F.col("text"), 256)))
     tokenizer = tokenizer_digest(model_path)
@@ -103,7 +103,7 @@ def count_tokens(
     # Of each digest one row, told by its id; no text moves for this.
     wanted = keyed.groupBy("content").agg(F.min("_id").alias("_id"))
     stored = _cache(spark, cache_path).where(F.col("tokenizer") == tokenizer).select("content")
-    misses = materialize(wanted.join(stored, "content", "left_anti"), "misses")
+    misses = materialize(wanted.join(stored, "content", "left_anti"), "misses", few=True)
     # A row for each distinct missing text is encoded where it lies, if the list of misses is small; else texts move once.
     chosen = small_side(misses.withColumnsRenamed({"content": "c", "_id": "i"}), 96)
     texts = keyed.join(chosen, (F.col("content") == F.col("c")) & F.col("_id").eqNullSafe(F.col("i")), "left_semi")
