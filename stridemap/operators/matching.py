@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from stridemap import constants as C
 from stridemap.functions.exprs import distance_m
+from stridemap.runtime import materialize
 
 #: Decimals to which scores are rounded before they are ranked, so that the order of summing can't decide a tie.
 DECIMALS = 9
+#: Up to so many held-out groups, every fingerprint is weighed once for each of them.
+FEW_GROUPS = 100
 
 
 def rarity(fp_keys: DataFrame, fps: DataFrame) -> DataFrame:
@@ -58,13 +61,18 @@ def similarities(fps: DataFrame, fp_keys: DataFrame, queries: DataFrame, query_k
     df = fp_keys.groupBy("key").agg(F.countDistinct("fp_id").alias("df"))
     asked = weighted(query_keys.join(queries, "query").select("query", "grp", "key", "strength"), own, rest, df, by_rarity)
     totals = asked.groupBy("query").agg(F.sum("weight").alias("wq"))
-    # A fingerprint's total weight depends on the group that is left out.
-    sums = weighted(fp_keys.select("fp_id", "key").crossJoin(F.broadcast(groups)), own, rest, df, by_rarity)
-    sums = sums.groupBy("grp", "fp_id").agg(F.sum("weight").alias("wf"))
     there = fp_keys.join(fps.select("fp_id", F.col("grp").alias("fp_grp")), "fp_id").select("fp_id", "fp_grp", "key", F.col("strength").alias("theirs"))
     met = asked.join(there, "key").where("grp <> fp_grp").groupBy("query", "grp", "fp_id").agg(
         F.sum("weight").alias("inter"), F.avg(F.abs(F.col("strength") - F.col("theirs"))).alias("off")
     )
+    # A fingerprint's total weight depends on the group that is left out: for a few groups it is summed for each, for many only for
+    # those groups that met it (which takes the pairs twice, so they are written once).
+    if groups.count() <= FEW_GROUPS:
+        needed = fp_keys.select("fp_id", "key").crossJoin(F.broadcast(groups))
+    else:
+        met = materialize(met, "met")
+        needed = met.select("grp", "fp_id").distinct().join(fp_keys.select("fp_id", "key"), "fp_id")
+    sums = weighted(needed, own, rest, df, by_rarity).groupBy("grp", "fp_id").agg(F.sum("weight").alias("wf"))
     score = F.col("inter") / (F.col("wq") + F.col("wf") - F.col("inter"))
     if by_signal:
         score = score * F.coalesce(F.exp(-F.col("off") / C.RSSI_SCALE), F.lit(C.SIGNAL_UNKNOWN))

@@ -44,7 +44,9 @@ def test_other_cards_and_holes_say_nothing(spark):
     assert [r["step"] for r in rows] == [None, 1.0, None, 1.0, None] and rows[-1]["hole"]
 
 
-def test_rarity_and_similarity(spark):
+@pytest.mark.parametrize("few", [100, 0])
+def test_rarity_and_similarity(spark, monkeypatch, few):
+    monkeypatch.setattr(matching, "FEW_GROUPS", few)
     fps = spark.createDataFrame([(i, "m", f"w{i}", i, "a|b", 0.5, None, None, 100.0) for i in range(1, 5)], "fp_id long, grp string, walk string, t long, stretch string, fraction double, lat double, lon double, length_m double")
     keys = spark.createDataFrame([(i, k, -60.0) for i, ks in enumerate(("AB", "AB", "AB", "AZ"), 1) for k in ks], "fp_id long, key string, strength double")
     got = {r["key"]: r["weight"] for r in matching.rarity(keys, fps).collect()}
