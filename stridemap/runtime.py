@@ -58,12 +58,12 @@ def materialize(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows times ``row_bytes`` stay under ``limit``, else as it is.
+def small_side(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows times ``row_bytes`` stay under ``limit`` (BROADCAST_BYTES), else as it is.
 
     ``df`` should be materialised: it is counted once and read again by the join.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    return F.broadcast(df) if df.count() * row_bytes <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def ship(spark: SparkSession) -> None:
