@@ -176,6 +176,28 @@ def test_substring_dedup(spark, monkeypatch, limit):
     assert got == brute_substrings(list(enumerate(texts)))
 
 
+def test_joins_without_broadcast(spark, monkeypatch):
+    """All that is broadcast while it is small gives the same where it is not."""
+    import public_tokenizers as p
+
+    from stridemap import runtime
+
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = corpus(13, 30)
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(table(spark, texts)).collect()}
+        assert got == brute_substrings(list(enumerate(texts)))
+        links = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(table(spark, texts)).collect()}
+        assert links == dict(enumerate(brute_links(texts)))
+        counts = token_counts.count_tokens(table(spark, texts), p.path("piece_bpe_32k.model"), scratch_path(spark, "cache")).collect()
+        assert len(counts) == len(texts) and all(r["n_bytes"] == len((texts[r["doc_id"]] or "").encode()) for r in counts)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_substring_dedup_of_odd_tables(spark):
     assert substring_dedup.substring_dedup(table(spark, ["a"]).where("false")).collect() == []
     long = " ".join(str(k) for k in range(30))
