@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stridemap.functions import exprs
@@ -212,7 +212,7 @@ SELECT line_id, round(a_lat + (b_lat - a_lat) * least(1, (goal - (upto - d)) / d
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _points(spark, sf_dir).where("point_id % 5 = 0")
+    rows = _points(spark, sf_dir)
     return rows.select(F.col("point_id").alias("place_id"), (F.col("lat") + 0.00011).alias("lat"), (F.col("lon") + 0.00013).alias("lon"))
 
 
@@ -232,10 +232,12 @@ FROM b WHERE nth = 1"""
 
 
 def block_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _points(spark, sf_dir)
-    one = at.where("point_id % 10 = 2").select(F.col("grp").alias("pair_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    two = at.where("point_id % 10 = 7").select(F.col("grp").alias("pair_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    rows = geo.blocks(one.join(two, "pair_id"), _lines(spark, sf_dir))
+    """The block from every point of a line to the next; a pair has the id of its first point."""
+    after = Window.partitionBy("grp").orderBy("point_id")
+    at = _points(spark, sf_dir).select(
+        F.col("point_id").alias("pair_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.lead("lat").over(after).alias("b_lat"), F.lead("lon").over(after).alias("b_lon"),
+    )
+    rows = geo.blocks(at.where(F.col("b_lat").isNotNull()), _lines(spark, sf_dir))
     return rows.select("pair_id", "line_id", F.size("points").alias("points"), F.round("length_m", 3).alias("length_m"))
 
 
