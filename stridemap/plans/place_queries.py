@@ -57,8 +57,7 @@ def confusable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    name = F.array_join(F.slice(F.split("text", r"[ \n]"), 1, 4), " ")
-    return docs.select("doc_id", name.alias("name")).select("doc_id", exprs.folded(F.col("name")).alias("folded"))
+    return docs.select("doc_id", exprs.folded(F.col("text")).alias("folded"))
 
 
 def html_line(spark: SparkSession, sf_dir: str) -> DataFrame:
