@@ -135,8 +135,8 @@ SUMMARY_SQL = f"""WITH {E_SQL} SELECT run, min(t) AS first_t, max(t) AS last_t,
 
 
 def answer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.lower(F.substring("text", 1, 1)).alias("first"))
-    return scans.changes(talk, ["first"], ["conv_id"], ["turn"])
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.sha2("text", 256).alias("text_sha256"))
+    return scans.changes(talk, ["text_sha256"], ["conv_id"], ["turn"])
 
 
 CHANGES_SQL = """WITH c AS (SELECT conv_id, turn, lower(substr(text, 1, 1)) AS first FROM conversations),
