@@ -4,14 +4,14 @@ The standard library's parser streams a page as events. They are gathered into l
 text and its tags. A line's ratio is its characters for each tag; lines in menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments have none. The ratios are smoothed with a Gaussian over neighbouring lines, and
 lines above a threshold (the standard deviation, and never above the greatest smoothed ratio) form clusters. The
-container (article or main element, else the body) with most clustered text is the article: all its lines that are
-not set aside are returned, so that short paragraphs and headings between long ones stay. In a page without such containers it is
+containers (article or main elements) are the article if one of them has clustered text: all their lines that are
+not set aside are returned, so that short paragraphs, headings and short articles stay. In a page without such containers it is
 the clustered lines and the lines with few links between them.
 
 Defined results: a null or empty page has the empty text. White space (as ``str.split`` has it) inside a line becomes one
 space, lines are trimmed, empty ones left out, the rest joined by one line feed. Unclosed and stray tags are
 taken as browsers do in the common cases: a block start closes an open paragraph, an end tag closes up to its
-start, a stray end tag is skipped. Nothing is cut off. Repeated rows and null ids get a row each. An empty table
+start, a stray end tag is skipped, an open head ends at the first text or tag that no head holds. Nothing is cut off. Repeated rows and null ids get a row each. An empty table
 gives no rows. Extra columns, whatever their names, are ignored.
 """
 
@@ -35,6 +35,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Tags that leave a head open.
+HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style head title noscript template iframe object svg math canvas audio video select datalist button textarea option".split())
 ASIDE = frozenset("nav footer aside form menu dialog".split())
@@ -62,6 +64,9 @@ class Lines(HTMLParser):
     def state(self) -> tuple[bool, bool, int]:
         return self.open[-1][1:] if self.open else (False, False, 0)
 
+    def in_head(self) -> bool:
+        return bool(self.open) and self.open[-1][0] == "head"
+
     def flush(self) -> None:
         _, aside, root = self.state()
         text = " ".join("".join(self.text).split())
@@ -71,6 +76,8 @@ class Lines(HTMLParser):
         self.text = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body" or (tag not in HEAD and self.in_head()):
+            self.close_to("head")
         silent, aside, root = self.state()
         if tag in BLOCKS:
             self.flush()
@@ -112,6 +119,8 @@ class Lines(HTMLParser):
         self.close_to(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.in_head() and data.strip():
+            self.close_to("head")
         if not self.state()[0]:
             self.text.append(data)
             if any(o[0] == "a" for o in self.open[-3:]):
@@ -141,13 +150,8 @@ def main_text(html: str | None) -> str:
     chosen = (ratios >= min(ratios.std(), ratios.max())) & (sizes > 0)
     if not chosen.any():  # only set-aside lines are near the peak
         chosen = sizes > 0
-    weight: dict[int, float] = {}
-    for k in np.flatnonzero(chosen).tolist():
-        weight[lines[k][3]] = weight.get(lines[k][3], 0) + sizes[k]
-    if any(weight):
-        best = max(w for root, w in weight.items() if root)
-        roots = {root for root, w in weight.items() if root and 4 * w >= best}
-        keep = [root in roots and not aside for _, _, _, root, aside in lines]
+    if any(lines[k][3] for k in np.flatnonzero(chosen)):
+        keep = [root > 0 and not aside for _, _, _, root, aside in lines]
     else:
         at = np.flatnonzero(chosen)
         keep = [

@@ -1,6 +1,22 @@
 """Cuts that lost text from the corpus or pairs from the join."""
 
-from stridemap.llm import decontamination
+from stridemap.llm import decontamination, html_text
+
+
+def test_an_open_head_ends_where_the_body_starts():
+    said = "A long enough paragraph of plain words."
+    for page in (
+        f"<html><head><title>t</title><meta charset=utf-8><body><p>{said}</p></body></html>", f"<head><title>t</title><style>p{{}}</style><p>{said}", f"<head><title>t</title> <div><p>{said}</div>",
+        f"<head><title>t</title>{said}<p>", f"<head><noscript><img src=x></noscript><title>t</title><body>{said}",
+    ):
+        assert html_text.main_text(page) == said
+    assert html_text.main_text(f"<head><title>t</title><script>x</script></head><body>{said}") == said
+
+
+def test_a_short_article_beside_a_long_one_stays():
+    long, short = "Many words of a long article. " * 40, "A short one."
+    page = f"<body><nav>Menu</nav><article><p>{long}</p></article><article><p>{short}</p></article><article class=x><nav>no</nav></article><footer>f</footer></body>"
+    assert html_text.main_text(page) == f"{long.strip()}\n{short}"
 
 
 def test_repeated_words_of_an_item_count_by_position(spark):
