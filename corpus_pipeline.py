@@ -4,7 +4,8 @@ Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last retur
 dropped by anti-joins with the ids that a stage rejects, which are broadcast only while they are few.
 
 Rows that share an id are kept or dropped together by the stages that tell documents by their id alone (n-gram join: kept if one
-of them stays; decontamination: dropped if one of them holds a test item). A null id is an id like any other.
+of them stays; decontamination: dropped if one of them holds a test item). Exact dedup tells them apart by text and length, as it does
+when it chooses the copy to keep. A null id is an id like any other.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the longest as written, then the one with the smallest id."""
-    found = exact_dedup.exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("gone_sha"))
+    found = exact_dedup.measured(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("gone_sha"), F.col("chars").alias("gone_chars"))
     found = small_side(materialize(found.distinct(), "copies", few=True), 120)
-    bare = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), " \t\n\x0b\x0c\r", ""), 256)
-    same = docs["doc_id"].eqNullSafe(found["gone"]) & (bare == F.col("gone_sha"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    bare = F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256)
+    same = docs["doc_id"].eqNullSafe(found["gone"]) & (bare == F.col("gone_sha")) & (F.length(text) == F.col("gone_chars"))
     return docs.select(*COLUMNS).join(found, same, "left_anti")
 
 

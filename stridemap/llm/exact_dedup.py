@@ -107,6 +107,11 @@ def _verified(recipes: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 (of the text without white space)."""
+    return measured(docs, id_col, text_col).drop("chars")
+
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``exact_dedup`` with ``chars``, the code points of the text as written."""
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     recipes = materialize(rows.mapInArrow(_recipes, _RECIPE), "recipes")
     recipes = _verified(recipes).select("id", "chars", "text_sha256", "recipe")
@@ -120,6 +125,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "group_size",
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("most"))).alias("kept"),
         "text_sha256",
+        "chars",
     )
 
 

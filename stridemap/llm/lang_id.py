@@ -171,11 +171,13 @@ def known_language(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, n_chars) without those in no learned language.
 
     A document goes if its text has no letter, or if it has SURE_CHARS code points and a score under LEAST_SCORE; a short text's score
-    says too little. The prototypes are learned from all of ``docs`` that have a label.
+    says too little. The prototypes are learned from all of ``docs`` that have a label; if they teach nothing, every document stays.
     """
     rows = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"), "lang", "source", "n_chars")
     schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes) + ", lang_pred string, score double"
     prototypes = train(rows.where(F.col("lang").isNotNull()))
+    if not any(any(v) for v in prototypes.values()):
+        return rows
     judged = rows.mapInArrow(_predict(prototypes, text=True), schema)
     rejected = (F.col("lang_pred") == UNKNOWN) | ((F.length("text") >= SURE_CHARS) & (F.col("score") < LEAST_SCORE))
     return judged.where(~rejected).drop("lang_pred", "score")

@@ -1,6 +1,22 @@
 """Cuts that lost text from the corpus or pairs from the join."""
 
-from stridemap.llm import decontamination, html_text
+import corpus_pipeline
+from stridemap.llm import decontamination, html_text, lang_id
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_the_kept_copy_outlives_others_of_its_id(spark):
+    texts = [(None, "a b"), (None, "ab"), (7, "c  d"), (7, "cd"), (7, "c d"), (8, "cd"), (9, None), (9, " ")]
+    docs = spark.createDataFrame([(k, t, "xx", "s", 0) for k, t in texts], SCHEMA)
+    got = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.exact_dedup_stage(spark, docs, "").collect())
+    assert got == [("7", "c  d"), ("9", " "), ("None", "a b")]
+
+
+def test_all_documents_stay_if_nothing_was_learned(spark):
+    docs = spark.createDataFrame([(1, "some text " * 20, None, "s", 0), (2, "12", None, "s", 0), (3, None, None, "s", 0)], SCHEMA)
+    assert {r["doc_id"] for r in lang_id.known_language(docs).collect()} == {1, 2, 3}
+    assert {r["doc_id"] for r in lang_id.known_language(docs.fillna({"lang": "xx"}).where("doc_id > 1")).collect()} == {2, 3}
 
 
 def test_an_open_head_ends_where_the_body_starts():
