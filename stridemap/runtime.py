@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only while its measured rows stay under this many bytes.
@@ -18,15 +21,18 @@ ROW_GROUP_BYTES = 32 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='stridemap-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 _ROOTS: set[str] = set()
+_MADE: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -35,7 +41,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if root not in _ROOTS:
         _ROOTS.add(root)
         atexit.register(clear_scratch, spark)
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(f"{root}/{name}-{uuid.uuid4().hex[:12]}")
+    return _MADE[-1]
 
 
 def clear_scratch(spark: SparkSession) -> None:
@@ -45,6 +52,18 @@ def clear_scratch(spark: SparkSession) -> None:
         root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
+@contextlib.contextmanager
+def written_once(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the intermediate tables made inside at its end, but for the paths that are added to the list it gives."""
+    first, stay = len(_MADE), []
+    yield stay
+    mine, _MADE[first:] = _MADE[first:], stay
+    for path in mine:
+        if path not in stay:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def materialize(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -58,6 +77,27 @@ def materialize(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Columns that tell the rows of a table apart: its file (hashed) and the place in it.
+KEY = ["row_file", "row_at"]
+
+
+def keyed(df: DataFrame, *columns: Column | str, scan: bool = False) -> DataFrame:
+    """``columns`` of ``df`` with KEY, by which the same row is found again when the table is read again.
+
+    With ``scan`` the rows of ``df`` are promised to be those of its files, one each (a table just read), and Parquet's own row numbers
+    are used: nothing is written. Otherwise, or if the source has no row numbers, the columns are written once with a number. Files are told
+    apart by 64 bits of a hash of their path: for a million files two of them clash with a chance of 3e-8.
+    """
+    if scan:
+        try:
+            meta = df.metadataColumn("_metadata")
+            return df.select(*columns, F.xxhash64(meta["file_path"]).alias(KEY[0]), meta["row_index"].alias(KEY[1]))
+        except AnalysisException:  # not read from Parquet files
+            pass
+    numbered = df.select(*columns).withColumn(KEY[1], F.monotonically_increasing_id())
+    return materialize(numbered, "numbered").withColumn(KEY[0], F.lit(0).cast("long"))
+
+
 def small_side(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows times ``row_bytes`` stay under ``limit`` (BROADCAST_BYTES), else as it is.
 
