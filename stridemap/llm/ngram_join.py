@@ -8,12 +8,15 @@ product with its transpose. The product is never formed whole:
 2.  Columns are dealt into blocks by their hash. A block multiplies its columns of up to WIDE classes and sums the overlap
     counts of pairs; the counts of all blocks are added up, and pairs below the bound that their sizes imply are discarded.
 3.  Wider columns (a line or passage in very many documents) are left out of the product. A pair can only be missed so if
-    both classes have at least a sixteenth of their size in wide columns; such classes are tied together
-    along the wide columns, one edge a class, instead of in pairs.
+    both classes have at least a sixteenth of their size in wide columns of the first product. A second product takes these classes
+    with all their columns: there a pair's overlap is known but for wide columns, and those hold no more than the smaller of its two
+    counts of them, so that pairs below the bound go again. Pairs whose whole overlap is wide need three quarters of each class, and six sevenths of
+    one of the two, in wide columns: such classes, which are next to all of a kind, are tied along their wide columns, one edge a class.
 4.  The connected components of all ties are candidates. The whole sets of a candidate's classes, and only theirs, come
     together once, where a search finds the exact components: each class found is compared with all classes that are not
-    reached yet, through an inverted index of their rarest shingles. A candidate above CAP shingles is split into blocks: blocks
-    are searched alone, then samples of what they found together, then all that is not in the largest component against every block.
+    reached yet, through an inverted index of their rarest shingles. A candidate above CAP shingles is split into blocks by size and
+    hash: each block is searched alone, then the largest findings of the blocks together. What is then not in the candidate's largest
+    component is held, CAP shingles at a time, against each block of sizes that could link. No search holds more than twice CAP (and one class).
 
 A column is never gathered whole: a task that meets more than LOCAL classes in a column sends a mark in their place.
 
@@ -29,6 +32,7 @@ empty table gives no rows. Extra columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +43,14 @@ from pyspark.sql import functions as F
 from stridemap.llm.batches import bounded, list_column, slices, text_bytes
 from stridemap.operators.components import connected_components
 from stridemap.llm.words import windows, word_hashes
-from stridemap.runtime import materialize, small_side
+from stridemap.runtime import KEY, keyed, materialize, small_side
 
 #: Words of a shingle. Two sets link if 7 * intersection >= 3 * (sum of sizes), which is a Jaccard similarity of 0.75.
 N = 5
 #: Most classes of a column in the product, and of one task's column; postings between two looks at a task's columns.
 WIDE, LOCAL, LOOK = 96, 24, 8_000_000
-#: Most shingles of a candidate that are searched in one task.
-CAP = 12_000_000
+#: Most shingles of a block of a candidate; a block's classes differ in size by less than the factor BAND, which is more than links allow.
+CAP, BAND = 1_000_000, 1.4
 
 
 def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
@@ -80,9 +84,9 @@ def class_of(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little") >> 1, int.from_bytes(digest[8:], "little") >> 1
 
 
-def _sets(batches: Iterator[pa.RecordBatch], local: int = LOCAL) -> Iterator[pa.RecordBatch]:
-    """id, n, cls, check; for the first row of a class in its look also the prefix, parted into narrow and wide columns."""
-    held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]] = []
+def _sets(batches: Iterator[pa.RecordBatch], local: int = LOCAL, whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """id, KEY, n, cls, check; for the first row of a class in its look also the prefix (or all of it), parted into narrow and wide columns."""
+    held: list[tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]] = []
     seen: set[int] = set()
     postings = 0
 
@@ -99,10 +103,10 @@ def _sets(batches: Iterator[pa.RecordBatch], local: int = LOCAL) -> Iterator[pa.
                 is_wide = wide[at] == values
             owner = np.repeat(np.arange(len(sizes)), sizes)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n), pa.array(cls), pa.array(check),
+                [*ids, pa.array(n), pa.array(cls), pa.array(check),
                  list_column(values[~is_wide], np.bincount(owner[~is_wide], minlength=len(sizes)), pa.int64()),
                  list_column(values[is_wide], np.bincount(owner[is_wide], minlength=len(sizes)), pa.int64())],
-                names=["id", "n", "cls", "check", "narrow", "wide"],
+                names=["id", *KEY, "n", "cls", "check", "narrow", "wide"],
             )
         held.clear()
         seen.clear()
@@ -115,10 +119,10 @@ def _sets(batches: Iterator[pa.RecordBatch], local: int = LOCAL) -> Iterator[pa.
             n.append(len(shingles))
             cls.append(a)
             check.append(b)
-            prefixes.append(none if a in seen else shingles[: prefix_size(len(shingles))])
+            prefixes.append(none if a in seen else shingles if whole else shingles[: prefix_size(len(shingles))])
             postings += len(prefixes[-1])
             seen.add(a)
-        held.append((part.column("id"), np.array(n, np.int64), np.array(cls, np.int64), np.array(check, np.int64), prefixes))
+        held.append(([part.column(c) for c in ("id", *KEY)], np.array(n, np.int64), np.array(cls, np.int64), np.array(check, np.int64), prefixes))
         if postings > LOOK:
             yield from look()
             postings = 0
@@ -270,106 +274,146 @@ def _search(table: pa.Table) -> pa.Table:
 
 
 TIES = "candidate long, block long, a long, b long"
+SETS = "id long, row_file long, row_at long, n long, cls long, check long, narrow array<long>, wide array<long>"
+PIECES = "candidate long, block long, cls long, shingles array<long>"
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, class_id (equal shingle sets; null without shingles)."""
-    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n long, cls long, check long, narrow array<long>, wide array<long>"
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scan: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, class_id (equal shingle sets; null without shingles). ``scan``: see ``keyed``."""
+    rows = keyed(bounded(docs), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), scan=scan)
+    return labelled(rows).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("cls").alias("class_id"))
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """Rows (id, text, KEY) -> id, KEY, n_shingles, cls, component_id, first: whether it is the component's row with the smallest id, nulls last, then KEY."""
     local = LOCAL
-    sets = materialize(rows.mapInArrow(lambda batches: _sets(batches, local), schema), "sets")
-    classes = sets.where("n > 0").groupBy("cls").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), (F.min("check") == F.max("check")).alias("one")
-    )
+    sets = materialize(rows.mapInArrow(lambda batches: _sets(batches, local), SETS), "sets")
+    row = F.struct(F.col("id").isNull().alias("nameless"), "id", *KEY)
+    classes = sets.where("n > 0").groupBy("cls").agg(F.min(row).alias("rep"), F.first("n").alias("n"), (F.min("check") == F.max("check")).alias("one"))
     classes = materialize(classes.withColumn("one", F.expr("if(one, one, raise_error('two shingle sets share a class digest'))")), "classes", few=True)
-    ties = candidate_ties(sets, classes)
+    ties = candidate_ties(rows, sets, classes)
     links = materialize(exact_ties(rows, classes, ties), "links", few=True)
-    components = connected_components(links)  # exact ties: stars already, unless a candidate was split
+    components = connected_components(links)
     named = classes.select("cls", "rep").join(components.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("component", F.coalesce("component", "cls"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = named.join(least, "component").select("cls", "component_id")
-    some = sets.where("n > 0").select("id", "n", "cls").join(labels, "cls")
-    none = sets.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("cls"), F.col("id").alias("component_id"))
-    return some.select("id", "n", "cls", "component_id").union(none).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("cls").alias("class_id")
-    )
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    labels = named.join(least, "component").select("cls", "least")
+    some = sets.where("n > 0").select("id", *KEY, "n", "cls").join(labels, "cls")
+    some = some.select("id", *KEY, F.col("n").alias("n_shingles"), "cls", F.col("least.id").alias("component_id"), (row == F.col("least")).alias("first"))
+    none = sets.where("n = 0").select("id", *KEY, F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("cls"), F.col("id").alias("component_id"), F.lit(True).alias("first"))
+    return some.union(none)
 
 
-def candidate_ties(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): ties between classes such that all linked classes are connected by them."""
+def product(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Columns of SETS -> (pairs of classes with their overlap in narrow columns: a, b, na, nb, c; classes in wide columns: cls, s, n)."""
     narrow = sets.where(F.size("narrow") > 0).select(F.explode("narrow").alias("s"), "cls", "n")
     marks = sets.where(F.size("wide") > 0).select(F.explode("wide").alias("s")).distinct()
     columns = narrow.union(marks.select("s", F.lit(-1).cast("long"), F.lit(0).cast("long")))
     widest = WIDE
     blocks = columns.repartition("s").mapInArrow(lambda batches: _block_product(batches, widest), "a long, b long, na long, nb long, c long")
     blocks = materialize(blocks, "products", few=True)
-    # Classes in wide columns, and how many of their columns are wide.
     met = blocks.where("nb = 0").select(F.col("a").alias("cls"), F.col("b").alias("s"), F.col("na").alias("n"))
     met = met.union(sets.where(F.size("wide") > 0).select("cls", F.explode("wide").alias("s"), "n"))
     met = materialize(met.distinct(), "wide", few=True)
-    wide = materialize(met.groupBy("cls").agg(F.count("*").alias("h"), F.first("n").alias("n")), "widths", few=True)
-    h = small_side(wide.select(F.col("cls").alias("k"), "h"), 16)
     pairs = blocks.where("nb > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = pairs.join(h.withColumnsRenamed({"k": "ka", "h": "ha"}), F.col("a") == F.col("ka"), "left")
-    pairs = pairs.join(h.withColumnsRenamed({"k": "kb", "h": "hb"}), F.col("b") == F.col("kb"), "left")
-    hidden = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    return pairs, met
+
+
+def _with_widths(pairs: DataFrame, widths: DataFrame) -> DataFrame:
+    """``pairs`` with the counts ha, hb of their classes' wide columns."""
+    h = small_side(widths.select(F.col("cls").alias("k"), "h"), 16)
+    for side in "ab":
+        pairs = pairs.join(h.withColumnsRenamed({"k": f"k{side}", "h": f"h{side}"}), F.col(side) == F.col(f"k{side}"), "left").drop(f"k{side}")
+    return pairs.fillna(0, ["ha", "hb"])
+
+
+def candidate_ties(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): ties between classes such that all linked classes are connected by them."""
+    pairs, met = product(sets)
+    widths = materialize(met.groupBy("cls").agg(F.count("*").alias("h"), F.first("n").alias("n")), "widths", few=True)
     overlap = F.floor((3 * (F.col("na") + F.col("nb")) + 6) / 7)
     first = lambda n: F.least(F.floor((n + 2) / 3) + 1, n)
+    broad = lambda h, n: F.col(h) >= F.floor(F.col(n) / 16) + 1
     bound = F.least(overlap - F.col("na") + first(F.col("na")), overlap - F.col("nb") + first(F.col("nb")))
-    kept = pairs.where(F.col("c") + hidden >= bound).select("a", "b")
-    # Classes that wide columns may link: one tie for each of their wide columns.
-    broad = wide.where(F.col("h") >= F.floor(F.col("n") / 16) + 1).select("cls")
-    among = materialize(met.join(broad, "cls", "left_semi").select("s", "cls", "n"), "broad", few=True)
-    hubs = among.groupBy("s").agg(F.min("cls").alias("hub"))
+    pairs = _with_widths(pairs, widths).where(~(broad("ha", "na") & broad("hb", "nb")))
+    kept = materialize(pairs.where(F.col("c") + F.least("ha", "hb") >= bound).select("a", "b"), "narrow", few=True)
+    wanted = materialize(widths.where(broad("h", "n")).select("cls").join(classes.select("cls", *(f"rep.{k}" for k in KEY)), "cls"), "broad", few=True)
+    if wanted.isEmpty():
+        return kept
+    local = LOCAL
+    texts = rows.join(small_side(wanted.drop("cls"), 24), KEY, "left_semi").select("id", "text", *KEY)
+    again = materialize(texts.mapInArrow(lambda batches: _sets(batches, local, whole=True), SETS), "broad-sets")
+    pairs, met = product(again)
+    widths = materialize(met.groupBy("cls").agg(F.count("*").alias("h"), F.first("n").alias("n")), "broad-widths", few=True)
+    kept = kept.union(_with_widths(pairs, widths).where(F.col("c") + F.least("ha", "hb") >= overlap).select("a", "b"))
+    covered = widths.where("4 * h >= 3 * n").select("cls", (F.col("h") * 7 >= F.col("n") * 6).alias("tight"))
+    among = materialize(met.select("s", "cls").join(small_side(covered, 20), "cls"), "covered", few=True)
+    hubs = among.where("tight").groupBy("s").agg(F.min("cls").alias("hub"))
     stars = among.join(hubs, "s").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
     return kept.union(stars)
 
 
+def searched(pieces: DataFrame, name: str) -> DataFrame:
+    """The links within each (candidate, block) of PIECES."""
+    return materialize(pieces.groupBy("candidate", "block").applyInArrow(_search, TIES), name, few=True)
+
+
 def exact_ties(rows: DataFrame, classes: DataFrame, ties: DataFrame) -> DataFrame:
     """(a, b): ties that connect exactly the linked classes."""
     found = connected_components(ties).select(F.col("node").alias("cls"), F.col("component").alias("candidate"))
-    wanted = materialize(found.join(classes, "cls").select("cls", "candidate", "rep", "n"), "wanted", few=True)
-    sizes = wanted.groupBy("candidate").agg(F.ceil(F.sum("n") / CAP).alias("blocks"))
-    wanted = materialize(wanted.join(sizes, "candidate").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))), "blocks", few=True)
-    chosen = small_side(wanted.select("cls", "candidate", "block", "rep"), 32)
-    texts = rows.join(chosen, rows["id"].eqNullSafe(chosen["rep"])).select("candidate", "block", "cls", "text")
-    schema = "candidate long, block long, cls long, shingles array<long>"
-    whole = materialize(texts.mapInArrow(_resets, schema), "whole")
-    first = materialize(whole.groupBy("candidate", "block").applyInArrow(_search, TIES), "first", few=True)
+    wanted = materialize(found.join(classes, "cls").select("cls", "candidate", *(f"rep.{k}" for k in KEY), "n"), "wanted", few=True)
+    large = wanted.groupBy("candidate").agg(F.sum("n").alias("total")).where(F.col("total") > CAP)
+    large = small_side(materialize(large.select("candidate", F.lit(True).alias("large")), "large", few=True), 16)
+    wanted = wanted.join(large, "candidate", "left").fillna(False, ["large"])
+    wanted = wanted.withColumn("band", F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))).otherwise(F.lit(0)))
+    parts = wanted.where("large").groupBy("candidate", "band").agg(F.ceil(F.sum("n") * 1.5 / CAP).alias("parts"))
+    parts = small_side(materialize(parts, "parts", few=True), 32)
+    wanted = wanted.join(parts, ["candidate", "band"], "left").withColumn("part", F.pmod(F.xxhash64("cls"), F.coalesce("parts", F.lit(1))))
+    wanted = materialize(wanted.withColumn("block", F.col("band") * PARTS + F.col("part")).drop("parts", "part"), "blocks", few=True)
+    chosen = small_side(wanted.select("cls", "candidate", "block", *KEY), 40)
+    texts = rows.join(chosen, KEY).select("candidate", "block", "cls", "text")
+    whole = materialize(texts.mapInArrow(_resets, PIECES), "whole")
+    first = searched(whole, "first")
     ties = first.select("a", "b")
-    split = wanted.where("blocks > 1")
+    split = wanted.where("large")
     if split.isEmpty():
         return ties
-    whole = whole.join(split.select("candidate", "blocks").distinct(), "candidate")
-    # Samples of the blocks' components: their first classes are searched together.
-    heads = whole.join(first.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi").withColumn("block", F.lit(-1).cast("long"))
-    again = heads.select(*schema_names(schema)).groupBy("candidate", "block").applyInArrow(_search, TIES)
-    merged = connected_components(ties.union(again.select("a", "b")))
-    # What isn't in a candidate's largest component is held against every block, at most CAP shingles at a time.
-    placed = whole.join(merged.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    placed = materialize(placed, "placed", few=True)
+    # The largest finding of each block, by its first class: searched together, CAP shingles at a time.
+    sizes = first.join(split.select("candidate", "block").distinct(), ["candidate", "block"], "left_semi").groupBy("candidate", "block", "b").agg(F.count("*").alias("k"))
+    heads = sizes.groupBy("candidate", "block").agg(F.max_by("b", F.struct("k", "b")).alias("cls"))
+    heads = materialize(heads.select("candidate", "cls").join(split.select("cls", "n"), "cls"), "heads", few=True)
+    groups = heads.groupBy("candidate").agg(F.ceil(F.sum("n") * 1.5 / CAP).alias("groups"))
+    heads = heads.join(groups, "candidate").select("candidate", "cls", (-1 - F.pmod(F.xxhash64("cls"), F.col("groups"))).alias("block"))
+    sets = whole.select("cls", "shingles").join(heads, "cls").select(*NAMES)
+    ties = ties.union(searched(sets, "heads-found").select("a", "b"))
+    # All that isn't in a candidate's largest component is held against every block of sizes that could link with it.
+    merged = connected_components(ties)
+    placed = split.select("candidate", "cls", "n", "band", "block").join(merged.withColumnRenamed("node", "cls"), "cls", "left")
+    placed = materialize(placed.withColumn("component", F.coalesce("component", "cls")), "placed", few=True)
     counts = placed.groupBy("candidate", "component").agg(F.count("*").alias("k"))
     largest = counts.groupBy("candidate").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
-    rest = placed.join(largest, "candidate").where("component <> largest")
-    rest = materialize(rest, "rest", few=True)
-    chunks = rest.groupBy("candidate").agg(F.ceil(F.sum(F.size("shingles")) / CAP).alias("chunks"))
-    rest = rest.join(chunks, "candidate").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")))
-    pieces = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sides = placed.join(chunks, "candidate").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    names = ["candidate", "block", "chunk", "cls", "shingles"]
-    both = pieces.select(*names).union(sides.select(*names))
-    last = both.groupBy("candidate", "block", "chunk").applyInArrow(_search, TIES)
-    return ties.union(again.select("a", "b")).union(last.select("a", "b"))
+    rest = materialize(placed.join(largest, "candidate").where("component <> largest").select("candidate", "cls", "n", "band"), "rest", few=True)
+    chunks = rest.groupBy("candidate", "band").agg(F.ceil(F.sum("n") * 1.5 / CAP).alias("chunks"))
+    rest = rest.join(chunks, ["candidate", "band"]).withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")))
+    near = rest.select("candidate", "band", "chunk").distinct().withColumn("of", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
+    blocks = placed.select("candidate", F.col("band").alias("of"), "block").distinct()
+    cells = near.join(blocks, ["candidate", "of"]).withColumn("cell", F.xxhash64("band", "chunk", "block"))
+    cells = materialize(cells.select("candidate", "band", "chunk", "block", "cell"), "cells", few=True)
+    ours = rest.join(cells, ["candidate", "band", "chunk"]).select("candidate", "cls", "cell")
+    theirs = placed.join(cells.select("candidate", "block", "cell"), ["candidate", "block"]).select("candidate", "cls", "cell")
+    members = ours.union(theirs).distinct().withColumnRenamed("cell", "block")
+    last = searched(whole.select("cls", "shingles").join(members, "cls").select(*NAMES), "rest-found")
+    return ties.union(last.select("a", "b"))
 
 
-def schema_names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
+#: More blocks of one size than a candidate has.
+PARTS = 1 << 32
+NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under links of 0.75 or more."""
-    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_id")
+    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), scan=True).drop("class_id")
 
 
 OP6_SQL = r"""
