@@ -53,24 +53,23 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def written_once(spark: SparkSession) -> Iterator[list[str]]:
-    """Delete the intermediate tables made inside at its end, but for the paths that are added to the list it gives."""
-    first, stay = len(_MADE), []
-    yield stay
-    mine, _MADE[first:] = _MADE[first:], stay
+def written_once(spark: SparkSession) -> Iterator[None]:
+    """Delete, at its end, the intermediate tables that are made inside; what is needed of them must have been written by then, to an older path."""
+    first = len(_MADE)
+    yield
+    mine, _MADE[first:] = _MADE[first:], []
     for path in mine:
-        if path not in stay:
-            gone = spark._jvm.org.apache.hadoop.fs.Path(path)
-            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
-def materialize(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, few: bool = False, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
 
     With ``few`` the rows of a shuffle go into a few files for each core of the cluster instead of one for each shuffle partition.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     if few:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
@@ -106,6 +105,28 @@ def small_side(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataF
     return F.broadcast(df) if df.count() * row_bytes <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
+#: A key is hot if it has more than one in so many of all rows, so there are no more hot keys than that.
+HOT_KEYS = 100_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, row_bytes: Column) -> DataFrame:
+    """``rows`` left-joined with ``groups``, which has one row a ``key`` with its number of ``rows`` as ``size`` and takes ``row_bytes`` each.
+
+    Small groups are broadcast after their bytes were summed. Otherwise the hot keys among them are, which are few, and the other rows are shuffled: no
+    key's rows meet in one task. ``groups`` should be materialised.
+    """
+    measured = lambda g: g.agg(F.sum(row_bytes)).first()[0] or 0
+    if measured(groups) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(groups), key, "left")
+    hot = F.col(size) * HOT_KEYS > rows.count()
+    few = groups.where(hot)
+    if measured(few) > BROADCAST_BYTES:
+        return rows.join(groups, key, "left")
+    marked = rows.join(F.broadcast(few.select(key, F.lit(True).alias("is_hot"))), key, "left")
+    parts = (marked.where("is_hot").drop("is_hot").join(F.broadcast(few), key, "left"), marked.where("is_hot is null").drop("is_hot").join(groups.where(~hot), key, "left"))
+    return parts[0].unionByName(parts[1])
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this library, wherever the session was started from."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
