@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stridemap.llm.batches import bounded, slices, text_bytes
-from stridemap.runtime import materialize
+from stridemap.runtime import KEY, join_groups, keyed, materialize
 
 #: Mean bytes of a chunk (a power of two), and the most.
 CHUNK, CHUNK_MOST = 2048, 16384
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 _WHITE = bytes([0x20, *range(0x09, 0x0E)])
 
-_RECIPE = "id long, chars long, text_sha256 string, chunks array<long>, digests array<binary>"
+_RECIPE = "id long, row_file long, row_at long, chars long, text_sha256 string, chunks array<long>, digests array<binary>"
 
 
 def boundaries(raw: np.ndarray) -> np.ndarray:
@@ -74,8 +74,8 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(own)
             chunks.append([int.from_bytes(hashlib.blake2b(d, digest_size=8).digest(), "little", signed=True) for d in own])
         yield pa.RecordBatch.from_arrays(
-            [part.column("id"), chars, pa.array(shas, pa.string()), pa.array(chunks, pa.list_(pa.int64())), pa.array(digests, pa.list_(pa.binary()))],
-            names=["id", "chars", "text_sha256", "chunks", "digests"],
+            [*(part.column(c) for c in ("id", *KEY)), chars, pa.array(shas, pa.string()), pa.array(chunks, pa.list_(pa.int64())), pa.array(digests, pa.list_(pa.binary()))],
+            names=["id", *KEY, "chars", "text_sha256", "chunks", "digests"],
         )
 
 
@@ -105,33 +105,39 @@ def _verified(recipes: DataFrame) -> DataFrame:
     return with_ranks.withColumn("recipe", F.flatten(parts_of)).drop("row", "ranks")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 (of the text without white space)."""
-    return measured(docs, id_col, text_col).drop("chars")
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scan: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 (of the text without white space). ``scan``: see ``keyed``."""
+    rows = keyed(bounded(docs), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), scan=scan)
+    return measured(rows).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``exact_dedup`` with ``chars``, the code points of the text as written."""
-    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def measured(rows: DataFrame) -> DataFrame:
+    """Rows (id, text, KEY) -> id, KEY, keep_id, group_size, kept, text_sha256, first: whether it is the one row of its group that stays.
+
+    ``first`` also tells repeated rows apart, by KEY; they are all ``kept`` if one is.
+    """
     recipes = materialize(rows.mapInArrow(_recipes, _RECIPE), "recipes")
-    recipes = _verified(recipes).select("id", "chars", "text_sha256", "recipe")
-    best = F.max(F.struct(F.col("chars"), F.col("id").isNotNull().alias("named"), F.bitwise_not("id").alias("back")))
-    groups = recipes.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select(F.col("recipe").alias("of"), F.bitwise_not("best.back").alias("keep_id"), F.col("best.chars").alias("most"), "group_size")
-    joined = recipes.join(groups, F.col("recipe") == F.col("of"))
+    recipes = _verified(recipes).select("id", *KEY, "chars", "text_sha256", "recipe")
+    best = F.max(F.struct(F.col("chars"), F.col("id").isNotNull().alias("named"), F.bitwise_not("id").alias("back"), *(F.bitwise_not(k).alias(k) for k in KEY)))
+    groups = recipes.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = groups.select(
+        "recipe", F.bitwise_not("best.back").alias("keep_id"), F.col("best.chars").alias("most"), "group_size",
+        *(F.bitwise_not(f"best.{k}").alias(f"best_{k}") for k in KEY),
+    )
+    groups = materialize(groups, "groups", few=True)
+    joined = join_groups(recipes, groups, "recipe", "group_size", 80 + 8 * F.size("recipe"))
+    alone = F.col("group_size").isNull()
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("most"))
+    first = (F.col(KEY[0]) == F.col(f"best_{KEY[0]}")) & (F.col(KEY[1]) == F.col(f"best_{KEY[1]}"))
     return joined.select(
-        F.col("id").alias(id_col),
-        "keep_id",
-        "group_size",
-        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("most"))).alias("kept"),
-        "text_sha256",
-        "chars",
+        "id", *KEY, F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.when(alone, True).otherwise(kept).alias("kept"), "text_sha256", F.when(alone, True).otherwise(first).alias("first"),
     )
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among all documents."""
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), scan=True)
 
 
 OP3_SQL = r"""

@@ -18,11 +18,12 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridemap.llm.batches import bounded, slices
-from stridemap.runtime import materialize, scratch_path, small_side
+from stridemap.runtime import KEY, join_groups, keyed, materialize, scratch_path, small_side
 
 LONG = 200_000
 CACHE = "content binary, tokenizer string, n_tokens long"
@@ -88,32 +89,29 @@ def _encode(model_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def count_tokens(
-    docs: DataFrame, model_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096
+    docs: DataFrame, model_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, scan: bool = False
 ) -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, n_tokens, over_limit, content (SHA-256 of the text).
+    """One row per row of ``docs``: id, n_bytes, n_tokens, over_limit, content (SHA-256 of the text). ``scan``: see ``keyed``.
 
     ``cache_path`` is a Parquet table in a place that all executors reach; it is read if it exists, and the counts
-    of texts that it lacks are appended.
+    of texts that it lacks are appended. Two runs may append the same counts; equal keys have equal counts, of which the least is read.
     """
     spark = bounded(docs).sparkSession
-    text: Column = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("_id"), text.alias("text")).withColumn("content", F.unhex(F.sha2(F.col("text"), 256)))
+    rows = keyed(docs, F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), scan=scan)
+    sized = rows.select("_id", *KEY, F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.col("text"), 256)).alias("content"))
+    sized = materialize(sized, "digests")  # every text is digested once
     tokenizer = tokenizer_digest(model_path)
-    _cache(spark, cache_path)
-    # Of each digest one row, told by its id; no text moves for this.
-    wanted = keyed.groupBy("content").agg(F.min("_id").alias("_id"))
     stored = _cache(spark, cache_path).where(F.col("tokenizer") == tokenizer).select("content")
-    misses = materialize(wanted.join(stored, "content", "left_anti"), "misses", few=True)
+    wanted = sized.groupBy("content").agg(F.min(F.struct(*KEY)).alias("row"), F.count("*").alias("copies"))
+    wanted = materialize(wanted.select("content", "row.*", "copies"), "wanted", few=True)
+    misses = materialize(wanted.join(stored, "content", "left_anti").select(F.col("content").alias("c"), *KEY), "misses", few=True)
     # A row for each distinct missing text is encoded where it lies, if the list of misses is small; else texts move once.
-    chosen = small_side(misses.withColumnsRenamed({"content": "c", "_id": "i"}), 96)
-    texts = keyed.join(chosen, (F.col("content") == F.col("c")) & F.col("_id").eqNullSafe(F.col("i")), "left_semi")
-    fresh = texts.select("content", "text").mapInArrow(_encode(model_path), "content binary, n_tokens long")
-    fresh.groupBy("content").agg(F.min("n_tokens").alias("n_tokens")).select(
-        "content", F.lit(tokenizer).alias("tokenizer"), "n_tokens"
-    ).write.mode("append").parquet(cache_path)
+    texts = rows.join(small_side(misses, 72), KEY).select(F.col("c").alias("content"), "text")
+    fresh = texts.mapInArrow(_encode(model_path), "content binary, n_tokens long")
+    fresh.select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     counts = _cache(spark, cache_path).where(F.col("tokenizer") == tokenizer).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
-    sized = keyed.select("_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
-    return sized.join(counts, "content").select(
+    counts = materialize(wanted.select("content", "copies").join(counts, "content"), "counts", few=True)
+    return join_groups(sized, counts, "content", "copies", F.lit(72)).select(
         F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content"
     )
 
@@ -122,10 +120,10 @@ def _cache(spark: SparkSession, path: str) -> DataFrame:
     """The stored counts; an empty table is laid down where there is none."""
     try:
         return spark.read.schema(CACHE).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    spark.createDataFrame([], CACHE).write.parquet(path)
+    spark.createDataFrame([], CACHE).write.mode("ignore").parquet(path)
     return spark.read.schema(CACHE).parquet(path)
 
 
@@ -134,4 +132,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), scratch_path(spark, "token-cache")).drop("content")
+    return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), scratch_path(spark, "token-cache"), scan=True).drop("content")
