@@ -142,7 +142,7 @@ def _predict(prototypes: dict[str, list[float]], text: bool = False) -> Callable
         for part in slices(batches, "text", 512 << 10):
             sums, n = bundles(part.column("text"))
             norms = np.linalg.norm(sums, axis=1)
-            known = (n > 0) & (norms > 0) & (len(prototypes) > 0)
+            known = (n > 0) & (len(prototypes) > 0)
             best, score = np.full(len(n), len(names) - 1), np.zeros(len(n))
             if known.any():
                 cosines = (sums @ profile.T.astype(np.float32)) / np.maximum(norms, 1e-12)[:, None]
@@ -150,7 +150,7 @@ def _predict(prototypes: dict[str, list[float]], text: bool = False) -> Callable
                 score[known] = np.clip(cosines[known].max(axis=1), 0, 1)
             others = [k for k in part.schema.names if text or k != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(k) for k in others), pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=[*others, "lang_pred", "score"]
+                [*(part.column(k) for k in others), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(n.astype(np.int64))], names=[*others, "lang_pred", "score", "trigrams"]
             )
 
     return run
@@ -159,28 +159,29 @@ def _predict(prototypes: dict[str, list[float]], text: bool = False) -> Callable
 def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, lang_pred, score (cosine with the prototype, 0 at least)."""
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(_predict(prototypes), "id long, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(_predict(prototypes), "id long, lang_pred string, score double, trigrams long")
+    return out.withColumnRenamed("id", id_col).drop("trigrams")
 
 
-#: A text of at least so many code points whose cosine stays under this is in none of the learned languages.
-SURE_CHARS, LEAST_SCORE = 100, 0.05
+#: Least cosine of a long text in a learned language; trigrams of which a cosine says as much as nothing.
+LEAST_SCORE, VAGUE = 0.05, 10
 
 
 def known_language(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, n_chars) without those in no learned language.
 
-    A document goes if its text has no letter, or if it has SURE_CHARS code points and a score under LEAST_SCORE; a short text's score
-    says too little. The prototypes are learned from all of ``docs`` that have a label; if they teach nothing, every document stays.
+    A document goes if its text has no letter, or if its score falls short of LEAST_SCORE by more than its error, which for n trigrams is LEAST_SCORE times
+    sqrt(VAGUE / n): a bundle of few trigrams shares little with its language's by chance alone. The prototypes are learned from all of ``docs`` that have a label; if they teach
+    nothing, every document stays. Null texts go, with all others without a letter; repeated rows are judged alike; an empty table gives an empty one.
     """
     rows = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"), "lang", "source", "n_chars")
-    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes) + ", lang_pred string, score double"
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes) + ", lang_pred string, score double, trigrams long"
     prototypes = train(rows.where(F.col("lang").isNotNull()))
     if not any(any(v) for v in prototypes.values()):
         return rows
     judged = rows.mapInArrow(_predict(prototypes, text=True), schema)
-    rejected = (F.col("lang_pred") == UNKNOWN) | ((F.length("text") >= SURE_CHARS) & (F.col("score") < LEAST_SCORE))
-    return judged.where(~rejected).drop("lang_pred", "score")
+    least = LEAST_SCORE * (1 - F.sqrt(VAGUE / F.greatest("trigrams", F.lit(1))))
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score", "trigrams")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -19,8 +19,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc_revisit": warc_revisit.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
-    "op6_ngram_join": ngram_join.op6_ngram_join,
-    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op6_ngram_join": ngram_join.OP6_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
