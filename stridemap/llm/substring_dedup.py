@@ -4,23 +4,23 @@ A suffix is the sequence of words from one place of a document on; two places be
 their suffixes meet at a node of depth WINDOW or more in the suffix tree. Such a node's earliest leaf stays, and the windows
 of all its other leaves are repeats; consecutive ones make up maximal repeats, whose words are removed.
 
-The tree of all suffixes is not built. First it is thinned: of each window's runs of ANCHOR words the one with the least
-hash is its anchor; equal windows have equal anchors, and one in seven places is one. Suffixes whose anchor occurs only once
-in the corpus can have no equal and are left out, which needs only the anchors' hashes to move. The other suffixes, cut off
-after WINDOW words, are known by their path: the hash of the first PREFIX words and that of all. They are dealt in the
-order of their paths to groups of about GROUP suffixes, so that a group is a range of prefixes: of PREFIX words where these are
-rare enough, longer where one prefix fills several groups. Each group sorts its paths, which is the array form of its subtree;
-runs of equal paths are its deep internal nodes. Exact copies of whole documents are told by their digest before all this.
-
-Whatever is found again within one task is settled there: of an anchor or path with several places in one task, one row
-goes on. So a passage in a third of all documents gives a row a task, not a row a document.
-
-Paths have 128 bits in two hashes; a false repeat needs two different windows with equal first words and equal 64-bit hashes.
+1.  The suffixes are thinned: of each window's runs of ANCHOR words the one with the least hash is its anchor; equal windows have equal
+    anchors, and one in seven places is one. Suffixes whose anchor occurs only once in the corpus can have no equal and are left
+    out, which needs only the anchors' hashes to move. Exact copies of whole documents are told by their digest before all this.
+2.  The other suffixes move as their first WINDOW words, as deeper nodes remove nothing else. They are dealt to groups by a prefix of PREFIX words;
+    where more than GROUP suffixes would meet in a group, theirs are dealt by a prefix that is PREFIX words longer, and so on. So a
+    group has at most GROUP suffixes and holds all suffixes that share its prefixes, which makes it a union of subtrees. (Suffixes that share all
+    WINDOW words are one leaf path; if they alone fill a group, their least is taken by an aggregation.)
+3.  Each group is searched alone: its words become numbers, its suffixes are sorted by their words, and the lengths of the common prefixes of neighbours
+    give the internal nodes. Runs of neighbours that have WINDOW words in common are the leaves below a deep node. Words are compared, not hashes.
+
+Whatever is found again within one task is settled there, after its words were compared: of an anchor or window with several places in one
+task, one row goes on. So a passage in a third of all documents gives a row a task, not a row a document.
 
 Defined results: see ``op7_substring_dedup``. A null text has no words, and the digest of the empty text. "Earlier" is the
 smaller id, then, for rows that share an id but not their text, an arbitrary but fixed order, then the start. Repeated rows with
 equal text are the same document and are treated alike. A null id is later than all others. Documents of less than
-WINDOW words are kept whole. Texts are read whole; a task holds one text's words at a time besides a few MB. An empty
+WINDOW words are kept whole. Texts are read whole; a task holds one text's words at a time besides some 100 MB. An empty
 table gives no rows. Extra columns, whatever their names, are ignored.
 """
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stridemap.llm.batches import bounded, list_column, slices, text_bytes
@@ -40,8 +40,10 @@ from stridemap.llm.words import windows, word_hashes
 from stridemap.runtime import BROADCAST_BYTES, materialize, small_side
 
 WINDOW, ANCHOR, PREFIX = 20, 8, 4
-#: Suffixes of a group; anchors or paths that a task looks at together.
-GROUP, LOOK = 1_000_000, 4_000_000
+#: Most suffixes of a group; groups for each such number of suffixes, so that most stay well below it.
+GROUP, FINE = 200_000, 16
+#: Anchors that a task looks at together; suffixes, and bytes of their texts, that it does.
+LOOK, SUFFIXES, HELD = 4_000_000, 1_000_000, 64 << 20
 _LAST = 2**63 - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -135,43 +137,44 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids[good]), pa.array(v[good]), pa.array(a[good])], names=["id", "v", "a"])
 
 
-def _paths(batches: Iterator[pa.RecordBatch], most: int = LOOK) -> Iterator[pa.RecordBatch]:
-    """Suffixes whose anchors were met: (p, w, id, v, start, length).
+def _suffixes(batches: Iterator[pa.RecordBatch], most: int = SUFFIXES) -> Iterator[pa.RecordBatch]:
+    """Suffixes whose anchors were met: (words, id, v, start, length).
 
-    A row with length 0 is a suffix that is the first of its path in this look; one with a length is a run of windows
+    A row with length 0 is a suffix that is the first with its words in this look; one with a length is a run of windows
     that begin earlier in it.
     """
-    held: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
-    count = 0
+    held: list[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray]] = []
+    count = size = 0
 
     def look() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        sizes = [len(h[2]) for h in held]
-        ids = np.repeat(np.array([h[0] for h in held], np.int64), sizes)
-        v = np.repeat(np.array([h[1] for h in held], np.int32), sizes)
-        start, p, w = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4))
-        held.clear()
-        order = np.lexsort((start, v, ids, w, p))
-        same = np.zeros(len(order), bool)
-        same[1:] = (p[order][1:] == p[order][:-1]) & (w[order][1:] == w[order][:-1])
-        again = np.zeros(len(order), bool)
-        again[order[same]] = True
-        # What one row of the table repeats of itself in the same place (a repeated row) is no repeat.
-        equal = np.zeros(len(order), bool)
-        equal[1:] = same[1:] & (ids[order][1:] == ids[order][:-1]) & (v[order][1:] == v[order][:-1]) & (start[order][1:] == start[order][:-1])
-        gone = np.zeros(len(order), bool)
-        gone[order[equal]] = True
-        again &= ~gone
-        one = ~again & ~gone
-        yield _path_rows(p[one], w[one], ids[one], v[one], start[one], np.zeros(int(one.sum()), np.int32))
+        sizes = [len(h[4]) for h in held]
+        doc = np.repeat(np.arange(len(held)), sizes)
+        ids, v = (np.array([h[k] for h in held], kind)[doc] for k, kind in ((0, np.int64), (1, np.int32)))
+        start, w = (np.concatenate([h[k] for h in held]) for k in (4, 5))
+        order = np.lexsort((start, v, ids, w))
+        first = np.maximum.accumulate(np.where(np.r_[True, w[order][1:] != w[order][:-1]], np.arange(len(order)), 0))
+        words = lambda k: held[doc[k]][2][held[doc[k]][3][start[k]] : held[doc[k]][3][start[k] + WINDOW] - 1]
+        again, repeated = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        for at in np.flatnonzero(first != np.arange(len(order))).tolist():
+            k, earliest = order[at], order[first[at]]
+            if words(k) == words(earliest):
+                again[k] = True
+                # What a repeated row of the table repeats in the same place is no repeat.
+                repeated[k] = ids[k] == ids[earliest] and v[k] == v[earliest] and start[k] == start[earliest]
+        one = np.flatnonzero(~again)
+        for at in range(0, len(one), 100_000):
+            some = one[at : at + 100_000]
+            yield _suffix_rows([words(k) for k in some.tolist()], ids[some], v[some], start[some], np.zeros(len(some)))
+        again &= ~repeated
         ids, v, start = ids[again], v[again], start[again]
         if len(ids):
             order = np.lexsort((start, v, ids))
             ids, v, start = ids[order], v[order], start[order]
             begins = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (v[1:] != v[:-1]) | (start[1:] != start[:-1] + 1)])
-            zero = np.zeros(len(begins), np.int64)
-            yield _path_rows(zero, zero, ids[begins], v[begins], start[begins], np.diff(np.r_[begins, len(ids)]))
+            yield _suffix_rows([None] * len(begins), ids[begins], v[begins], start[begins], np.diff(np.r_[begins, len(ids)]))
+        held.clear()
 
     for part in slices(batches, "text", 1 << 20):
         raw, offsets = text_bytes(part.column("text"))
@@ -181,64 +184,93 @@ def _paths(batches: Iterator[pa.RecordBatch], most: int = LOOK) -> Iterator[pa.R
         met_values, met_ends = met.flatten().to_numpy(zero_copy_only=False), met.offsets.to_numpy() - met.offsets[0].as_py()
         for k, (id_, v) in enumerate(zip(part.column("id").to_pylist(), part.column("v").to_pylist(), strict=True)):
             words = hashes[row_words[k] : row_words[k + 1]]
-            own = variant(hashlib.sha256(b" ".join(data[offsets[k] : offsets[k + 1]].split())).digest())
-            if len(words) < WINDOW or own != v:
+            if len(words) < WINDOW:
+                continue
+            own = data[offsets[k] : offsets[k + 1]].split()
+            text = b" ".join(own)
+            if variant(hashlib.sha256(text).digest()) != v:
                 continue
             known = np.unique(met_values[met_ends[k] : met_ends[k + 1]])
             least, _ = anchors(words)
             start = np.flatnonzero(known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least)
-            whole = np.array([0, len(words)])
-            p, _ = windows(words, whole, PREFIX, salt=2)
-            w, _ = windows(words, whole, WINDOW, salt=3)
-            held.append((id_, v, start.astype(np.int32), p[start].view(np.int64), w[start].view(np.int64)))
+            w, _ = windows(words, np.array([0, len(words)]), WINDOW, salt=3)
+            ends = np.r_[0, np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)]
+            held.append((id_, v, text, ends, start.astype(np.int32), w[start].view(np.int64)))
             count += len(start)
-        if count > most:
+            size += len(text) + ends.nbytes
+        if count > most or size > HELD:
             yield from look()
-            count = 0
+            count = size = 0
     yield from look()
 
 
-def _path_rows(*columns: np.ndarray) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["p", "w", "id", "v", "start", "length"])
+SUFFIX = "words string, id long, v int, start int, length int"
 
 
-def _subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A group of suffixes: all leaves of its deep nodes but the earliest, as runs of one window."""
-    got = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(5)] for b in batches]
-    if not got:
-        return
-    p, w, ids, v, start = (np.concatenate([g[k] for g in got]) for k in range(5))
-    order = np.lexsort((start, v, ids, w, p))
-    p, w, ids, v, start = p[order], w[order], ids[order], v[order], start[order]
-    deep = np.zeros(len(p), bool)
-    deep[1:] = (p[1:] == p[:-1]) & (w[1:] == w[:-1])
-    first = np.maximum.accumulate(np.where(deep, 0, np.arange(len(p))))
-    deep &= (ids != ids[first]) | (v != v[first]) | (start != start[first])
-    ids, v, start = ids[deep], v[deep], start[deep]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(v, pa.int32()), pa.array(start, pa.int32()), pa.array(np.ones(len(ids)), pa.int32())],
-        names=["id", "v", "start", "length"],
-    )
+def _suffix_rows(words: list[bytes | None], *columns: np.ndarray) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    numbers = [pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), *numbers], names=["words", "id", "v", "start", "length"])
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, v, runs): each document's runs of windows, merged into spans of words."""
-    for batch in batches:
-        starts, ends = [], []
-        for runs in batch.column("runs").to_pylist():
-            spans: list[list[int]] = []
-            for a, b in sorted((r["start"], r["start"] + r["length"] + WINDOW - 1) for r in runs):
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], b)
-                else:
-                    spans.append([a, b])
-            starts.append([s[0] for s in spans])
-            ends.append([s[1] for s in spans])
-        kind = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("v"), pa.array(starts, kind), pa.array(ends, kind)], names=["id", "v", "starts", "ends"]
-        )
+def grouped(suffixes: DataFrame) -> DataFrame:
+    """``suffixes`` with the words of their prefix (``depth``) and their group: no more than GROUP share both, below the depth WINDOW."""
+    groups = FINE * max(1, -(-suffixes.count() // GROUP))
+    group_at = lambda n: F.pmod(F.xxhash64(F.substring_index("words", " ", n)), F.lit(groups))
+    out = suffixes.withColumns({"depth": F.lit(PREFIX), "group": group_at(PREFIX)})
+    for depth in range(PREFIX, WINDOW, PREFIX):
+        full = out.where(F.col("depth") == depth).groupBy("group").agg(F.count("*").alias("k")).where(F.col("k") > GROUP)
+        full = materialize(full.select("group", F.lit(True).alias("full")), "full-groups", few=True)
+        if full.isEmpty():
+            break
+        deeper = (F.col("depth") == depth) & F.coalesce("full", F.lit(False))
+        out = out.join(small_side(full, 16), "group", "left").withColumn("group", F.when(deeper, group_at(depth + PREFIX)).otherwise(F.col("group")))
+        out = out.withColumn("depth", F.when(deeper, depth + PREFIX).otherwise(F.col("depth"))).drop("full")
+    return out
+
+
+def suffix_order(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(order of suffixes by their words, words that each has in common with the one before it) of rows of WINDOW words."""
+    numbers = pc.split_pattern(words, " ").flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).reshape(-1, WINDOW)
+    order = np.lexsort(numbers.T[::-1])
+    same = numbers[order[1:]] == numbers[order[:-1]]
+    common = np.where(same.all(axis=1), WINDOW, same.argmin(axis=1))
+    return order, np.r_[0, common] if len(order) else common
+
+
+def _subtree(table: pa.Table) -> pa.Table:
+    """A group of suffixes: all leaves of its deep nodes but the earliest, as runs of one window."""
+    order, common = suffix_order(table.column("words").combine_chunks())
+    ids, v, start = (table.column(c).to_numpy()[order] for c in ("id", "v", "start"))
+    node = np.cumsum(common < WINDOW)  # leaves below one node of depth WINDOW
+    order = np.lexsort((start, v, ids, node))
+    node, ids, v, start = node[order], ids[order], v[order], start[order]
+    first = np.maximum.accumulate(np.where(np.r_[True, node[1:] != node[:-1]], np.arange(len(node)), 0))
+    deep = (ids != ids[first]) | (v != v[first]) | (start != start[first])
+    return pa.table({"id": ids[deep], "v": v[deep], "start": start[deep], "length": np.ones(int(deep.sum()), np.int32)})
+
+
+def deep_leaves(suffixes: DataFrame) -> DataFrame:
+    """(id, v, start, length): all suffixes whose WINDOW words begin earlier elsewhere."""
+    dealt = grouped(suffixes)
+    out = dealt.where(F.col("depth") < WINDOW).groupBy("depth", "group").applyInArrow(_subtree, "id long, v int, start int, length int")
+    paths = dealt.where(F.col("depth") >= WINDOW)
+    at = F.struct("id", "v", "start")
+    firsts = paths.groupBy("words").agg(F.min(at).alias("least"))
+    total = firsts.agg(F.sum(F.octet_length("words") + 48)).first()[0] or 0  # whole paths that fill a group: few
+    rest = paths.join(_sided(firsts, total), "words").where(at != F.col("least"))
+    return out.union(rest.select("id", "v", "start", F.lit(1)))
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """Runs of windows (id, v, start, length) -> (id, v, starts, ends): each document's maximal spans of words to remove."""
+    runs = runs.select("id", "v", "start", (F.col("start") + F.col("length") + (WINDOW - 1)).alias("end"))
+    order = Window.partitionBy("id", "v").orderBy("start", "end")
+    apart = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = runs.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("id", "v", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("id", "v").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return spans.select("id", "v", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +297,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256, starts and ends of the removed spans (in words)."""
-    spark, most = bounded(docs).sparkSession, LOOK
+    bounded(docs)
+    most, least = LOOK, SUFFIXES
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     rows = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
@@ -287,13 +320,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = met.agg(F.sum(32 + 8 * F.size("met"))).first()[0] or 0
     some = _sided(met, total)
     texts = rows.join(some, "id").select("id", "v", "text", "met")
-    paths = materialize(texts.mapInArrow(lambda batches: _paths(batches, most), "p long, w long, id long, v int, start int, length int"), "paths")
-    suffixes = paths.where("length = 0").select("p", "w", "id", "v", "start")
-    groups = max(1, -(-suffixes.count() // GROUP), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    deep = suffixes.repartitionByRange(groups, "p", "w").mapInArrow(_subtree, "id long, v int, start int, length int")
-    runs = deep.union(paths.where("length > 0").select("id", "v", "start", "length"))
-    spans = runs.groupBy("id", "v").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
-    spans = materialize(spans.mapInArrow(_merged, "id long, v int, starts array<int>, ends array<int>"), "spans", few=True)
+    found = materialize(texts.mapInArrow(lambda batches: _suffixes(batches, least), SUFFIX), "suffixes")
+    suffixes = found.where("length = 0").select("words", "id", "v", "start")
+    runs = deep_leaves(suffixes).union(found.where("length > 0").select("id", "v", "start", "length"))
+    spans = materialize(merged(runs), "spans", few=True)
     total = spans.agg(F.sum(48 + 8 * F.size("starts"))).first()[0] or 0
     some = _sided(spans, total)
     left = rows.join(some, "id").select("id", "v", "text", "starts", "ends").mapInArrow(_kept, "id long, v int, removed long, left_sha string")
