@@ -49,3 +49,49 @@ def test_null_ids_do_not_multiply(spark):
     texts = ["a b c d e f"] * 3 + ["a b c d e f g h i j k l"] * 2 + ["one two three four five six"] * 3
     got = ngram_join.ngram_components(table(spark, texts, [None] * 8)).collect()
     assert len(got) == 8 and {r["component_id"] for r in got} == {None}
+
+
+def test_hot_prefixes_are_split(spark, monkeypatch):
+    """Suffixes that share 4, 8 or all 20 words: groups stay within GROUP, and what fills one as a single path is aggregated."""
+    from stridemap.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "GROUP", 40)
+    r = random.Random(4)
+    rows = [("a b c d " + " ".join(str(r.randrange(50)) for _ in range(16)), k, 0, 0) for k in range(300)]
+    rows += [("a b c d e f g h " + " ".join(str(r.randrange(50)) for _ in range(12)), k, 0, 0) for k in range(300, 500)]
+    rows += [(" ".join("abcdefghijklmnopqrst"), k, 0, k % 3) for k in range(500, 650)] + rows[:20]
+    rows += [(" ".join(str(r.randrange(9)) for _ in range(20)), k, 0, 0) for k in range(700, 760)]
+    rows = [(w, k + 1000 * (n >= 650), v, s) for n, (w, k, v, s) in enumerate(rows)]
+    suffixes = spark.createDataFrame(rows, "words string, id long, v int, start int").repartition(3)
+    sizes = substring_dedup.grouped(suffixes).groupBy("depth", "group").count().collect()
+    assert max(x["count"] for x in sizes if x["depth"] < substring_dedup.WINDOW) <= 40 and {x["depth"] for x in sizes} >= {4, 8, 20}
+    got = sorted((x["id"], x["start"]) for x in substring_dedup.deep_leaves(suffixes).collect())
+    firsts = {}
+    for w, k, v, s in rows:
+        firsts[w] = min(firsts.get(w, (k, v, s)), (k, v, s))
+    assert got == sorted((k, s) for w, k, v, s in rows if firsts[w] != (k, v, s))
+
+
+def test_suffix_order_is_that_of_the_words():
+    import pyarrow as pa
+
+    from stridemap.llm import substring_dedup
+
+    r = random.Random(2)
+    texts = [" ".join(r.choice("ab") for _ in range(20)) if k % 3 else "é " * 19 + r.choice("xy") for k in range(200)]
+    order, common = substring_dedup.suffix_order(pa.array(texts))
+    lists = [texts[k].split() for k in order]
+    for before, now, n in zip(lists[:-1], lists[1:], common[1:], strict=True):
+        assert before[:n] == now[:n] and (n == 20 or before[n] != now[n])
+    assert common[0] == 0 and [tuple(x) for x in lists] == [tuple(x) for x in sorted(lists, key=lambda x: [texts_order(texts, w) for w in x])]
+    assert len(substring_dedup.suffix_order(pa.array([], pa.string()))[0]) == 0
+
+
+def texts_order(texts, word):
+    """Words are numbered as they are first met."""
+    seen = []
+    for t in texts:
+        for w in t.split():
+            if w not in seen:
+                seen.append(w)
+    return seen.index(word)

@@ -171,6 +171,7 @@ def brute_substrings(rows):
 def test_substring_dedup(spark, monkeypatch, limit):
     monkeypatch.setattr(substring_dedup, "GROUP", limit)
     monkeypatch.setattr(substring_dedup, "LOOK", 4 * limit)
+    monkeypatch.setattr(substring_dedup, "SUFFIXES", 2 * limit)
     texts = [*corpus(11, 50), "to " * 25, "p q " * 30, "p q r s t u v w x y z " * 5]
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(table(spark, texts)).collect()}
     assert got == brute_substrings(list(enumerate(texts)))
@@ -334,9 +335,7 @@ def test_decontamination(spark):
         for k, i in enumerate(items):
             if t and i:
                 a, b = (np.array([hash(w) for w in re.findall(r"[^\s!-/:-@\[-`{-~]+", x.lower())]) for x in (i, t))
-                grams = lambda w, n=min(3, len(a)): {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
-                seeds = grams(a.tolist()) & grams(b.tolist())  # a pair needs seeds: two, or all of a short item's
-                if len(a) and seeds and len(seeds) >= min(2, len(a) - 2) and brute_align(a, b) >= len(a):
+                if len(a) and brute_align(a, b) >= (len(a) if len(a) >= decontamination.SEED else 2 * len(a)):  # short items are found whole
                     brute.add((d, k))
     assert set(got) == brute and {(0, 0), (1, 1), (2, 2), (6, 2)} <= brute and got[2, 2]["score"] == 1.0
     assert decontamination.contaminated(table(spark, texts), bench.where("false")).collect() == []

@@ -95,3 +95,93 @@ def test_pipeline(spark, tmp_path):
         docs.write.parquet(str(tmp_path / f"stage{k}"))
         docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {2, 7}
+
+
+def random_page(r, container):
+    """(page, its main text): an article in one of several containers, among menus, notices, adverts, a sidebar and comments."""
+    words = ["alpha", "beta", "gamma", "delta", "épsilon", "zeta", "eta", "theta &amp; more", "iota"]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    read = lambda t: " ".join(t.replace("&amp;", "&").split())
+    blocks = [("h1", say(r.randrange(2, 9)))] + [(r.choice(["p", "p", "p", "h2", "li", "blockquote"]), say(r.choice([1, 4, 30, 80]))) for _ in range(r.randrange(3, 20))]
+    inner = "".join(f"<{t}>{x}</{t}>" if t != "p" or r.random() < 0.7 else f"<p>{x}" for t, x in blocks)
+    wrap = {"article": "<article>{}</article>", "main": "<main id=content>{}</main>", "section": "<div class=post><section>{}</section></div>"}[container]
+    menu = "<nav><ul>" + "".join(f"<li><a href=x>{say(1)}</a>" for _ in range(r.randrange(1, 12))) + "</ul></nav>"
+    around = ["<header><p>" + say(4) + "</p></header>", menu, f"<div class='cookie-notice'>{say(6)}</div>", f"<div class=ad>{say(8)}</div>"]
+    after = [f"<aside><p>{say(40)}</p></aside>", f"<form><label>{say(3)}</label><input></form>", f"<section id=comments><p>{say(12)}</p></section>", f"<footer><p>{say(20)}</p></footer>"]
+    head = "<!DOCTYPE html><html><head><title>T</title><script>var x='<p>no</p>'</script></head><body>"
+    page = head + "".join(x for x in around if r.random() < 0.8) + wrap.format(inner) + "".join(x for x in after if r.random() < 0.8)
+    return page, "\n".join(read(x) for _, x in blocks)
+
+
+def test_random_pages_give_their_articles():
+    import random
+
+    r = random.Random(12)
+    for container, least in (("article", 1.0), ("main", 1.0), ("section", 0.9)):
+        right = 0
+        for _ in range(150):
+            page, want = random_page(r, container)
+            right += html_text.main_text(page) == want
+        assert right >= least * 150, (container, right)
+
+
+def test_ratios_smoothing_and_threshold_decide(monkeypatch):
+    import numpy as np
+
+    prose = "Plain words of a long paragraph that goes on and on. " * 6
+    flat = f"<body><p>Home</p><p>Shop</p><p>Help</p><p>{prose}</p><p>Short one.</p><p>{prose}</p><p>{prose}</p><p>Top</p><p>Terms</p><p>Contact</p></body>"
+    named = f"<article><p>{prose}</p><div class=notice>{prose * 9}</div><p>{prose}</p><div class=ad>Buy</div><p>x</p></article>"
+    sides = f"<body><div><p>{prose}</p><p>{prose}</p><p>{prose}</p></div><div><p>one</p><p>two</p><p>three</p><p>four</p><p>five</p><p>six</p><p>seven</p></div></body>"
+    isolated = f"<body><main><p>{prose}</p><p>{prose}</p></main><div><p>a</p><p>b</p><p>{prose * 5}</p><p>c</p><p>d</p></div></body>"
+    pages = [flat, named, sides, isolated]
+    want = [html_text.main_text(p) for p in pages]
+    p = prose.strip()
+    assert want[0] == f"{p}\nShort one.\n{p}\n{p}" and want[1] == f"{p}\n{(prose * 9).strip()}\n{p}\nx" and want[2] == f"{p}\n{p}\n{p}" and want[3] == f"{p}\n{p}"
+    def changed():
+        return [html_text.main_text(x) != w for x, w in zip(pages, want, strict=True)]
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "line_ratios", lambda lines: np.ones(len(lines)))
+        assert all(changed()[k] for k in (0, 1, 2))
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "threshold", lambda ratios: 0.0)
+        assert changed()[0] and changed()[1]
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "smoothed", lambda ratios: ratios)
+        assert any(changed())
+
+
+def test_names_and_deep_pages():
+    said = "A long enough paragraph of plain words, and then some more of them."
+    assert html_text.main_text(f"<article><h2 id='related-work'>Related work</h2><p>{said}</p><div id='banner-of-heaven'>{said}</div></article>") == f"Related work\n{said}\n{said}"
+    assert html_text.main_text(f"<article><p>{said}<b><i><u><em><strong><span>deep<p>next</article>") == f"{said}deep\nnext"
+    menu = "<body>" + "".join(f"<div><a href=x><b><i><u><em>Link {k}</em></u></i></b></a></div>" for k in range(8)) + f"<div><p>{said * 3}</p><p>{said * 2}</p></div>"
+    assert "Link" not in html_text.main_text(menu)
+    import time
+
+    began = time.time()
+    html_text.main_text("<body>" + "<span>" * 60_000 + "x" + "</b>" * 60_000 + "<div>" * 60_000 + "</i>" * 60_000 + "y" + "</span>" * 60_000)
+    assert time.time() - began < 10
+
+
+def test_the_tree_judges_urls_that_it_was_not_told_about(spark):
+    """Labelled URLs of the smallest table, a quarter of them hidden from the tree."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    hidden = F.crc32(F.col("page_id").cast("string")) % 4 == 2
+    rows = url_filter.filter_urls(pages, url_filter.RULES, hidden=hidden).join(pages.select("page_id", hidden.alias("hide")), "page_id").collect()
+    told = [(r["verdict"], "block" if r["purity"] >= url_filter.REJECT else "allow") for r in rows if r["hide"] and r["rule"]]
+    undecided = {("block" if r["purity"] >= url_filter.REJECT else "allow") for r in rows if not r["rule"]}
+    right = sum(a == b for a, b in told) / len(told)
+    print(f"{right:.3f} of {len(told)} hidden labels")
+    assert undecided == {"block", "allow"}
+
+
+def test_like_branches_are_merged_and_unlike_ones_are_not(spark):
+    def cell(path, n, labelled=0, blocked=0):
+        return ("h.com", path.split("/"), path.split("/"), n, labelled, blocked)
+
+    rows = [cell("a/*/x", 40, 20, 20), cell("a/*/y", 10), cell("b/*/x", 38), cell("b/*/y", 12), cell("c/*/x", 2), cell("c/*/z", 48, 20, 0), cell("d", 9, 9, 0)]
+    shaped = spark.createDataFrame(rows, "host string, raw array<string>, template array<string>, n long, labelled long, blocked long")
+    merged = {"/".join(r["raw"]): "/".join(r["template"]) for r in url_filter.merged(shaped).collect()}
+    assert merged["c/*/z"].startswith("c/") and merged["d"] == "d"
+    purity = {"/".join(r["template"]): r["purity"] for r in url_filter.judge(url_filter.merged(shaped)).collect()}
+    assert purity[merged["b/*/x"]] > 0.5 > purity[merged["c/*/z"]]

@@ -41,3 +41,24 @@ def test_repeated_words_of_an_item_count_by_position(spark):
     docs = spark.createDataFrame([(1, f"before it {head} after it"), (2, "ka le mi no other words")], "doc_id long, text string")
     bench = spark.createDataFrame([(5, item)], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"], r["score"], r["first_word"], r["end_word"]) for r in decontamination.contaminated(docs, bench).collect()] == [(1, 5, 0.6, 2, 26)]
+
+
+def stage(spark, tmp_path, number, rows, items=(("zz yy", 1),)):
+    docs = spark.createDataFrame([(k, t, "xx", "s", 0) for k, t in rows], SCHEMA)
+    spark.createDataFrame(list(items), "text string, item_id long").write.mode("overwrite").parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.mode("overwrite").parquet(str(tmp_path / "stage"))
+    docs = spark.read.parquet(str(tmp_path / "stage"))
+    out = corpus_pipeline.STAGES[number][1](spark, docs, str(tmp_path))
+    assert out.columns == corpus_pipeline.COLUMNS and corpus_pipeline.STAGES[number][1](spark, docs.where("false"), str(tmp_path)).collect() == []
+    return sorted((str(r["doc_id"]), r["text"]) for r in out.collect())
+
+
+def test_stages_decide_row_by_row(spark, tmp_path):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    near = a + " end"
+    assert stage(spark, tmp_path, 2, [(7, near), (7, b), (2, a)]) == [("2", a), ("7", b)]
+    left = stage(spark, tmp_path, 2, [(None, near), (None, b), (None, a), (3, "x")])
+    assert len(left) == 3 and ("None", b) in left and ("3", "x") in left
+    item = " ".join(f"i{k}" for k in range(20))
+    assert stage(spark, tmp_path, 3, [(7, "before " + item), (7, b), (None, item), (None, a), (5, None)], [(item, 1), (None, 2)]) == [("5", None), ("7", b), ("None", a)]
+    assert stage(spark, tmp_path, 1, [(1, "a  b"), (1, "ab"), (2, "c"), (2, "c")]) == [("1", "a  b"), ("2", "c")]
