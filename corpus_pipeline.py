@@ -1,11 +1,11 @@
 """A corpus from raw documents to packed sequences: each stage works on all that the one before it kept.
 
-Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of ``documents``. Documents are
-dropped by anti-joins with the ids that a stage rejects, which are broadcast only while they are few.
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of ``documents``. Every decision is made for a row, told
+by its place in the stage's input (``runtime.keyed``), and rejected rows are left out by an anti-join on that place, whose list is broadcast
+only while it is small. So rows that share an id, or have none, are kept or dropped each on its own.
 
-Rows that share an id are kept or dropped together by the stages that tell documents by their id alone (n-gram join: kept if one
-of them stays; decontamination: dropped if one of them holds a test item). Exact dedup tells them apart by text and length, as it does
-when it chooses the copy to keep. A null id is an id like any other.
+Null texts go in the first stage if anything could be learned; otherwise they count as empty, which is one group of exact copies. Of repeated rows
+one stays. Empty tables pass as empty tables through every stage. Texts are read whole. Columns other than those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -14,15 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridemap.llm import decontamination, exact_dedup, lang_id, ngram_join, packing
-from stridemap.runtime import materialize, small_side
+from stridemap.llm.batches import bounded
+from stridemap.runtime import KEY, keyed, materialize, scratch_path, small_side, written_once
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids`` (column ``gone``)."""
-    ids = small_side(materialize(ids, "gone", few=True), 24)
-    return docs.select(*COLUMNS).join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
+def _rows(docs: DataFrame) -> DataFrame:
+    """(id, text, KEY, COLUMNS) of a stage's input, a table just read."""
+    return keyed(bounded(docs), *COLUMNS, F.col("doc_id").cast("long").alias("id"), scan=True)
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` without those whose KEY is in ``gone``."""
+    gone = small_side(materialize(gone.select(*KEY).distinct(), "gone", few=True), 24)
+    return rows.join(gone, KEY, "left_anti").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,26 +38,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the longest as written, then the one with the smallest id."""
-    found = exact_dedup.measured(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("gone_sha"), F.col("chars").alias("gone_chars"))
-    found = small_side(materialize(found.distinct(), "copies", few=True), 120)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    bare = F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256)
-    same = docs["doc_id"].eqNullSafe(found["gone"]) & (bare == F.col("gone_sha")) & (F.length(text) == F.col("gone_chars"))
-    return docs.select(*COLUMNS).join(found, same, "left_anti")
+    rows = _rows(docs)
+    return _without(rows, exact_dedup.measured(rows.select("id", "text", *KEY)).where(~F.col("first")))
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id."""
-    found = ngram_join.ngram_components(docs)
-    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = found.groupBy("doc_id").agg(stays.alias("stays")).where(~F.col("stays"))
-    return _without(docs, gone.select(F.col("doc_id").alias("gone")))
+    rows = _rows(docs)
+    return _without(rows, ngram_join.labelled(rows.select("id", "text", *KEY)).where(~F.col("first")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select(F.col("doc_id").alias("gone")).distinct())
+    rows, benchmark = _rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return _without(rows, decontamination.leaks(rows.select("id", "text", *KEY), items))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result but the last is written and read again."""
+    """All stages over ``documents``; each one's result but the last is written and read again, and what it needed besides is deleted then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with written_once(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, path=path)
     return STAGES[-1][1](spark, docs, sf_dir)
