@@ -11,7 +11,7 @@ product with its transpose. The product is never formed whole:
     both classes have at least a sixteenth of their size in wide columns of the first product. A second product takes these classes
     with all their columns: there a pair's overlap is known but for wide columns, and those hold no more than the smaller of its two
     counts of them, so that pairs below the bound go again. Pairs whose whole overlap is wide need three quarters of each class, and six sevenths of
-    one of the two, in wide columns: such classes, which are next to all of a kind, are tied along their wide columns, one edge a class.
+    one of the two, in wide columns: such classes, which are next to all of a kind, are tied along the first of their wide columns, one edge a class.
 4.  The connected components of all ties are candidates. The whole sets of a candidate's classes, and only theirs, come
     together once, where a search finds the exact components: each class found is compared with all classes that are not
     reached yet, through an inverted index of their rarest shingles. A candidate above CAP shingles is split into blocks by size and
@@ -50,7 +50,7 @@ N = 5
 #: Most classes of a column in the product, and of one task's column; postings between two looks at a task's columns.
 WIDE, LOCAL, LOOK = 96, 24, 8_000_000
 #: Most shingles of a block of a candidate; a block's classes differ in size by less than the factor BAND, which is more than links allow.
-CAP, BAND = 1_000_000, 1.4
+CAP, BAND = 300_000, 1.4
 
 
 def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
@@ -305,18 +305,18 @@ def labelled(rows: DataFrame) -> DataFrame:
 
 
 def product(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Columns of SETS -> (pairs of classes with their overlap in narrow columns: a, b, na, nb, c; classes in wide columns: cls, s, n)."""
+    """Columns of SETS -> (pairs of classes with their overlap in narrow columns: a, b, na, nb, c; each class's wide columns: cls, n, h, cols)."""
     narrow = sets.where(F.size("narrow") > 0).select(F.explode("narrow").alias("s"), "cls", "n")
     marks = sets.where(F.size("wide") > 0).select(F.explode("wide").alias("s")).distinct()
     columns = narrow.union(marks.select("s", F.lit(-1).cast("long"), F.lit(0).cast("long")))
     widest = WIDE
     blocks = columns.repartition("s").mapInArrow(lambda batches: _block_product(batches, widest), "a long, b long, na long, nb long, c long")
     blocks = materialize(blocks, "products", few=True)
-    met = blocks.where("nb = 0").select(F.col("a").alias("cls"), F.col("b").alias("s"), F.col("na").alias("n"))
-    met = met.union(sets.where(F.size("wide") > 0).select("cls", F.explode("wide").alias("s"), "n"))
-    met = materialize(met.distinct(), "wide", few=True)
+    met = blocks.where("nb = 0").select(F.col("a").alias("cls"), F.array("b").alias("cols"), F.col("na").alias("n"))
+    met = met.union(sets.where(F.size("wide") > 0).select("cls", "wide", "n")).groupBy("cls").agg(F.first("n").alias("n"), F.collect_list("cols").alias("cols"))
+    met = met.withColumn("cols", F.array_distinct(F.flatten("cols"))).select("cls", "n", F.size("cols").alias("h"), "cols")
     pairs = blocks.where("nb > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return pairs, met
+    return pairs, materialize(met, "widths", few=True)
 
 
 def _with_widths(pairs: DataFrame, widths: DataFrame) -> DataFrame:
@@ -329,8 +329,7 @@ def _with_widths(pairs: DataFrame, widths: DataFrame) -> DataFrame:
 
 def candidate_ties(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): ties between classes such that all linked classes are connected by them."""
-    pairs, met = product(sets)
-    widths = materialize(met.groupBy("cls").agg(F.count("*").alias("h"), F.first("n").alias("n")), "widths", few=True)
+    pairs, widths = product(sets)
     overlap = F.floor((3 * (F.col("na") + F.col("nb")) + 6) / 7)
     first = lambda n: F.least(F.floor((n + 2) / 3) + 1, n)
     broad = lambda h, n: F.col(h) >= F.floor(F.col(n) / 16) + 1
@@ -343,11 +342,12 @@ def candidate_ties(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> Data
     local = LOCAL
     texts = rows.join(small_side(wanted.drop("cls"), 24), KEY, "left_semi").select("id", "text", *KEY)
     again = materialize(texts.mapInArrow(lambda batches: _sets(batches, local, whole=True), SETS), "broad-sets")
-    pairs, met = product(again)
-    widths = materialize(met.groupBy("cls").agg(F.count("*").alias("h"), F.first("n").alias("n")), "broad-widths", few=True)
+    pairs, widths = product(again)
     kept = kept.union(_with_widths(pairs, widths).where(F.col("c") + F.least("ha", "hb") >= overlap).select("a", "b"))
-    covered = widths.where("4 * h >= 3 * n").select("cls", (F.col("h") * 7 >= F.col("n") * 6).alias("tight"))
-    among = materialize(met.select("s", "cls").join(small_side(covered, 20), "cls"), "covered", few=True)
+    # Two classes that share three quarters of each share one of the first so many of their wide columns.
+    covered = widths.where("4 * h >= 3 * n").withColumn("cols", F.expr("slice(array_sort(cols), 1, greatest(0, int(h - ceil(3 * n / 4) + 1)))"))
+    among = covered.select("cls", (F.col("h") * 7 >= F.col("n") * 6).alias("tight"), F.explode("cols").alias("s"))
+    among = materialize(among, "covered", few=True)
     hubs = among.where("tight").groupBy("s").agg(F.min("cls").alias("hub"))
     stars = among.join(hubs, "s").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
     return kept.union(stars)

@@ -24,12 +24,19 @@ def segments(waypoints: DataFrame) -> DataFrame:
 
 
 def in_segment(scans: DataFrame, segs: DataFrame) -> DataFrame:
-    """Interval join on (run, time); a scan on the border of two segments belongs to the first that holds it. Others get null."""
-    inside = (F.col("t") >= F.col("start_t")) & ((F.col("t") < F.col("end_t")) | (F.col("is_last") & (F.col("t") == F.col("end_t"))))
-    named = segs.withColumnRenamed("run", "seg_run")
-    joined = scans.join(named, (F.col("run") == F.col("seg_run")) & inside, "left").drop("seg_run")
-    first = Window.partitionBy("run", "scan_id").orderBy("seg")
-    return joined.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    """As-of join of scans (run, t, ...) with the segment (run, seg, start_t, end_t, ...) that holds them, in one sort of each run; others get null.
+
+    Segments follow one another, so the last one that has begun is the only one that can hold a scan. A segment of no duration holds none, unless it is the
+    last: then what happens at its moment is in it.
+    """
+    mine, theirs = F.struct(*(F.col(c) for c in scans.columns)), F.struct(*(F.col(c) for c in segs.columns if c != "run"))
+    marks = segs.where((F.col("start_t") < F.col("end_t")) | F.col("is_last")).select("run", F.col("start_t").alias("at"), F.lit(0).alias("kind"), "seg", theirs.alias("theirs"))
+    looks = scans.select("run", F.col("t").alias("at"), F.lit(1).alias("kind"), mine.alias("mine"))
+    order = Window.partitionBy("run").orderBy("at", "kind", "seg").rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.unionByName(looks, allowMissingColumns=True).withColumn("found", F.last("theirs", ignorenulls=True).over(order)).where("kind = 1")
+    at_end = F.col("found.is_last") & (F.col("mine.t") == F.col("found.end_t"))
+    inside = (F.col("mine.t") < F.col("found.end_t")) | at_end
+    return found.withColumn("found", F.when(inside, F.col("found"))).select("mine.*", "found.*")
 
 
 def outside(scans: DataFrame, waypoints: DataFrame) -> DataFrame:
@@ -67,9 +74,9 @@ def steps(placed: DataFrame) -> DataFrame:
     raw = F.when(
         F.col("interface").eqNullSafe(F.lag("interface").over(w)) & F.col("span").isNotNull(), turnover(F.lag("keys").over(w), F.col("keys"))
     )
-    rows = rows.withColumn("raw", raw)
-    spans = F.array_sort(F.collect_list("span").over(whole))
-    rows = rows.withColumn("usual", F.when(F.size(spans) > 0, F.element_at(spans, F.floor(F.size(spans) / 2).cast("int") + 1)).otherwise(F.lit(0)))
+    rows = rows.withColumn("raw", raw).withColumn("nth", F.row_number().over(whole.orderBy(F.asc_nulls_last("span"))))
+    upper = F.when(F.col("nth") == F.floor(F.count("span").over(whole) / 2) + 1, F.col("span"))
+    rows = rows.withColumn("upper", upper).withColumn("usual", F.coalesce(F.max("upper").over(whole), F.lit(0))).drop("nth", "upper")
     hole = (F.col("usual") > 0) & (F.col("span") > F.col("usual") * C.HOLE)
     return rows.withColumn("hole", F.coalesce(hole, F.lit(False))).withColumn("step", F.when(~F.col("hole"), F.col("raw"))).drop("raw")
 
@@ -120,7 +127,12 @@ def held_out_crossings(scans: DataFrame, waypoints: DataFrame) -> DataFrame:
     at = F.struct("scan_id", "fraction", "clock")
     near = moved.groupBy("run", "seg").agg(F.min_by(at, F.struct(gap, F.col("t"), F.col("scan_id"))).alias("best"), F.min(gap).alias("best_gap"))
     # The nearest of all scans, in the legs or not: a crossing whose nearest scan is elsewhere has no answer.
-    all_gaps = scans.select("run", "t").join(inner.select(F.col("run").alias("r"), "seg", "mid_t"), F.col("run") == F.col("r"))
-    least = all_gaps.groupBy("run", "seg").agg(F.min(F.abs(F.col("t") - F.col("mid_t"))).alias("least_gap"))
+    times = scans.select("run", F.col("t").alias("at")).unionByName(inner.select("run", F.col("mid_t").alias("at"), "seg"), allowMissingColumns=True)
+    order = Window.partitionBy("run").orderBy("at")
+    heard = F.when(F.col("seg").isNull(), F.col("at"))
+    times = times.withColumns({
+        "before": F.last(heard, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)), "after": F.first(heard, ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing)),
+    })
+    least = times.where("seg is not null").select("run", "seg", F.least(F.col("at") - F.col("before"), F.col("after") - F.col("at")).alias("least_gap"))
     good = near.join(least, ["run", "seg"]).where("best_gap = least_gap").select("run", "seg", "best.*")
     return good.join(inner, ["run", "seg"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stridemap import constants as C
 from stridemap.functions.exprs import distance_m, folded, halves, hmac_sha256, mac_shaped, pseudonym
+from stridemap.runtime import BROADCAST_BYTES, materialize
 
 # What may go out as it is.
 PUBLIC_EVENTS = ("scan", "new", "scan_failed", "suspended", "mark", "button_lost")
@@ -77,19 +78,21 @@ def moved_place(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[C
 def survivors(values: DataFrame, lines: DataFrame, least: int = 3) -> DataFrame:
     """(value, occurrences) of source identifiers that can still be read in what goes out, whatever their case.
 
-    ``values`` are joined to a line by their first characters, so that not every value is looked for in every line. Values shorter
-    than ``least`` are looked for by their whole length.
+    Values meet lines by their first ``least`` characters (shorter ones by their whole length): a line's distinct runs of so many characters are held
+    against the values' heads before anything moves, then only (line, value) pairs do, and the text of a line joins those alone.
     """
     v = values.select(F.lower("value").alias("value")).where("value <> ''").distinct()
-    v = v.withColumn("head", F.substring("value", 1, least)).withColumn("size", F.length("head"))
-    low = lines.select(F.monotonically_increasing_id().alias("line"), F.lower("text").alias("text"))
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))))
-    starts = low.select("line", "text", at.alias("at"))
-    grams = starts.select("line", "text", F.explode(F.array(*(F.struct(F.lit(k).alias("size"), F.substring("text", F.col("at"), F.lit(k)).alias("head")) for k in range(1, least + 1)))).alias("g"))
-    grams = grams.select("line", "text", "g.size", "g.head").where("length(head) = size").distinct()
+    v = materialize(v.withColumn("head", F.substring("value", 1, least)), "values", few=True)
+    sizes = sorted(r[0] for r in v.select(F.length("head")).distinct().collect())  # ``least`` values at most
+    if not sizes:
+        return v.select("value", F.lit(0).cast("long").alias("occurrences"))
+    low = materialize(lines.select(F.monotonically_increasing_id().alias("line"), F.lower("text").alias("text")).where("text <> ''"), "lines")
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (k - 1), F.lit(1))), lambda at: F.substring(F.col("text"), at, F.lit(k)))
+    heads = low.select("line", F.explode(F.array_distinct(F.flatten(F.array(*(runs(k) for k in sizes))))).alias("head"))
+    total = v.agg(F.sum(F.octet_length("value") + F.octet_length("head") + 32)).first()[0]
+    met = heads.join(F.broadcast(v) if total <= BROADCAST_BYTES else v, "head").select("line", "value")
     count = (F.length("text") - F.length(F.replace(F.col("text"), F.col("value"), F.lit("")))) / F.length("value")
-    met = grams.join(v, ["size", "head"]).withColumn("n", count).where("n > 0")
-    return met.groupBy("value").agg(F.sum("n").cast("long").alias("occurrences"))
+    return met.join(low, "line").withColumn("n", count).where("n > 0").groupBy("value").agg(F.sum("n").cast("long").alias("occurrences"))
 
 
 def notebook_lines(waypoints: DataFrame) -> DataFrame:

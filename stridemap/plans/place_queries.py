@@ -29,19 +29,21 @@ SELECT p_partkey, mhz, CASE WHEN mhz = 2484 THEN 14 WHEN mhz BETWEEN 2412 AND 24
 
 
 def _corners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of nations as a corner, joined in four ways."""
+    """Every pair of nations as a corner, joined in four ways; a nation and itself with accents are one street."""
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     other = nation.select(F.col("n_nationkey").alias("k2"), F.initcap("n_name").alias("name2"))
     pairs = nation.join(other, F.abs(F.col("n_nationkey") - F.col("k2")) <= 3)
+    pairs = pairs.withColumn("name2", F.when(F.col("k2") == F.col("n_nationkey"), F.translate("name2", "aeiou", "áéíóú")).otherwise(F.col("name2")))
     by = (F.col("n_nationkey") + F.col("k2")) % 4
     word = F.when(by == 0, " y ").when(by == 1, ", ").when(by == 2, " / ").otherwise(" Esq. ")
     return pairs.select("n_nationkey", "k2", F.concat("n_name", word, "name2").alias("name"))
 
 
-_CORNERS_SQL = """c AS (SELECT a.n_nationkey, b.n_nationkey AS k2, a.n_name || CASE (a.n_nationkey + b.n_nationkey) % 4 WHEN 0 THEN ' y ' WHEN 1 THEN ', ' WHEN 2 THEN ' / ' ELSE ' Esq. ' END
-  || array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split(b.n_name, ' ')], ' ') AS name FROM nation a JOIN nation b ON abs(a.n_nationkey - b.n_nationkey) <= 3),
+_CORNERS_SQL = """capital AS (SELECT *, array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split(n_name, ' ')], ' ') AS cap FROM nation),
+c AS (SELECT a.n_nationkey, b.n_nationkey AS k2, a.n_name || CASE (a.n_nationkey + b.n_nationkey) % 4 WHEN 0 THEN ' y ' WHEN 1 THEN ', ' WHEN 2 THEN ' / ' ELSE ' Esq. ' END
+  || CASE WHEN a.n_nationkey = b.n_nationkey THEN translate(b.cap, 'aeiou', 'áéíóú') ELSE b.cap END AS name FROM nation a JOIN capital b ON abs(a.n_nationkey - b.n_nationkey) <= 3),
 s AS (SELECT *, CASE WHEN contains(name, ',') THEN string_split(name, ',') ELSE string_split_regex(name, '(?i)""" + _SPLIT_SQL + """') END AS p FROM c),
-h AS (SELECT n_nationkey, k2, name, CASE WHEN len(p) = 2 AND trim(p[1]) <> '' AND trim(p[2]) <> '' AND lower(trim(p[1])) <> lower(trim(p[2])) THEN [trim(p[1]), trim(p[2])] END AS t FROM s)"""
+h AS (SELECT n_nationkey, k2, name, CASE WHEN len(p) = 2 AND trim(p[1]) <> '' AND trim(p[2]) <> '' AND replace(lower(strip_accents(trim(p[1]))), 'ß', 'ss') <> replace(lower(strip_accents(trim(p[2]))), 'ß', 'ss') THEN [trim(p[1]), trim(p[2])] END AS t FROM s)"""
 
 
 def corner_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def html_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.md5(exprs.xml_escaped(F.col("html"))).alias("escaped_md5"))
+    return pages.select("page_id", F.md5(exprs.xml_escaped(F.concat("html", F.lit("\t\r\x01\x1f\n")))).alias("escaped_md5"))
 
 
 def strip_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +145,7 @@ SELECT run, ord, (generate_subscripts(lines, 1) - 1)::INT AS part, unnest(lines)
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and customers strewn over a few streets' worth of ground: 200 groups of ten, some tens of metres apart."""
+    """Customers strewn over a few streets' worth of ground: 200 groups of ten, some tens of metres apart."""
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
     group, i = F.floor(F.col("k") / 10), F.col("k") % 10
     lat = -34.9 + 0.01 * (group % 50) + 0.00002 * (1 + 2 * (group % 4)) * ((F.col("k") * 7) % 23)
@@ -220,7 +222,7 @@ def nearest_on_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("place_id", "line_id", "k", F.round("along", 6).alias("along"), F.round("off_m", 4).alias("off_m"))
 
 
-NEAREST_SQL = f"""WITH {_LEGS_SQL}, pl AS (SELECT point_id AS place_id, lat + 0.00011::DOUBLE AS lat, lon + 0.00013::DOUBLE AS lon FROM pts WHERE point_id % 5 = 0),
+NEAREST_SQL = f"""WITH {_LEGS_SQL}, pl AS (SELECT point_id AS place_id, lat + 0.00011::DOUBLE AS lat, lon + 0.00013::DOUBLE AS lon FROM pts),
 f AS (SELECT place_id, line_id, k, n, 6371000.0::DOUBLE * radians(a_lon - lon) * cos(radians(lat)) AS ax, 6371000.0::DOUBLE * radians(a_lat - lat) AS ay,
   6371000.0::DOUBLE * radians(b_lon - lon) * cos(radians(lat)) AS bx, 6371000.0::DOUBLE * radians(b_lat - lat) AS by_ FROM pl, leg WHERE abs(lat - a_lat) < 0.01 AND abs(lon - a_lon) < 0.01),
 t AS (SELECT *, greatest(0, least(1, -(ax * (bx - ax) + ay * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) AS along FROM f),
@@ -270,9 +272,12 @@ ORACLE_SQL = {
     "corner_split": f"WITH {_CORNERS_SQL} SELECT n_nationkey, k2, name, t[1] AS first, t[2] AS second FROM h",
     "confusable": f"""WITH {_CORNERS_SQL}, f AS (SELECT least(lower(t[1]), lower(t[2])) || '|' || greatest(lower(t[1]), lower(t[2])) AS corner, lower(name) AS name FROM h WHERE t IS NOT NULL)
         SELECT corner, count(DISTINCT name) AS ways, count(*) AS n FROM f GROUP BY corner HAVING count(DISTINCT name) > 1""",
-    "fold_names": f"""SELECT doc_id, {_FOLD.format("trim(regexp_replace(array_to_string(string_split_regex(text, '[ ' || chr(10) || ']')[1:4], ' '), ' +', ' ', 'g'))")} AS folded FROM documents""",
-    "html_line": r"SELECT page_id, substr(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')), 1, 200) AS line FROM pages",
-    "xml_escape": r"SELECT page_id, md5(replace(replace(replace(regexp_replace(html, '[\x00-\x1f]', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_md5 FROM pages",
+    "fold_names": rf"""SELECT doc_id, {_FOLD.format(r"trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))")} AS folded FROM documents""",
+    "html_line": r"""WITH w AS (SELECT page_id, regexp_replace(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')), ' ([:,.])', '\1', 'g') AS line FROM pages),
+        e AS (SELECT page_id, substr(line, greatest(instr(line, 'Error:'), 1)) AS line FROM w)
+        SELECT page_id, CASE WHEN length(line) <= 200 THEN line ELSE substr(line, 1, 199) || '…' END AS line FROM e""",
+    "xml_escape": r"""SELECT page_id, md5(replace(replace(replace(regexp_replace(html || chr(9) || chr(13) || chr(1) || chr(31) || chr(10), '[\x00-\x08\x0b-\x1f]', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))
+        AS escaped_md5 FROM pages""",
     "strip_comment": "SELECT page_id, trim(CASE WHEN page_id % 2 = 0 THEN '#7 ' ELSE '' END || string_split(url, '#')[1]) AS line FROM pages",
     "pseudonyms": PSEUDONYMS_SQL, "public_records": PUBLIC_SQL, "leak_scan": LEAK_SQL, "notebook_export": NOTEBOOK_SQL, "clusters": CLUSTERS_SQL, "nearest_pair": PAIR_SQL,
     "polyline_length": f"WITH {_LEGS_SQL} SELECT line_id, round(sum(d), 4) AS length_m FROM leg GROUP BY line_id", "point_along": ALONG_SQL, "nearest_on_line": NEAREST_SQL,

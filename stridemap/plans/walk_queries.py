@@ -139,9 +139,9 @@ def answer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.changes(talk, ["text_sha256"], ["conv_id"], ["turn"])
 
 
-CHANGES_SQL = """WITH c AS (SELECT conv_id, turn, lower(substr(text, 1, 1)) AS first FROM conversations),
-l AS (SELECT *, lag(first) OVER w AS old, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, first FROM l WHERE n = 1 OR first IS DISTINCT FROM old"""
+CHANGES_SQL = """WITH c AS (SELECT conv_id, turn, sha256(text) AS text_sha256 FROM conversations),
+l AS (SELECT *, lag(text_sha256) OVER w AS old, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, text_sha256 FROM l WHERE n = 1 OR text_sha256 IS DISTINCT FROM old"""
 
 
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:

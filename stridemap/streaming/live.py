@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import html
 import os
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,16 +43,50 @@ def locate_batch(looks: DataFrame, fps: DataFrame, fp_keys: DataFrame, reach_s:
     )
 
 
-def follow(spark: SparkSession, folder: str, fps: DataFrame, fp_keys: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, reach_s: int = C.ONE_LOOK_S) -> StreamingQuery:
-    """Start following a log folder; ``sink`` gets each batch's answers. The map is read again by every batch, so it may grow."""
+def tails(looks: DataFrame, back: int = C.LOOK_BACK) -> DataFrame:
+    """The networks of the last ``back`` looks of each run, to be held against those of the next batch."""
+    last = looks.groupBy("run", "scan_id").agg(F.min("pos").alias("seq"))
+    nth = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("seq")))
+    return looks.join(last.withColumn("nth", nth).where(F.col("nth") <= back).select("run", "scan_id"), ["run", "scan_id"])
+
+
+def follow(
+    spark: SparkSession, folder: str, fps: DataFrame, fp_keys: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, reach_s: int = C.ONE_LOOK_S,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Start following a log folder; ``sink`` gets each batch's answers. The map is read again by every batch, so it may grow.
+
+    A look's vote takes the looks before it into account, wherever a batch ended: the last ones of each run are written beside the
+    checkpoint under the number of their batch, and the batch after reads them. ``every`` (as ``5 seconds``) sets a fixed rate, at which Spark starts batches whatever
+    they take; without it the query ends when it has read all that is there.
+    """
+    names = ["run", "scan_id", "t", "pos", "key", "strength"]
 
     def batch(lines: DataFrame, n: int) -> None:
         from stridemap.operators.scans import carry_walk
 
-        records = carry_walk(records_of(lines), "outing", "file")
-        sink(locate_batch(sightings(records), fps, fp_keys, reach_s), n)
+        looks = sightings(carry_walk(records_of(lines), "outing", "file")).select(*names)
+        before = _kept(spark, f"{checkpoint}/looks/{n - 1}", looks)
+        both = looks.withColumn("fresh", F.lit(True)).union(before.withColumn("fresh", F.lit(False)))
+        tails(both.drop("fresh")).write.mode("overwrite").parquet(f"{checkpoint}/looks/{n}")
+        new = looks.select("run", F.concat_ws("|", "run", "scan_id").alias("query")).distinct()
+        sink(locate_batch(both.drop("fresh"), fps, fp_keys, reach_s).join(new, ["run", "query"], "left_semi").select(*ANSWER_NAMES), n)
+
+    stream = read_lines(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()
 
-    return read_lines(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+ANSWER_NAMES = [c.split()[0] for c in ANSWERS.split(", ")]
+
+
+def _kept(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What the batch before left, or nothing if it was the first."""
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.where("false")
 
 
 def replace_file(path: str, text: str) -> None:
@@ -62,7 +98,11 @@ def replace_file(path: str, text: str) -> None:
     os.replace(name, path)
 
 
-def page(answers: list[dict], title: str = "Where am I") -> str:
-    """A small page with the newest answers, which reloads itself."""
-    rows = "".join(f"<li>{a['run']}: {a['fraction']:.0%} along {a['stretch']}</li>" for a in answers)
-    return f'<!DOCTYPE html><meta charset="utf-8"><meta http-equiv="refresh" content="5"><title>{title}</title><ul>{rows}</ul>'
+def page(answers: list[dict], title: str = "Where am I", reload_s: int = 5) -> str:
+    """A small page with the newest answers, which reloads itself, and says so when it has not been renewed for three reloads (30 seconds at least)."""
+    rows = "".join(f"<li>{html.escape(a['run'])}: {a['fraction']:.0%} along {html.escape(a['stretch'])}</li>" for a in answers)
+    stale = f"setTimeout(()=>document.body.classList.add('stale'),{max(3 * reload_s, 30) * 1000})"
+    return (
+        f'<!DOCTYPE html><meta charset="utf-8"><meta http-equiv="refresh" content="{reload_s}"><title>{html.escape(title)}</title>'
+        f"<style>.stale::before{{content:'not renewed'}}</style><body><ul>{rows}</ul><script>{stale}</script>"
+    )

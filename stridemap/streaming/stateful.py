@@ -17,20 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridemap import constants as C
-from stridemap.operators.sequence import Pace
+from stridemap.operators.sequence import Track
 
 
 def folded_stream(stream: DataFrame, by: str, order: str, schema: str, make: Callable[[], Any]) -> DataFrame:
-    """Fold each run of a stream (or, with a batch DataFrame, of a table's worth read as a stream)."""
+    """Fold each run of a stream in the order of ``order``, whatever its batches. A row that comes after a later one of its run was folded is refused: the
+    stream fails, as its answers would depend on the batches. (A run's lines come from one log, whose reader keeps their order.)"""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        fold = make()
+        fold, upto = make(), None
         if state.exists:
-            fold = type(fold)(**json.loads(state.get[0]))
+            upto, kept = json.loads(state.get[0])
+            fold = type(fold)(**kept)
         rows = pd.concat(list(batches)).sort_values(order)
+        if upto is not None and rows[order].iloc[0] < upto:
+            raise ValueError(f"run {key[0]}: {order} {rows[order].iloc[0]} came after {upto} was folded")
         out = [o for r in rows.itertuples(index=False) for o in fold.step(r)]
-        state.update((json.dumps(asdict(fold)),))
+        state.update((json.dumps([rows[order].iloc[-1].item(), asdict(fold)]),))
         yield pd.DataFrame(out, columns=names)
 
     return stream.groupBy(by).applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
@@ -118,10 +122,10 @@ class PaceFold:
     state: dict = field(default_factory=dict)
 
     def step(self, r: Any) -> list[tuple]:
-        pace = Pace(**{k: tuple(v) if k == "var" else v for k, v in self.state.items()})
+        track = Track(**self.state)
         length = _none(r.length_m)
-        fraction = pace.keep(r.stretch, None if length is None else float(length), float(r.fraction), float(r.spread), float(r.t))
-        self.state = asdict(pace)
+        fraction = track.placed(r.stretch, None if length is None else float(length), float(r.fraction), float(r.spread), float(r.t))
+        self.state = asdict(track)
         return [(r.run, int(r.seq), r.stretch, float(fraction))]
 
 

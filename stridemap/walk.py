@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridemap import constants as C
@@ -88,14 +88,15 @@ def reconcile(
 def fingerprints(result: Reconciliation) -> tuple[DataFrame, DataFrame]:
     """(fingerprints, keys) of a reconciliation: looks in the canonical direction of their stretch, numbered in the order of time."""
     ahead = F.col("fold_start") <= F.col("fold_end")
-    rows = result.scans.withColumn("fp_id", F.xxhash64("run", "scan_id"))
+    rows = result.scans.withColumn("fp_id", F.struct("run", "scan_id"))
     fps = rows.select(
-        "fp_id", F.col("run").alias("grp"), F.col("run").alias("outing"), F.concat_ws("#", "run", F.col("seg").cast("string")).alias("walk"), "t", "stretch",
+        "fp_id", "scan_id", F.col("run").alias("grp"), F.col("run").alias("outing"), F.concat_ws("#", "run", F.col("seg").cast("string")).alias("walk"), "t", "stretch",
         F.when(ahead, F.col("fraction")).otherwise(1.0 - F.col("fraction")).alias("fraction"), "lat", "lon", "length_m",
     )
-    # Numbers rise with time, as ties go to what was walked first.
-    fps = fps.withColumn("fp_new", F.col("t") * 1000 + F.pmod(F.col("fp_id"), F.lit(1000)))
-    keys = result.placed.select(F.xxhash64("run", "scan_id").alias("fp_id"), "key", F.when(F.col("has_signal"), F.col("strength")).alias("strength"))
+    # Numbers rise with time, as ties go to what was walked first; looks of one second are told apart by run and scan.
+    nth = F.row_number().over(Window.partitionBy("t").orderBy("grp", "scan_id"))
+    fps = fps.withColumn("fp_new", F.col("t") * (1 << 24) + nth).drop("scan_id")
+    keys = result.placed.select(F.struct("run", "scan_id").alias("fp_id"), "key", F.when(F.col("has_signal"), F.col("strength")).alias("strength"))
     named = fps.select("fp_id", "fp_new")
     keys = keys.join(named, "fp_id").select(F.col("fp_new").alias("fp_id"), "key", "strength")
     return fps.drop("fp_id").withColumnRenamed("fp_new", "fp_id"), keys

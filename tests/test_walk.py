@@ -110,12 +110,24 @@ def test_path_and_vote(spark):
 
 
 def test_pace_moves_over_a_mark():
-    pace = sequence.Pace()
-    assert pace.keep("a|b", 100.0, 0.9, 0.0, 0) == pytest.approx(0.9)
-    pace.speed = 1.0
-    after = pace.keep("b|c", 100.0, 0.0, 0.0, 10)
-    assert 0 <= after <= 0.05 and pace.stretch == "b|c"
-    assert sequence.Pace().keep("a|b", None, 0.4, 0.1, 0) == 0.4
+    track = sequence.Track()
+    assert track.placed("a|b", 100.0, 0.9, 0.0, 0) == pytest.approx(0.9)
+    track.mean[1] = 1.0
+    after = track.placed("b|c", 100.0, 0.0, 0.0, 10)
+    assert 0 <= after <= 0.05 and track.stretch == "b|c"
+    assert sequence.Track().placed("a|b", None, 0.4, 0.1, 0) == 0.4
+
+
+def test_a_place_has_one_measure_for_each_stretch_at_a_mark():
+    """90 m from a towards b at 1 m/s, 10 m before the mark b: on stretches of 50 m that begin or end at b, and on one without it."""
+    track = sequence.Track("a|b", 100.0, [90.0, 1.0])
+    assert track.on("b|c", 50.0) == [-10.0, 1.0] and track.on("c|b", 50.0) == [60.0, -1.0] and track.on("c|d", 50.0) is None
+    assert track.on("a|e", 50.0) == [-90.0, -1.0] and track.on("e|a", 50.0) == [140.0, 1.0] and track.on("a|b", 100.0) == [90.0, 1.0]
+    mean, spread = sequence.predicted([0.0, 2.0], [[4.0, 1.0], [1.0, 9.0]], 3.0)
+    q = sequence.C.PACE_ACCELERATION**2
+    assert mean == [6.0, 2.0] and spread[0] == pytest.approx([4 + 6 + 81 + q * 81 / 4, 1 + 27 + q * 13.5]) and spread[1] == pytest.approx([28 + q * 13.5, 9 + 9 * q])
+    mean, spread = sequence.corrected([6.0, 2.0], [[4.0, 2.0], [2.0, 9.0]], 8.0, 4.0)
+    assert mean == [7.0, 2.5] and spread == [[2.0, 1.0], [1.0, 8.5]]
 
 
 def test_debounce_counts_from_the_last_accepted(spark):
@@ -156,6 +168,21 @@ def test_notebook():
     assert notebook.geocoded("17:00 A # x\r\n18:00 B\r\n", {1: (-34.9, -56.1)}) == "17:00 A @ -34.900000, -56.100000 # x\r\n18:00 B\r\n"
 
 
+def test_notebook_lines_are_told_by_how_they_begin():
+    say = lambda raw: notebook.entry(1, raw)
+    assert (say("17:45:10 A y B @ -34.9 , 56 # x").clock, say("17:45 A @ -34.9,56").place, say("17:45 A @ home").name) == ((17, 45, 10), (-34.9, 56.0), "A @ home")
+    assert (say("2026-09-05T07:45 A").day, say("2026-09-05 7:45 A").clock, say("DATE 2026-09-05").day) == ("2026-09-05", (7, 45), "2026-09-05")
+    assert say("#7 A # seen").mark == 7 and say("\ufeff#7 A").mark == 7 and say("# only a comment") is None and say("   ") is None and say("#7") is None
+    assert all(say(x).wrong for x in ("date", "date soon", "date: 2026-09-05", "17 : 45 A", "2026-09 A", "17:5 A", "17:45"))
+    assert say("dates of A").name == "dates of A" and say("1st street").name == "1st street"
+    marks = [(k, datetime(2026, 9, 5, 17, k, tzinfo=TZ)) for k in (1, 2, 7)]
+    for bad in (["#1 A", "#1 B"], ["#3 A", "B"], ["#7 A", "B"]):
+        with pytest.raises(notebook.NotebookError):
+            notebook.Reader("n", date(2026, 9, 5), -10800, marks).read(bad)
+    with pytest.raises(notebook.NotebookError):
+        notebook.Reader("n", date(2026, 9, 5), 0, [(1, marks[0][1]), (1, marks[1][1])]).read(["A", "B"])
+
+
 def test_map_append_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "map")
     n = [("a", "aa:bb", None, None, -60, None, False)]
