@@ -85,7 +85,10 @@ def class_of(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], local: int = LOCAL, whole: bool = False) -> Iterator[pa.RecordBatch]:
-    """id, KEY, n, cls, check; for the first row of a class in its look also the prefix (or all of it), parted into narrow and wide columns."""
+    """id, KEY, n, cls, check; for the first row of a class in its look also the prefix (or all of it), parted into narrow and wide columns.
+
+    ``marks`` names each wide column of a look once, in the first row that has it.
+    """
     held: list[tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]] = []
     seen: set[int] = set()
     postings = 0
@@ -94,19 +97,24 @@ def _sets(batches: Iterator[pa.RecordBatch], local: int = LOCAL, whole: bool = F
         flat = np.concatenate([np.empty(0, np.int64), *(p for h in held for p in h[4])])
         keys, counts = np.unique(flat, return_counts=True)
         wide = keys[counts > local]
+        told = np.zeros(len(wide), bool)
         for ids, n, cls, check, prefixes in held:
             sizes = np.array([len(p) for p in prefixes])
             values = np.concatenate([np.empty(0, np.int64), *prefixes])
-            is_wide = np.zeros(len(values), bool)
+            is_wide, is_new = np.zeros(len(values), bool), np.zeros(len(values), bool)
             if len(wide):
                 at = np.minimum(np.searchsorted(wide, values), len(wide) - 1)
                 is_wide = wide[at] == values
+                met, first = np.unique(at[is_wide], return_index=True)
+                is_new[np.flatnonzero(is_wide)[first[~told[met]]]] = True
+                told[met] = True
             owner = np.repeat(np.arange(len(sizes)), sizes)
             yield pa.RecordBatch.from_arrays(
                 [*ids, pa.array(n), pa.array(cls), pa.array(check),
                  list_column(values[~is_wide], np.bincount(owner[~is_wide], minlength=len(sizes)), pa.int64()),
-                 list_column(values[is_wide], np.bincount(owner[is_wide], minlength=len(sizes)), pa.int64())],
-                names=["id", *KEY, "n", "cls", "check", "narrow", "wide"],
+                 list_column(values[is_wide], np.bincount(owner[is_wide], minlength=len(sizes)), pa.int64()),
+                 list_column(values[is_new], np.bincount(owner[is_new], minlength=len(sizes)), pa.int64())],
+                names=["id", *KEY, "n", "cls", "check", "narrow", "wide", "marks"],
             )
         held.clear()
         seen.clear()
@@ -274,7 +282,7 @@ def _search(table: pa.Table) -> pa.Table:
 
 
 TIES = "candidate long, block long, a long, b long"
-SETS = "id long, row_file long, row_at long, n long, cls long, check long, narrow array<long>, wide array<long>"
+SETS = "id long, row_file long, row_at long, n long, cls long, check long, narrow array<long>, wide array<long>, marks array<long>"
 PIECES = "candidate long, block long, cls long, shingles array<long>"
 
 
@@ -307,7 +315,7 @@ def labelled(rows: DataFrame) -> DataFrame:
 def product(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Columns of SETS -> (pairs of classes with their overlap in narrow columns: a, b, na, nb, c; each class's wide columns: cls, n, h, cols)."""
     narrow = sets.where(F.size("narrow") > 0).select(F.explode("narrow").alias("s"), "cls", "n")
-    marks = sets.where(F.size("wide") > 0).select(F.explode("wide").alias("s")).distinct()
+    marks = sets.where(F.size("marks") > 0).select(F.explode("marks").alias("s")).distinct()
     columns = narrow.union(marks.select("s", F.lit(-1).cast("long"), F.lit(0).cast("long")))
     widest = WIDE
     blocks = columns.repartition("s").mapInArrow(lambda batches: _block_product(batches, widest), "a long, b long, na long, nb long, c long")
