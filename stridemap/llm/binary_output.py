@@ -44,8 +44,8 @@ MEMORY, REMEMBERED = 250_000, 64
 _MAGIC = b"EFIDS001"
 #: Width of an id, documents, null ids, least id, then the places of the two lists.
 _FOOTER = "<BQQqQQ8s"
-#: What the tokenizer's pattern finds in lower-case ASCII without white space.
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
+#: What the tokenizer's pattern finds in lower-case ASCII from ! to ~, whose byte letters are themselves.
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 MANIFEST = "shard int, path string, docs long, nulls long, ids long, least long, greatest long, start long"
 DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -55,7 +55,7 @@ class Encoder:
     """Ids of texts as ``tokenizers`` gives them for a model file, packed; what stands between spaces is encoded once and remembered.
 
     A space or a line end always separates tokens in a model whose pattern never matches white space (``cuts``), so a text's ids are those of
-    the chunks between them. ASCII chunks are taken apart by the pattern and given to the library's BPE word by word; all others, texts with
+    the chunks between them. Chunks of printable ASCII are taken apart by the pattern and given to the library's BPE word by word; all others, texts with
     special strings, and all texts of other models go through the library whole.
     """
 
@@ -91,7 +91,7 @@ class Encoder:
         return found
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = b"".join(map(self._word, _ASCII_WORDS(chunk.lower()))) if chunk.isascii() else self.whole(chunk)
+        ids = b"".join(map(self._word, _ASCII_WORDS(chunk.lower()))) if chunk.isascii() and chunk.isprintable() else self.whole(chunk)
         if len(chunk) <= REMEMBERED:
             self.chunks[chunk] = ids
         return ids

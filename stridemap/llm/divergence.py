@@ -111,16 +111,15 @@ def share(n: Column, total: Column, terms: Column) -> Column:
 
 
 def _corrections(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows (number, absent share, term or null, share) of one block -> (a, b, value): what its terms add to V times the distance of absent shares."""
+    """Rows (number, block of sources, absent share, term or null, share) of two blocks of sources -> (a, b, value): what its terms add to V times the distance of absent shares."""
     lang = rows["lang"].iloc[0]
     low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
-    sources = rows.drop_duplicates("number")[["number", "absent"]].sort_values("number")
-    numbers, absent = sources["number"].to_numpy(), sources["absent"].to_numpy()
+    sources = rows.drop_duplicates("number")[["number", "block", "absent"]].sort_values("number")
+    numbers, blocks, absent = (sources[c].to_numpy() for c in ("number", "block", "absent"))
     own = rows[rows["term"].notna()]
     terms, columns = np.unique(own["term"].to_numpy().astype(str), return_inverse=True) if len(own) else (np.empty(0), np.empty(0, int))
     shares = np.repeat(absent[:, None], len(terms), axis=1)
     shares[np.searchsorted(numbers, own["number"].to_numpy()), columns] = own["share"].to_numpy()
-    blocks = numbers // SOURCE_BLOCK
     out_a, out_b, out_value = [], [], []
     for i in np.flatnonzero(blocks == low):
         others = np.flatnonzero((blocks == high) & (numbers > numbers[i]))
@@ -138,9 +137,9 @@ def _paired(sources: DataFrame, known: DataFrame) -> DataFrame:
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("term_blocks"), F.lit(1).cast("long")) - 1)).alias("term_block")
     frame = sources.select("lang", "number", "absent", "source_blocks", blocks, F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("share"))
     own = known.select("lang", "number", "absent", "source_blocks", F.pmod(F.xxhash64("term"), "term_blocks").alias("term_block"), "term", "share")
-    block = F.floor(F.col("number") / SOURCE_BLOCK)
-    both = frame.unionByName(own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("source_blocks") - 1)))
-    both = both.withColumn("low", F.least(block, "other")).withColumn("high", F.greatest(block, "other"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("source_blocks") - 1)).alias("other")
+    both = frame.unionByName(own).select("*", F.floor(F.col("number") / SOURCE_BLOCK).alias("block"), others).drop("source_blocks")
+    both = both.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     met = both.groupBy("lang", "term_block", "low", "high").applyInPandas(_corrections, "lang string, a long, b long, value long")
     return met.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
