@@ -1,7 +1,7 @@
 """Token ids as files: a concatenated id array with Elias-Fano document boundaries, read back through their select structures.
 
 Documents are encoded where they lie; the ids (2 bytes each for a vocabulary of up to 65,536, else 4) move once, to ranges of ascending doc_id
-of about SHARD_BYTES. A task writes one file a range, as a stream: ids of its documents end to end, an Elias-Fano list of their ends, one of the doc_ids, and
+of about SHARD_BYTES, whose ends are found on a sample of the ids. A task writes one file a range, as a stream: ids of its documents end to end, an Elias-Fano list of their ends, one of the doc_ids, and
 a footer. No table of 64-bit offsets exists: the start of a document is the end before it, and the start of a file is in the manifest, one row
 a file. The manifest names the files that count. It is written last, so a task that ran twice leaves no double, and a run that broke off no files that a reader sees.
 
@@ -21,7 +21,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +38,8 @@ from stridemap.runtime import KEY, keyed, materialize, scratch_path
 END_ID = 1
 #: Bytes of ids in a file, about; documents that a reading task looks at in one piece; bytes of ids that it holds.
 SHARD_BYTES, BLOCK, READ_BYTES = 256 << 20, 20_000, 4 << 20
+#: Rows of a range that are looked at to find its end, and of all ranges together at most.
+SAMPLED, MOST_SAMPLED = 100, 1_000_000
 #: Words and chunks that a task remembers with their ids, and the most code points of one.
 MEMORY, REMEMBERED = 250_000, 64
 
@@ -125,17 +127,25 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-_ENCODED = "doc_id long, row_file long, row_at long, n_tokens long, ids binary"
+_ENCODED = "shard int, doc_id long, row_file long, row_at long, n_tokens long, ids binary"
+#: Place of a row in the order of the files: whether it has an id, the id, KEY.
+Place = tuple[bool, int, int, int]
 
 
-def _encode_task(model_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _place(doc_id: int | None, *key: int) -> Place:
+    return (doc_id is not None, doc_id or 0, *key)
+
+
+def _encode_task(model_path: str, ends: list[Place]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(model_path)
         end = to_ids.packed([END_ID])
         for part in slices(batches, "text"):
             ids = [to_ids(text) + end if text else end for text in part.column("text").to_pylist()]
+            keys = [part.column(c) for c in ("doc_id", *KEY)]
+            shards = pa.array([bisect_right(ends, _place(*key)) for key in zip(*(k.to_pylist() for k in keys), strict=True)], pa.int32())
             counts = pa.array([len(x) // to_ids.width for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *KEY)), counts, pa.array(ids, pa.binary())], names=["doc_id", *KEY, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([shards, *keys, counts, pa.array(ids, pa.binary())], names=["shard", "doc_id", *KEY, "n_tokens", "ids"])
 
     return run
 
@@ -268,12 +278,12 @@ def write_tokens(docs: DataFrame, model_path: str, folder: str, id_col: str = "d
     """Write the ids of ``docs`` to ``folder`` (a URI that all executors reach), and return the manifest. ``scan``: see ``keyed``."""
     spark = bounded(docs).sparkSession
     rows = keyed(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), scan=scan)
-    encoded = materialize(rows.mapInArrow(_encode_task(model_path), _ENCODED), "encoded")  # the search for ranges reads it again
     width = encoder(model_path).width
-    count, total = encoded.agg(F.count("*"), F.sum("n_tokens")).first()
-    shards = max(1, min(count, max(spark.sparkContext.defaultParallelism, -(-(total or 0) * width // SHARD_BYTES))))
-    order = ["doc_id", *KEY]
-    dealt = encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    count, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    # A token of two bytes of text, or a byte of those that the vocabulary has no words for.
+    shards = max(1, min(count, max(spark.sparkContext.defaultParallelism, -(-(size or 0) * width // (2 * SHARD_BYTES)))))
+    encoded = rows.mapInArrow(_encode_task(model_path, _ends(rows, count, shards)), _ENCODED)
+    dealt = encoded.repartitionById(shards, "shard").sortWithinPartitions("doc_id", *KEY)
     written = materialize(dealt.select("doc_id", "n_tokens", "ids").mapInArrow(_write_task(folder, width), MANIFEST), "files")
     found = sorted(written.collect(), key=lambda r: r["shard"])  # a row a file
     start, manifest = 0, []
@@ -285,6 +295,18 @@ def write_tokens(docs: DataFrame, model_path: str, folder: str, id_col: str = "d
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
+def _ends(rows: DataFrame, count: int, shards: int) -> list[Place]:
+    """Where the ranges of ``shards`` files end: of SAMPLED places a range, and MOST_SAMPLED at most, every so many. The ranges hold all rows, whatever was sampled."""
+    if shards == 1:
+        return []
+    wanted = min(SAMPLED * shards, MOST_SAMPLED)
+    places = rows.select("doc_id", *KEY)
+    if wanted < count:
+        places = places.sample(fraction=min(1.0, 1.1 * wanted / count), seed=1)
+    found = sorted(_place(*r) for r in places.collect())
+    return [found[k * len(found) // shards] for k in range(1, shards)] if found else []
+
+
 def _drop_others(spark: SparkSession, folder: str, named: set[str]) -> None:
     """Delete the files of attempts that failed or were overtaken."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
