@@ -41,13 +41,14 @@ SHARD_BYTES, BLOCK, READ_BYTES = 256 << 20, 20_000, 4 << 20
 #: Rows of a range that are looked at to find its end, and of all ranges together at most.
 SAMPLED, MOST_SAMPLED = 100, 1_000_000
 #: Words and chunks that a task remembers with their ids, and the most code points of one.
-MEMORY, REMEMBERED = 250_000, 64
+MEMORY, REMEMBERED = 350_000, 64
 
 _MAGIC = b"EFIDS001"
 #: Width of an id, documents, null ids, least id, then the places of the two lists.
 _FOOTER = "<BQQqQQ8s"
-#: What the tokenizer's pattern finds in lower-case ASCII from ! to ~, whose byte letters are themselves.
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+#: Chunks of ASCII from ! to ~ and of the letters of Latin 1: each is composed, and one letter in lower case. What the tokenizer's pattern finds in them.
+_PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*").fullmatch
+_PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+").findall
 
 MANIFEST = "shard int, path string, docs long, nulls long, ids long, least long, greatest long, start long"
 DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -57,7 +58,7 @@ class Encoder:
     """Ids of texts as ``tokenizers`` gives them for a model file, packed; what stands between spaces is encoded once and remembered.
 
     A space or a line end always separates tokens in a model whose pattern never matches white space (``cuts``), so a text's ids are those of
-    the chunks between them. Chunks of printable ASCII are taken apart by the pattern and given to the library's BPE word by word; all others, texts with
+    the chunks between them. Plain chunks are taken apart by the pattern and given to the library's BPE word by word; all others, texts with
     special strings, and all texts of other models go through the library whole.
     """
 
@@ -65,6 +66,7 @@ class Encoder:
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -73,6 +75,8 @@ class Encoder:
             made = json.load(f)
         self.cuts = _is_word_model(made) and not any(re.search(r"\s", s) for s in self.special)
         self.model = self.tokenizer.model
+        of_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: of_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}  # what stands for their bytes in the vocabulary
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {"": b""}
 
@@ -85,7 +89,7 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            found = self.packed([t.id for t in self.model.tokenize(word)])
+            found = self.packed([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))])
             if len(word) <= REMEMBERED:
                 if len(self.words) >= MEMORY:
                     self.words.clear()
@@ -93,7 +97,7 @@ class Encoder:
         return found
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = b"".join(map(self._word, _ASCII_WORDS(chunk.lower()))) if chunk.isascii() and chunk.isprintable() else self.whole(chunk)
+        ids = b"".join(map(self._word, _PLAIN_WORDS(chunk.lower()))) if _PLAIN(chunk) else self.whole(chunk)
         if len(chunk) <= REMEMBERED:
             self.chunks[chunk] = ids
         return ids

@@ -190,6 +190,8 @@ def test_ids_are_the_library_s(spark):
     texts = [t for (t,) in duckdb.sql(f"select text from '{DOCUMENTS}' where text is not null").fetchall()]
     r = random.Random(1)
     planes = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    latin = [chr(c) for c in range(0x180)]
+    texts += ["".join(r.choice(latin) + r.choice(["", "", "a", "'", "'ll"]) for _ in range(900)) for _ in range(200)]
     texts += ["".join(r.choice(planes) + r.choice(["", " ", "a", "\n", "'s"]) for _ in range(400)) for _ in range(300)]
     for text, encoded in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(made(text), "<u2").tolist() == encoded.ids
