@@ -1,7 +1,7 @@
 """How far the sources of a language diverge: a two-pass vocabulary automaton and sparse postings.
 
 The first pass counts exactly in how many documents of a language each term occurs; terms in MIN_DOCS of them are kept. The second pass counts their
-occurrences by an Aho-Corasick automaton of the kept terms, each between blanks, over the texts whose terms are put between single blanks. A
+occurrences by an Aho-Corasick automaton of the kept terms, each between blanks, over the texts in which all but terms is blank. A
 vocabulary is cut into blocks of VOCABULARY_BYTES, each broadcast for one scan of the documents, so no task holds more than a block.
 
 The counts are postings (language, source, term); absent terms have no row. All sources of a language share V kept terms, and of each only the share of an
@@ -26,29 +26,49 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stridemap.llm.batches import bounded, slices
+from stridemap.llm.batches import bounded, slices, text_bytes
 from stridemap.runtime import BROADCAST_BYTES, materialize
 
 #: Documents of its language that a kept term is in at least; what is added to each count; what shares add up to, about; ranks of the term part.
 MIN_DOCS, ADDED, WHOLE, RANKS = 30, 5, 1_000_000_000, 50
 #: Bytes of terms in an automaton; entries of counts that a task collects before it emits them.
-VOCABULARY_BYTES, COUNTED = 16 << 20, 500_000
+VOCABULARY_BYTES, COUNTED = 16 << 20, 800_000
 TERM_BLOCK, SOURCE_BLOCK = 1024, 128
 
-_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes between terms become blanks, and A-Z lower-case; all bytes of other letters are terms' and stay.
+_BLANKED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SCHEMA = "lang string, source string, part string, item string, value long, rank int"
 
 
-def spaced(text: Column) -> Column:
-    """``text`` with A-Z in lower case and its terms between single blanks."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, _UPPER, _UPPER.lower()), _BETWEEN, " ")), F.lit(" "))
+def spaced(part: pa.RecordBatch) -> Iterator[bytes]:
+    """Of each row's text its terms, between blanks."""
+    raw, offsets = text_bytes(part.column("text"))
+    data = raw.tobytes().translate(_BLANKED)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield data[a:b]
+
+
+def _documents_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[str, Counter] = {}
+
+    def emitted() -> pa.RecordBatch:
+        langs, terms, ns = zip(*((lang, term, n) for lang, own in counts.items() for term, n in own.items()), strict=True)
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64())], names=["lang", "term", "n"])
+
+    for part in slices(batches, "text"):
+        for lang, text in zip(part.column("lang").to_pylist(), spaced(part), strict=True):
+            counts.setdefault(lang, Counter()).update(set(text.split()))
+        if sum(map(len, counts.values())) >= COUNTED:
+            yield emitted()
+    if any(counts.values()):
+        yield emitted()
 
 
 def kept_terms(docs: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, term) in at least ``min_docs`` of a language's ``docs`` (lang, spaced text)."""
-    terms = docs.select("lang", F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("term")).where("term <> ''")
-    return terms.groupBy("lang", "term").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("lang", "term")
+    """(lang, term) in at least ``min_docs`` of a language's ``docs`` (lang, text)."""
+    counts = docs.mapInArrow(_documents_task, "lang string, term string, n long")
+    return counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("lang", "term")
 
 
 def _count_task(vocabulary: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -69,9 +89,9 @@ def _count_task(vocabulary: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], I
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _COUNT_KINDS, strict=True)], names=["lang", "source", "term", "n"])
 
         for part in slices(batches, "text"):
-            for lang, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+            for lang, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source")), spaced(part), strict=True):
                 if lang in automata:
-                    found = [k for _, k in automata[lang].iter(text)]
+                    found = [k for _, k in automata[lang].iter(f" {text.decode()} ")]
                     if found:
                         counts.setdefault((lang, source), Counter()).update(found)
             if sum(map(len, counts.values())) >= COUNTED:
@@ -86,7 +106,7 @@ _COUNT_KINDS = (pa.string(), pa.string(), pa.string(), pa.int64())
 
 
 def postings(docs: DataFrame, kept: DataFrame, vocabulary_bytes: int = VOCABULARY_BYTES) -> DataFrame:
-    """(lang, source, term, n): how often the ``kept`` (lang, term) occur in the ``docs`` (lang, source, spaced text) of a source."""
+    """(lang, source, term, n): how often the ``kept`` (lang, term) occur in the ``docs`` (lang, source, text) of a source."""
     spark = docs.sparkSession
     total = kept.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0
     blocks = -(-total // vocabulary_bytes)
@@ -147,7 +167,7 @@ def _paired(sources: DataFrame, known: DataFrame) -> DataFrame:
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, ranks: int = RANKS, vocabulary_bytes: int = VOCABULARY_BYTES) -> DataFrame:
     """The audit of ``docs`` (text, lang, source): SCHEMA, parts ``pair`` and ``term``."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = bounded(docs).select(empty("lang").alias("lang"), empty("source").alias("source"), spaced(empty("text")).alias("text"))
+    rows = bounded(docs).select(*(empty(c).alias(c) for c in ("lang", "source", "text")))
     kept = materialize(kept_terms(rows, min_docs), "kept", few=True)
     counts = postings(rows, kept, vocabulary_bytes)
     sizes = kept.groupBy("lang").agg(F.count("*").alias("terms"))
