@@ -1,11 +1,12 @@
 """Fingerprint maps and locating scans on them by weighted set similarity.
 
-``fps`` (fp_id, grp, walk, t, stretch, fraction, lat, lon, length_m), ``fp_keys`` (fp_id, key, strength), ``queries`` (query, grp) and
+``fps`` (fp_id, grp, walk, t, stretch, fraction, lat, lon, length_m), ``fp_keys`` (fp_id, key, strength; a key once a look), ``queries`` (query, grp) and
 ``query_keys`` (query, key, strength). ``grp`` is what is held out: a query is never matched with fingerprints of its own group. With
 all groups of queries distinct from those of the map, nothing is held out.
 
-Every query is scored in one job: an equi-join on the key instead of all pairs, with the weights of the map without the query's group
-worked out from counts (document frequency less the group's own) instead of a map per group.
+Every query is scored in one job, with the weights of the map without the query's group worked out from counts (document frequency less the
+group's own) instead of a map per group. Pairs that can't reach the floor are never made: a prefix index over the rarest keys finds the walks that may answer (``candidate_walks``), and
+only these are scored, in full. A network that all looks hear is in no prefix, so it is joined with nothing.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 
 from stridemap import constants as C
 from stridemap.functions.exprs import distance_m
-from stridemap.runtime import materialize
+from stridemap.runtime import materialize, small_side
 
 #: Decimals to which scores are rounded before they are ranked, so that the order of summing can't decide a tie.
 DECIMALS = 9
+#: What a bound gives way, for rounding.
+SLACK = 1e-6
 #: Up to so many held-out groups, every fingerprint is weighed once for each of them.
 FEW_GROUPS = 100
 
@@ -54,41 +57,99 @@ def weighted(keys: DataFrame, own: DataFrame, rest: DataFrame, df: DataFrame, by
     return rows.withColumn("weight", weight).drop("rest_n", "df", "own")
 
 
-def similarities(fps: DataFrame, fp_keys: DataFrame, queries: DataFrame, query_keys: DataFrame, by_signal: bool = False, by_rarity: bool = True) -> DataFrame:
-    """(query, fp_id, score) of all pairs that share a key; the others score 0."""
+def candidate_walks(asked: DataFrame, fps: DataFrame, fp_keys: DataFrame, own: DataFrame, floor: float, by_rarity: bool = True) -> DataFrame:
+    """(query, grp, walk) of all walks with a fingerprint that may score ``floor`` at least, found through rare keys alone. ``own``: see ``held_out_weights``.
+
+    Keys are put in one order, the rarest first. What two looks share weighs no less than ``floor`` times either of them, and no more than what is left from the
+    first shared key on. So the first shared key stands before the tails of both that weigh less than that share, and only these heads are
+    joined. A fingerprint's weights depend on the group that is left out; its head is that of the least total and the greatest tail of all groups.
+    """
+    share = max(floor - SLACK, 0.0)
+    sizes = fps.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    bounds = own.groupBy("key").agg(F.sum("own").alias("df"), F.max("own").alias("own")).crossJoin(F.broadcast(sizes))
+    low = F.log(1.0 + (F.col("n") - F.col("most")) / F.col("df")) if by_rarity else F.lit(1.0)
+    high = F.log(1.0 + F.col("n") / F.greatest(F.col("df") - F.col("own"), F.lit(1))) if by_rarity else F.lit(1.0)
+    bounds = bounds.select("key", "df", low.alias("low"), high.alias("high"))
+    back = [F.desc("df"), F.desc("key")]
+    tail = Window.partitionBy("query").orderBy(*back).rowsBetween(Window.unboundedPreceding, 0)
+    of_query = Window.partitionBy("query")
+    mine = asked.join(bounds.select("key", "df"), "key", "left").fillna(0, ["df"]).select("query", "grp", "key", "df", F.sum("weight").over(tail).alias("left"), F.sum("weight").over(of_query).alias("wq"))
+    mine = mine.where((F.col("df") > 0) & (F.col("left") >= share * F.col("wq"))).select("query", "grp", "key", "wq")
+    tail, of_fp = Window.partitionBy("fp_id").orderBy(*back).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("fp_id")
+    theirs = fp_keys.join(bounds, "key").select(
+        "fp_id", "key", F.sum("high").over(tail).alias("left"), F.sum("low").over(of_fp).alias("least"), F.sum("high").over(of_fp).alias("most"))
+    theirs = theirs.where(F.col("left") >= share * F.col("least")).join(fps.select("fp_id", "walk", F.col("grp").alias("fp_grp")), "fp_id")
+    # Of a walk's fingerprints with a key one row is enough: the bounds of all of them.
+    theirs = theirs.groupBy("key", "walk", "fp_grp").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    met = mine.join(theirs, "key").where((F.col("grp") != F.col("fp_grp")) & (F.col("wq") >= share * F.col("least")) & (F.col("most") >= share * F.col("wq")))
+    return met.select("query", "grp", "walk").distinct()
+
+
+def walk_scores(fps: DataFrame, fp_keys: DataFrame, queries: DataFrame, query_keys: DataFrame, by_signal: bool = False, by_rarity: bool = True,
+                floor: float = C.SIMILARITY_FLOOR) -> DataFrame:
+    """(query, score, and the columns of ``fps``) of every fingerprint of the walks in which one may score ``floor``; also those that share no key, as 0.
+
+    Walks are joined with the query's keys and these with the walk's fingerprints, by key; while map and queries are small, within one task a (query, walk).
+    """
     groups = queries.select("grp").distinct()
     own, rest = held_out_weights(fp_keys, fps, groups)
-    df = fp_keys.groupBy("key").agg(F.countDistinct("fp_id").alias("df"))
+    own = materialize(own, "own", few=True)
+    df = own.groupBy("key").agg(F.sum("own").alias("df"))
     asked = weighted(query_keys.join(queries, "query").select("query", "grp", "key", "strength"), own, rest, df, by_rarity)
+    asked = materialize(asked.select("query", "grp", "key", "strength", "weight"), "asked", few=True)
+    walks = materialize(candidate_walks(asked, fps, fp_keys, own, floor, by_rarity), "walks", few=True)
     totals = asked.groupBy("query").agg(F.sum("weight").alias("wq"))
-    there = fp_keys.join(fps.select("fp_id", F.col("grp").alias("fp_grp")), "fp_id").select("fp_id", "fp_grp", "key", F.col("strength").alias("theirs"))
-    met = asked.join(there, "key").where("grp <> fp_grp").groupBy("query", "grp", "fp_id").agg(
-        F.sum("weight").alias("inter"), F.avg(F.abs(F.col("strength") - F.col("theirs"))).alias("off")
-    )
-    # A fingerprint's total weight depends on the group that is left out: for a few groups it is summed for each, for many only for
-    # those groups that met it (which takes the pairs twice, so they are written once).
+    # A fingerprint's total weight depends on the group that is left out: for a few groups it is summed for each, for many only for those that may meet it.
     if groups.count() <= FEW_GROUPS:
         needed = fp_keys.select("fp_id", "key").crossJoin(F.broadcast(groups))
     else:
-        met = materialize(met, "met")
-        needed = met.select("grp", "fp_id").distinct().join(fp_keys.select("fp_id", "key"), "fp_id")
-    sums = weighted(needed, own, rest, df, by_rarity).groupBy("grp", "fp_id").agg(F.sum("weight").alias("wf"))
-    score = F.col("inter") / (F.col("wq") + F.col("wf") - F.col("inter"))
+        needed = walks.select("grp", "walk").distinct().join(fps.select("walk", "fp_id"), "walk").select("grp", "fp_id").join(fp_keys.select("fp_id", "key"), "fp_id")
+    sums = materialize(weighted(needed, own, rest, df, by_rarity).groupBy("grp", "fp_id").agg(F.sum("weight").alias("wf")), "sums", few=True)
+    # A key of no weight that all looks have keeps fingerprints that share no other.
+    mine = asked.select("query", "key", "weight", "strength").unionByName(totals.select("query", *(F.lit(v).cast(k).alias(c) for c, k, v in _ALL)))
+    there = fps.select("walk", "fp_id")
+    theirs = fp_keys.join(there, "fp_id").select("walk", "key", "fp_id", F.col("strength").alias("theirs")).unionByName(
+        there.withColumn("key", F.lit(_ALL[0][2])).withColumn("theirs", F.lit(None).cast("double"))
+    )
+    # Pairs are many times the bytes of what is joined, so they are dealt to as many tasks as there are shuffle partitions, whatever their bytes.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = walks.repartition(tasks, "query", "walk").join(small_side(mine, 64), "query").join(small_side(theirs, 80), ["walk", "key"])
+    off = F.abs(F.col("strength") - F.col("theirs"))
+    pairs = met.groupBy("query", "walk", "grp", "fp_id").agg(F.sum("weight").alias("inter"), F.avg(off).alias("off"))
+    pairs = pairs.join(small_side(totals, 32), "query").join(small_side(sums, 64), ["grp", "fp_id"], "left")
+    inter = F.col("inter")
+    score = inter / (F.col("wq") + F.col("wf") - inter)
     if by_signal:
         score = score * F.coalesce(F.exp(-F.col("off") / C.RSSI_SCALE), F.lit(C.SIGNAL_UNKNOWN))
-    return met.join(totals, "query").join(sums, ["grp", "fp_id"]).select("query", "fp_id", F.round(score, DECIMALS).alias("score"))
+    pairs = pairs.select("query", "walk", "fp_id", F.when(inter > 0, F.round(score, DECIMALS)).otherwise(0.0).alias("score"))
+    return pairs.join(small_side(fps, 200), ["walk", "fp_id"])
+
+
+#: What stands in for a key that all looks have.
+_ALL = (("key", "string", "\0"), ("weight", "double", 0.0), ("strength", "double", None))
+
+
+def similarities(fps: DataFrame, fp_keys: DataFrame, queries: DataFrame, query_keys: DataFrame, by_signal: bool = False, by_rarity: bool = True,
+                 floor: float = 0.0) -> DataFrame:
+    """(query, fp_id, score) of all pairs that score ``floor`` at least; with a floor of 0, of all that share a key."""
+    rows = walk_scores(fps, fp_keys, queries, query_keys, by_signal, by_rarity, floor)
+    return rows.where((F.col("score") > 0) & (F.col("score") >= floor)).select("query", "fp_id", "score")
 
 
 def looks(scores: DataFrame, fps: DataFrame, reach_s: int = C.ONE_LOOK_S, floor: float = C.SIMILARITY_FLOOR) -> DataFrame:
-    """Each walk's best look at a query: the fingerprints within reach of one of them with the highest mean score.
+    """``best_looks`` from (query, fp_id, score) of fingerprints that share something with the query; the rest of their walks is joined back."""
+    hits = scores.join(fps.select("fp_id", "walk"), "fp_id").select("query", "walk").distinct()
+    rows = hits.join(fps, "walk").join(scores.select("query", "fp_id", "score"), ["query", "fp_id"], "left")
+    return best_looks(rows.withColumn("score", F.coalesce("score", F.lit(0.0))), reach_s, floor)
 
-    The mean counts fingerprints that share nothing with the query as 0, so the whole walk is joined back; walks without any hit
-    can't reach the floor. Ties: untimed fingerprints in file order, then the earliest.
+
+def best_looks(rows: DataFrame, reach_s: int = C.ONE_LOOK_S, floor: float = C.SIMILARITY_FLOOR) -> DataFrame:
+    """Each walk's best look at a query, from ``walk_scores``: the fingerprints within reach of one of them with the highest mean score.
+
+    The mean counts fingerprints that share nothing with the query as 0. It is no more than the best score of the look, so walks without a score of ``floor`` have no
+    row anyway. Ties: untimed fingerprints in file order, then the earliest.
     """
-    walks = fps.select("walk", F.col("fp_id").alias("fp"), "t", "stretch", "fraction", "lat", "lon", "length_m", "grp")
-    hits = scores.join(fps.select("fp_id", "walk"), "fp_id").select("query", "walk").distinct()
-    rows = hits.join(walks, "walk").join(scores.select("query", F.col("fp_id").alias("fp"), "score"), ["query", "fp"], "left")
-    rows = rows.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    rows = rows.withColumnRenamed("fp_id", "fp")
     timed = F.col("t").isNotNull()
     # An untimed fingerprint is a neighbourhood of one.
     w = Window.partitionBy("query", "walk", F.when(timed, F.lit(-1)).otherwise(F.col("fp"))).orderBy("t").rangeBetween(-reach_s, reach_s)
@@ -153,8 +214,8 @@ def locations(ranked: DataFrame) -> DataFrame:
 def locate(fps: DataFrame, fp_keys: DataFrame, queries: DataFrame, query_keys: DataFrame, by_signal: bool = False, by_rarity: bool = True,
            neighbours: int = C.NEIGHBOURS, floor: float = C.SIMILARITY_FLOOR, reach_s: int = C.ONE_LOOK_S) -> DataFrame:
     """Where each query was taken; queries that match nothing well enough have no row."""
-    scores = similarities(fps, fp_keys, queries, query_keys, by_signal, by_rarity)
-    return locations(candidates(looks(scores, fps, reach_s, floor), fps, neighbours))
+    scores = walk_scores(fps, fp_keys, queries, query_keys, by_signal, by_rarity, floor)
+    return locations(candidates(best_looks(scores, reach_s, floor), fps, neighbours))
 
 
 def append_outings(fps: DataFrame, known: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from stridemap.runtime import materialize
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fingerprints, their keys, candidates of every look against the other days), the last written once."""
     fps, keys, queries, query_keys = _held_out(spark, sf_dir)
-    found = matching.looks(matching.similarities(fps, keys, queries, query_keys), fps, REACH_S)
+    found = matching.best_looks(matching.walk_scores(fps, keys, queries, query_keys), REACH_S)
     return fps, keys, materialize(matching.candidates(found, fps), "candidates")
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stridemap import constants as C
 from stridemap.functions import exprs
 from stridemap.operators import matching, networks, placement, scans
 from stridemap.plans.lens import E_SQL, events, fingerprints, placed_sightings, segments, waypoints
 from stridemap.plans.lens import scans as looks_of
+from stridemap.runtime import materialize
 
 #: Hourly looks: a look's neighbours are an hour away.
 REACH_S = 3600
@@ -293,13 +295,13 @@ def rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    fps, keys = fingerprints(events(spark, sf_dir))
+    fps, keys = (materialize(x, "fingerprints", few=True) for x in fingerprints(events(spark, sf_dir)))
     queries = fps.select(F.col("fp_id").alias("query"), "grp")
     return fps, keys, queries, keys.withColumnRenamed("fp_id", "query")
 
 
 def similarity(spark: SparkSession, sf_dir: str, by_signal: bool = False) -> DataFrame:
-    rows = matching.similarities(*_held_out(spark, sf_dir), by_signal=by_signal)
+    rows = matching.similarities(*_held_out(spark, sf_dir), by_signal=by_signal, floor=C.SIMILARITY_FLOOR)
     top = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "fp_id")
     return rows.withColumn("nth", F.row_number().over(top)).where("nth <= 5").select("query", "fp_id", "nth", *_r("score"))
 
@@ -322,13 +324,13 @@ sim AS (SELECT query, met.fp_id, round(inter / (wq + wf - inter), 9) AS score, r
 
 
 def _top_sql(column: str) -> str:
-    return f"""WITH {SIM_SQL}, o AS (SELECT query, fp_id, round({column}, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY round({column}, 9) DESC, fp_id) AS nth FROM sim)
+    return f"""WITH {SIM_SQL}, o AS (SELECT query, fp_id, round({column}, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY round({column}, 9) DESC, fp_id) AS nth FROM sim WHERE round({column}, 9) >= 0.15)
 SELECT query, fp_id, nth, score FROM o WHERE nth <= 5"""
 
 
 def looks(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps, keys, queries, query_keys = _held_out(spark, sf_dir)
-    rows = matching.looks(matching.similarities(fps, keys, queries, query_keys), fps, REACH_S)
+    rows = matching.best_looks(matching.walk_scores(fps, keys, queries, query_keys), REACH_S)
     return rows.select("query", "walk", "stretch", *_r("fraction", digits=4), "score", "best")
 
 

@@ -33,8 +33,7 @@ def locate_batch(looks: DataFrame, fps: DataFrame, fp_keys: DataFrame, reach_s:
     named = looks.where("key <> ''").withColumn("query", F.concat_ws("|", "run", "scan_id"))
     queries = named.select("query", F.lit("").alias("grp")).distinct()
     keys = named.groupBy("query", "key").agg(F.max("strength").alias("strength"))
-    scores = matching.similarities(fps, fp_keys, queries, keys)
-    ranked = matching.candidates(matching.looks(scores, fps, reach_s), fps)
+    ranked = matching.candidates(matching.best_looks(matching.walk_scores(fps, fp_keys, queries, keys), reach_s), fps)
     runs = looks.withColumn("query", F.concat_ws("|", "run", "scan_id")).groupBy("run", "query").agg(F.min("t").alias("t"), F.min("pos").alias("seq"))
     voted = sequence.vote(ranked, runs.select("run", "seq", "query")).select("query", "stretch", "settled", "alternative")
     places = matching.locations(ranked.join(voted.select("query", "stretch"), ["query", "stretch"]).withColumn("rank", F.lit(1)))

@@ -109,8 +109,8 @@ def check(
     """(report, jumps) of a map with each outing held out; ``order``: None, "tie" or "path"."""
     queries = fps.select(F.col("fp_id").alias("query"), "grp")
     asked = corrected_keys(fps, keys)[0] if calibrate else keys.withColumnRenamed("fp_id", "query")
-    scores = materialize(matching.similarities(fps, keys, queries, asked, by_signal), "scores")
-    ranked = materialize(matching.candidates(matching.looks(scores, fps, reach_s), fps), "ranked")
+    scores = matching.walk_scores(fps, keys, queries, asked, by_signal)
+    ranked = materialize(matching.candidates(matching.best_looks(scores, reach_s), fps), "ranked")
     answers = settled(ranked, fps, order)
     if along_levels:
         answers = held_out_levels(answers, fps, keys, asked)
@@ -118,8 +118,8 @@ def check(
         timed = answers.join(fps.select(F.col("fp_id").alias("query"), F.col("grp").alias("run"), "t"), "query").withColumn("seq", F.col("query"))
         moved = sequence.paced(timed).select("query", F.col("fraction").alias("moved"))
         # Each group's lines are those of the map without it.
-        lines = held_out_lines(fps)
-        answers = answers.join(moved, "query").join(queries, "query").join(lines, ["grp", "stretch"], "left")
+        answers = answers.join(moved, "query").join(queries, "query")
+        answers = answers.join(held_out_lines(fps, answers.select("grp", "stretch")), ["grp", "stretch"], "left")
         answers = answers.withColumn("lat", F.when(F.col("lat").isNotNull(), F.col("lat_0") + F.col("lat_slope") * F.col("moved")))
         answers = answers.withColumn("lon", F.when(F.col("lon").isNotNull(), F.col("lon_0") + F.col("lon_slope") * F.col("moved"))).withColumn("fraction", F.col("moved"))
     rows = materialize(evaluate.measured(fps, answers), "measured")
@@ -132,12 +132,33 @@ def in_a_row(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("grp").alias("run"), "t", own.alias("stretch"), F.col("f_fraction").alias("fraction"), "length_m")
 
 
-def held_out_lines(fps: DataFrame) -> DataFrame:
-    """``matching.stretch_lines`` of the map without each group."""
-    groups = fps.select(F.col("grp").alias("held")).distinct()
-    rest = fps.join(groups, F.col("grp") != F.col("held"))
-    lines = matching.stretch_lines(rest.withColumn("stretch", F.concat_ws("\0", "held", "stretch")))
-    return lines.withColumn("grp", F.split("stretch", "\0")[0]).withColumn("stretch", F.split("stretch", "\0")[1])
+def held_out_lines(fps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``matching.stretch_lines`` of the map without each group, for the ``wanted`` (grp, stretch): sums of all groups less those of the own."""
+    rows = fps.where("lat is not null and fraction is not null").select("grp", "stretch", "fraction", "lat", "lon")
+    # Coordinates are taken from a corner of the stretch, so that the difference of two sums keeps its digits.
+    corner = rows.groupBy("stretch").agg(F.min("lat").alias("lat_min"), F.min("lon").alias("lon_min"))
+    rows = rows.join(corner, "stretch").withColumn("y", F.col("lat") - F.col("lat_min")).withColumn("x", F.col("lon") - F.col("lon_min"))
+    moments = {"n": "1.0D", "f": "fraction", "ff": "fraction * fraction", "y": "y", "x": "x", "fy": "fraction * y", "fx": "fraction * x"}
+    own = rows.groupBy("stretch", "grp").agg(
+        *(F.sum(F.expr(e)).alias(f"own_{k}") for k, e in moments.items()), F.min("fraction").alias("low"), F.max("fraction").alias("high"), F.min("lat_min").alias("lat_min"),
+        F.min("lon_min").alias("lon_min"),
+    )
+    own = materialize(own, "moments", few=True)
+    # The least and the greatest fraction of the others: those of the group with the least (greatest) one, and of the rest.
+    ends = own.groupBy("stretch").agg(F.min(F.struct("low", "grp")).alias("first"), F.max(F.struct("high", "grp")).alias("last"))
+    named = own.select("stretch", "grp", "low", "high").join(ends, "stretch")
+    second = named.groupBy("stretch").agg(F.min(F.when(F.col("grp") != F.col("first.grp"), F.col("low"))).alias("low_2"), F.max(F.when(F.col("grp") != F.col("last.grp"), F.col("high"))).alias("high_2"))
+    total = own.groupBy("stretch").agg(*(F.sum(f"own_{k}").alias(k) for k in moments), F.min("lat_min").alias("lat_min"), F.min("lon_min").alias("lon_min"))
+    total = total.join(ends, "stretch").join(second, "stretch")
+    met = wanted.distinct().join(total, "stretch").join(own.select("stretch", "grp", *(f"own_{k}" for k in moments)), ["stretch", "grp"], "left")
+    met = met.withColumns({k: F.col(k) - F.coalesce(f"own_{k}", F.lit(0.0)) for k in moments})
+    low = F.when(F.col("grp") == F.col("first.grp"), F.col("low_2")).otherwise(F.col("first.low"))
+    high = F.when(F.col("grp") == F.col("last.grp"), F.col("high_2")).otherwise(F.col("last.high"))
+    met = met.where(low < high).withColumn("flat", F.expr("n * ff - f * f"))
+    slope = lambda v: (F.col("n") * F.col(f"f{v}") - F.col("f") * F.col(v)) / F.col("flat")
+    met = met.withColumn("lat_slope", slope("y")).withColumn("lon_slope", slope("x"))
+    at = lambda v, c: F.col(f"{c}_min") + (F.col(v) - F.col(f"{c}_slope") * F.col("f")) / F.col("n")
+    return met.select("grp", "stretch", "lat_slope", at("y", "lat").alias("lat_0"), "lon_slope", at("x", "lon").alias("lon_0"))
 
 
 def corrected_keys(fps: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,15 +187,13 @@ def settled(ranked: DataFrame, fps: DataFrame, order: str | None) -> DataFrame:
 
 def held_out_levels(answers: DataFrame, fps: DataFrame, keys: DataFrame, asked: DataFrame) -> DataFrame:
     """Answers placed on the level curves of the map without their own group."""
-    groups = fps.select(F.col("grp").alias("held")).distinct()
-    rest = fps.join(groups, F.col("grp") != F.col("held"))
-    named = rest.withColumn("stretch", F.concat_ws("\0", "held", "stretch")).withColumn("copy", F.concat_ws("\0", "held", F.col("fp_id").cast("string")))
-    theirs = keys.where("strength is not null").join(named.select("fp_id", "copy"), "fp_id").drop("fp_id").withColumnRenamed("copy", "fp_id")
-    curve = materialize(levels.curves(named.drop("fp_id").withColumnRenamed("copy", "fp_id"), theirs), "curves")
-    own = answers.join(fps.select(F.col("fp_id").alias("query"), F.col("grp").alias("own")), "query").withColumn("stretch", F.concat_ws("\0", "own", "stretch"))
-    moved = levels.place(own, curve, asked.where("strength is not null")).withColumnRenamed("fraction", "moved")
-    lines = held_out_lines(fps)
-    rows = answers.join(moved, "query", "left").join(fps.select(F.col("fp_id").alias("query"), "grp"), "query").join(lines, ["grp", "stretch"], "left")
+    own = answers.join(fps.select(F.col("fp_id").alias("query"), "grp"), "query")
+    wanted = materialize(own.select("grp", "stretch").distinct(), "wanted", few=True)
+    heard = keys.where("strength is not null")
+    curve = materialize(levels.held_out_curves(fps, heard, wanted), "curves")
+    named = own.withColumn("stretch", F.concat_ws("\0", "grp", "stretch"))
+    moved = levels.place(named, curve.withColumn("stretch", F.concat_ws("\0", "grp", "stretch")), asked.where("strength is not null")).withColumnRenamed("fraction", "moved")
+    rows = answers.join(moved, "query", "left").join(own.select("query", "grp"), "query").join(held_out_lines(fps, wanted), ["grp", "stretch"], "left")
     on = lambda c: F.when(F.col("moved").isNotNull() & F.col(c).isNotNull(), F.col(f"{c}_0") + F.col(f"{c}_slope") * F.col("moved")).otherwise(F.col(c))
     return rows.withColumn("lat", on("lat")).withColumn("lon", on("lon")).withColumn("fraction", F.coalesce("moved", "fraction")).select(answers.columns)
 
