@@ -106,13 +106,13 @@ def records_of(lines: DataFrame) -> DataFrame:
     )
 
 
-def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, value) of text files; ``pos`` rises along each file.
+def lines_of(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
+    """(file, pos, value) of text files, with ``deep`` of those in subfolders too; ``pos`` rises along each file.
 
     A file is one row of its lines here, so that their order is known: logs are rotated files of a few MB, and many files are read in
     parallel.
     """
-    whole_files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole_files = spark.read.option("recursiveFileLookup", deep).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole_files.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("pos", "value")).where("trim(value) <> ''").select(
         "file", F.col("pos").cast("bigint").alias("pos"), "value"
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ def fingerprints_of(lines: DataFrame) -> DataFrame:
 def read_map(spark: SparkSession, path: str) -> DataFrame:
     """The fingerprints of a map in file order; a path that doesn't exist is an empty map, one that can't be read an error."""
     try:
-        return fingerprints_of(lines_of(spark, path))
+        return fingerprints_of(lines_of(spark, path, deep=True))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -55,18 +58,37 @@ def encoded(fps: DataFrame) -> DataFrame:
 def append_map(fps: DataFrame, path: str) -> int:
     """Add the outings that a map (a folder of JSON lines) doesn't hold; the number of fingerprints added.
 
-    All of a call's rows appear at once, when the job commits. A second call with the same outings adds nothing.
+    Rows are staged beside the map, hidden from readers, in a folder for each outing. A folder becomes part of the map by one rename, which is refused if
+    the outing's folder is there: of two callers with one outing the first adds it, the other nothing. An outing is on the map as a whole or not at all, and a call
+    that broke off can be made again. Fingerprints without an outing are added each time.
     """
     from stridemap.operators.matching import append_outings
 
-    fresh = append_outings(fps, read_map(fps.sparkSession, path)).cache()
+    spark = fps.sparkSession
+    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    part = F.coalesce(F.concat(F.lit("outing-"), F.sha2("outing", 256)), F.lit(f"unnamed-{uuid.uuid4().hex}"))
+    encoded(append_outings(fps, read_map(spark, path))).select(part.alias("part"), "value").write.partitionBy("part").text(staging)
     try:
-        n = fresh.count()
-        if n:
-            encoded(fresh).select("value").write.mode("append").text(path)
-        return n
+        staged = spark.read.schema("value string, part string").text(staging).groupBy("part").agg(F.count("*").alias("n")).collect()  # a row an outing
+        return sum(r["n"] for r in staged if _renamed(spark, f"{staging}/part={r['part']}", f"{path.rstrip('/')}/{r['part']}"))
     finally:
-        fresh.unpersist()
+        where = spark._jvm.org.apache.hadoop.fs.Path(staging)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _renamed(spark: SparkSession, source: str, target: str) -> bool:
+    """Whether ``source`` was renamed; not if ``target`` exists."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    old, new = fs.Path(source), fs.Path(target)
+    context = fs.FileContext.getFileContext(old.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    strict = spark._jvm.java.lang.reflect.Array.newInstance(fs.Options.Rename.NONE.getClass(), 0)
+    try:
+        context.rename(old, new, strict)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    return True
 
 
 #: Layers of street shapes, and the least points of a shape of each.

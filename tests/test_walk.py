@@ -192,6 +192,24 @@ def test_map_append_is_idempotent(spark, tmp_path):
     assert (row["stretch"], row["fraction"], row["networks"][0]["bssid"]) == ("a|b", 0.75, "aa:bb")
 
 
+def test_map_append_of_two_writers(spark, tmp_path, monkeypatch):
+    """Both find the outing absent; the second to commit adds nothing. An outing is there whole or not at all, and no cache is left behind."""
+    path = str(tmp_path / "map")
+    schema = maps.fingerprints_of(spark.createDataFrame([], "file string, pos long, value string")).schema
+    rows = lambda outing, n: spark.createDataFrame([(k, outing, "w", datetime(2026, 9, 5), "B", "A", 0.25, None, None, None, []) for k in range(n)], schema)
+    assert maps.append_map(rows("o1", 3), path) == 3
+    absent = maps.read_map(spark, str(tmp_path / "none"))
+    with monkeypatch.context() as m:  # the second writer read the map before the first one wrote
+        m.setattr(maps, "read_map", lambda *_: absent)
+        assert maps.append_map(rows("o1", 3).union(rows("o2", 2)), path) == 2
+    assert {(r["outing"], r["count"]) for r in maps.read_map(spark, path).groupBy("outing").count().collect()} == {("o1", 3), ("o2", 2)}
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(maps, "_renamed", lambda *_: (_ for _ in ()).throw(RuntimeError()))
+        maps.append_map(rows("o3", 2), path)
+    assert maps.read_map(spark, path).count() == 5 and not [p for p in (tmp_path / "map").iterdir() if p.name.startswith("_staging")]
+    assert maps.append_map(rows("o3", 2), path) == 2 and maps.append_map(rows(None, 1), path) == maps.append_map(rows(None, 1), path) == 1
+
+
 def test_geometry(spark):
     line = [(0.0, 0.0), (0.0, 0.01), (0.01, 0.01)]
     df = spark.createDataFrame([(1, "s", line)], f"line_id long, name string, points array<{geo.POINT}>")
