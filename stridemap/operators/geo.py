@@ -117,20 +117,7 @@ def chained(lines: DataFrame) -> DataFrame:
     """Lines of one name that meet end to end as one line, whichever way each was drawn: grouped by name, one street at a time."""
 
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        todo = [[(p["lat"], p["lon"]) for p in points] for points in rows.sort_values("line_id")["points"] if len(points) > 1]
-        done: list[list[tuple[float, float]]] = []
-        while todo:
-            line, grew = todo.pop(0), True
-            while grew:
-                grew = False
-                for k, other in enumerate(todo):
-                    ways = ((line, other), (line, other[::-1]), (other, line), (other[::-1], line))
-                    hit = next(((a, b) for a, b in ways if a[-1] == b[0]), None)
-                    if hit:
-                        line, grew = hit[0] + hit[1][1:], True
-                        del todo[k]
-                        break
-            done.append(line)
+        done = end_to_end([[(p["lat"], p["lon"]) for p in points] for points in rows.sort_values("line_id")["points"]])
         name, first = rows["name"].iloc[0], int(rows["line_id"].min())
         return pd.DataFrame({
             "name": [name] * len(done), "line_id": [first + k for k in range(len(done))], "points": [[{"lat": a, "lon": b} for a, b in line] for line in done]
@@ -139,6 +126,58 @@ def chained(lines: DataFrame) -> DataFrame:
     return lines.groupBy("name").applyInPandas(chain, f"name string, line_id long, points array<{POINT}>")
 
 
+Line = list[tuple[float, float]]
+
+
+def end_to_end(pieces: list[Line]) -> list[Line]:
+    """Pieces that meet at their ends as few lines, each grown from its first piece; a piece of one point is none."""
+    todo, done = [p for p in pieces if len(p) > 1], []
+    while todo:
+        line, grew = todo.pop(0), True
+        while grew:
+            grew = False
+            for k, other in enumerate(todo):
+                ways = ((line, other), (line, other[::-1]), (other, line), (line[::-1], other))
+                hit = next(((a, b) for a, b in ways if a[-1] == b[0]), None)
+                if hit:
+                    line, grew = hit[0] + hit[1][1:], True
+                    del todo[k]
+                    break
+        done.append(line)
+    return done
+
+
+#: Least points of a shape of each layer of the surroundings, and the layers that are areas, which may have several rings.
+LEAST_POINTS = {"building": 3, "river": 2, "road": 2, "water": 3, "park": 3}
+AREAS = ("water", "park")
+
+
+def drawn_surroundings(elements: DataFrame) -> DataFrame:
+    """(line_id, layer, name, ring, points) of saved answers with geometry (type, id, tags, geometry, members): lines, outlines, and the rings of areas.
+
+    A relation's rings are its outer and inner members joined end to end, one relation at a time; all rings of an area share its ``line_id``, and are filled by the even-odd
+    rule. A ring that a missing member leaves open is kept. Points without coordinates are dropped, and shapes with too few points left.
+    """
+    shapes = surroundings(elements)
+    way = F.col("type") == "way"
+    known = lambda g: F.coalesce(F.filter(g, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull()), F.expr("cast(array() as array<struct<lat:double,lon:double>>)"))
+    name = F.when(F.col("layer") == "road", F.col("tags")["name"])
+    plain = shapes.where(way).select(F.col("id").alias("line_id"), "layer", name.alias("name"), F.lit(0).alias("ring"), known(F.col("geometry")).alias("points"))
+    members = shapes.where(~way & F.col("layer").isin(*AREAS)).select("id", "layer", F.posexplode("members").alias("k", "m"))
+    pieces = members.where("m.type = 'way' and m.role in ('outer', 'inner')").select("id", "layer", "k", known(F.col("m.geometry")).alias("points"))
+
+    def close(rows: pd.DataFrame) -> pd.DataFrame:
+        done = end_to_end([[(p["lat"], p["lon"]) for p in points] for points in rows.sort_values("k")["points"]])
+        return pd.DataFrame({
+            "line_id": [int(rows["id"].iloc[0])] * len(done), "layer": [rows["layer"].iloc[0]] * len(done), "name": None, "ring": range(len(done)),
+            "points": [[{"lat": a, "lon": b} for a, b in line] for line in done],
+        })
+
+    rings = pieces.groupBy("id", "layer").applyInPandas(close, f"line_id long, layer string, name string, ring int, points array<{POINT}>")
+    least = F.create_map(*(F.lit(x) for pair in LEAST_POINTS.items() for x in pair))
+    return plain.unionByName(rings).where(F.size("points") >= least[F.col("layer")])
+
+
 def near_pairs(points: DataFrame, reach_m: float, by: list[str]) -> DataFrame:
     """(by, a, b): pairs of points of one group within reach, through grid cells as wide as the reach. Needs point_id, lat, lon."""
     deg = reach_m / 111_000.0
@@ -240,6 +279,18 @@ def confusable(names: DataFrame, key: str = "name") -> DataFrame:
     return rows.groupBy("corner").agg(F.countDistinct("folded").alias("ways"), F.count("*").alias("n")).where("ways > 1")
 
 
+def confusable_report(names: DataFrame) -> DataFrame:
+    """One row, ``text``: the warning about the corners that ``confusable`` finds, with their spellings; empty if there are none."""
+    corner = F.concat_ws("|", F.array_sort(F.array("fold_a", "fold_b")))
+    spelled = names.where("fold_a is not null").groupBy(corner.alias("corner"), "folded").agg(F.min("name").alias("name"))
+    lines = spelled.groupBy("corner").agg(F.array_sort(F.collect_list("name")).alias("names")).where(F.size("names") > 1)
+    line = F.concat(F.lit("  "), F.array_join(F.transform("names", lambda n: F.concat(F.lit('"'), n, F.lit('"'))), " and "))
+    said = lines.agg(F.array_sort(F.collect_list(line)).alias("said"))  # a line a corner of the notebooks
+    head = "These crossings are written both ways round, so each is being taken for two\ndifferent corners and the blocks meeting there are split in two:"
+    text = F.concat_ws("\n", F.lit(head), F.array_join("said", "\n"), F.lit("Settle on one spelling in the notebook, and do this again."))
+    return said.select(F.when(F.size("said") > 0, text).otherwise("").alias("text"))
+
+
 def bounding_box(points: DataFrame, margin_m: float = C.SURROUNDINGS_M) -> DataFrame:
     """South, west, north and east of all points, with a margin."""
     up = F.degrees(F.lit(margin_m / C.EARTH_RADIUS_M))

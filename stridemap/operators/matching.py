@@ -230,6 +230,16 @@ def map_summary(fps: DataFrame) -> DataFrame:
     )
 
 
+def mapped_places(fps: DataFrame) -> DataFrame:
+    """(lat, lon) of the fingerprints that say where they were taken."""
+    return fps.where("lat is not null and lon is not null").select("lat", "lon")
+
+
+def can_hold_out(fps: DataFrame, outing: str = "outing") -> DataFrame:
+    """One row, ``by_outing``: whether there are outings enough to hold one out whole; fingerprints without an outing are one."""
+    return fps.agg((F.countDistinct(F.struct(outing)) > 1).alias("by_outing"))
+
+
 def stretch_lines(fps: DataFrame) -> DataFrame:
     """Least-squares line of each stretch, latitude and longitude over the fraction; needs two different fractions."""
     rows = fps.where("lat is not null")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridemap.functions.exprs import both_or_none, canonical, folded
-from stridemap.operators.geo import POINT
+from stridemap.operators.geo import AREAS, POINT
 from stridemap.sources.logs import lines_of, moment, networks, number, parsed, text
 
 
@@ -124,15 +124,19 @@ def read_streets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encoded_streets(lines: DataFrame) -> DataFrame:
-    """Street shapes as JSON lines, coordinates to seven decimals."""
+    """Street shapes (line_id, layer, name, points, and ``ring`` where areas have several) as JSON lines, an area's rings in one, coordinates to seven decimals."""
+    rows = lines if "ring" in lines.columns else lines.withColumn("ring", F.lit(0))
     pairs = F.transform("points", lambda p: F.array(F.bround(p["lat"], 7), F.bround(p["lon"], 7)))
-    named = F.to_json(F.struct(F.col("name").alias("street"), pairs.alias("line")))
-    value = F.when(F.col("layer") == "street", named).when(F.col("layer") == "road", F.to_json(F.struct(F.col("name").alias("road"), pairs.alias("line"))))
-    for layer in ("building", "river"):
-        value = value.when(F.col("layer") == layer, F.to_json(F.struct(pairs.alias(layer))))
-    for layer in ("water", "park"):
-        value = value.when(F.col("layer") == layer, F.to_json(F.struct(F.array(pairs).alias(layer))))
-    return lines.select(value.alias("value"))
+    rows = rows.select("line_id", "layer", "name", "ring", pairs.alias("line"))
+    shape = lambda key: F.to_json(F.struct(F.col("line").alias(key)))
+    value = F.when(F.col("layer") == "building", shape("building")).when(F.col("layer") == "river", shape("river"))
+    for layer in ("street", "road"):
+        value = value.when(F.col("layer") == layer, F.to_json(F.struct(F.col("name").alias(layer), "line")))
+    rings = rows.where(F.col("layer").isin(*AREAS)).groupBy("layer", "line_id").agg(F.array_sort(F.collect_list(F.struct("ring", "line"))).alias("rings"))
+    area = F.lit(None).cast("string")
+    for layer in AREAS:
+        area = F.when(F.col("layer") == layer, F.to_json(F.struct(F.transform("rings", lambda r: r["line"]).alias(layer)))).otherwise(area)
+    return rows.where(~F.col("layer").isin(*AREAS)).select(value.alias("value")).unionByName(rings.select(area.alias("value")))
 
 
 OVERPASS = (
