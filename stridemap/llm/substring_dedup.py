@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from stridemap.llm.batches import bounded, list_column, slices, text_bytes
 from stridemap.llm.words import windows, word_hashes
-from stridemap.runtime import BROADCAST_BYTES, materialize, small_side
+from stridemap.runtime import BROADCAST_BYTES, KEY, keyed, materialize, small_side
 
 WINDOW, ANCHOR, PREFIX = 20, 8, 4
 #: Most suffixes of a group; groups for each such number of suffixes, so that most stay well below it.
@@ -61,13 +61,13 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def variant(digest: bytes) -> int:
-    """Tells rows apart that share an id but not their text."""
-    return int.from_bytes(digest[:4], "little") >> 1
+    """Tells texts of rows that share an id (or have none) apart, by 63 bits of their digest."""
+    return int.from_bytes(digest[:8], "little") >> 1
 
 
 def _documents(batches: Iterator[pa.RecordBatch], most: int = LOOK) -> Iterator[pa.RecordBatch]:
-    """id, v, n_words, sha, and anchors: ``asked`` (met once in this look), ``known`` (met again in it)."""
-    held: list[tuple[pa.Array, list[int], list[int], list[str], list[np.ndarray]]] = []
+    """id, KEY, v, n_words, sha, and anchors: ``asked`` (met once in this look), ``known`` (met again in it)."""
+    held: list[tuple[list[pa.Array], list[int], list[int], list[str], list[np.ndarray]]] = []
     count = 0
     none = np.empty(0, np.int64)
 
@@ -84,9 +84,9 @@ def _documents(batches: Iterator[pa.RecordBatch], most: int = LOOK) -> Iterator[
             if len(again):
                 known = again[np.minimum(np.searchsorted(again, values), len(again) - 1)] == values
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(v, pa.int32()), pa.array(n, pa.int64()), pa.array(sha, pa.string()),
+                [*ids, pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()),
                  *(list_column(values[k], np.bincount(owner[k], minlength=len(sizes)), pa.int64()) for k in (~known, known))],
-                names=["id", "v", "n_words", "sha", "asked", "known"],
+                names=["id", *KEY, "v", "n_words", "sha", "asked", "known"],
             )
         held.clear()
 
@@ -112,7 +112,7 @@ def _documents(batches: Iterator[pa.RecordBatch], most: int = LOOK) -> Iterator[
             values = np.concatenate([values, values[lengths > WINDOW - ANCHOR + 1], np.intersect1d(values, twice)])
             found.append(values)
             count += len(values)
-        held.append((part.column("id"), v, n, sha, found))
+        held.append(([part.column(c) for c in ("id", *KEY)], v, n, sha, found))
         if count > most:
             yield from look()
             seen.clear()
@@ -151,7 +151,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], most: int = SUFFIXES) -> Iterat
             return
         sizes = [len(h[4]) for h in held]
         doc = np.repeat(np.arange(len(held)), sizes)
-        ids, v = (np.array([h[k] for h in held], kind)[doc] for k, kind in ((0, np.int64), (1, np.int32)))
+        ids, v = (np.array([h[k] for h in held], kind)[doc] for k, kind in ((0, np.int64), (1, np.int64)))
         start, w = (np.concatenate([h[k] for h in held]) for k in (4, 5))
         order = np.lexsort((start, v, ids, w))
         first = np.maximum.accumulate(np.where(np.r_[True, w[order][1:] != w[order][:-1]], np.arange(len(order)), 0))
@@ -188,8 +188,6 @@ def _suffixes(batches: Iterator[pa.RecordBatch], most: int = SUFFIXES) -> Iterat
                 continue
             own = data[offsets[k] : offsets[k + 1]].split()
             text = b" ".join(own)
-            if variant(hashlib.sha256(text).digest()) != v:
-                continue
             known = np.unique(met_values[met_ends[k] : met_ends[k + 1]])
             least, _ = anchors(words)
             start = np.flatnonzero(known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least)
@@ -204,11 +202,11 @@ def _suffixes(batches: Iterator[pa.RecordBatch], most: int = SUFFIXES) -> Iterat
     yield from look()
 
 
-SUFFIX = "words string, id long, v int, start int, length int"
+SUFFIX = "words string, id long, v long, start int, length int"
 
 
 def _suffix_rows(words: list[bytes | None], *columns: np.ndarray) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
     numbers = [pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), *numbers], names=["words", "id", "v", "start", "length"])
 
@@ -253,7 +251,7 @@ def _subtree(table: pa.Table) -> pa.Table:
 def deep_leaves(suffixes: DataFrame) -> DataFrame:
     """(id, v, start, length): all suffixes whose WINDOW words begin earlier elsewhere."""
     dealt = grouped(suffixes)
-    out = dealt.where(F.col("depth") < WINDOW).groupBy("depth", "group").applyInArrow(_subtree, "id long, v int, start int, length int")
+    out = dealt.where(F.col("depth") < WINDOW).groupBy("depth", "group").applyInArrow(_subtree, "id long, v long, start int, length int")
     paths = dealt.where(F.col("depth") >= WINDOW)
     at = F.struct("id", "v", "start")
     firsts = paths.groupBy("words").agg(F.min(at).alias("least"))
@@ -281,8 +279,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = (part.column(c).to_pylist() for c in ("id", "v", "starts", "ends"))
         for text, id_, v, starts, ends in zip(texts, *columns, strict=True):
             words = text.split()
-            if variant(hashlib.sha256(b" ".join(words)).digest()) != v:
-                continue
             kept, at = [], 0
             for a, b in zip(starts, ends, strict=True):
                 kept += words[at:a]
@@ -290,21 +286,23 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept += words[at:]
             out.append((id_, v, len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.string()))],
+            [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))],
             names=["id", "v", "removed", "left_sha"],
         )
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_words, n_removed, kept_sha256, starts and ends of the removed spans (in words)."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scan: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, n_words, n_removed, kept_sha256, starts and ends of the removed spans (in words). ``scan``: see ``keyed``."""
     bounded(docs)
     most, least = LOOK, SUFFIXES
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    rows = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        lambda batches: _documents(batches, most), "id long, v int, n_words long, sha string, asked array<long>, known array<long>"
+    rows = keyed(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), scan=scan)
+    base = rows.mapInArrow(
+        lambda batches: _documents(batches, most),
+        "id long, row_file long, row_at long, v long, n_words long, sha string, asked array<long>, known array<long>",
     )
     base = materialize(base.withColumnRenamed("id", "own").withColumn("id", F.coalesce("own", F.lit(_LAST))), "documents")
+    # A document is an id and a text; the first of its rows is read for it.
+    one_row = base.groupBy("id", "v").agg(F.min(F.struct(*KEY)).alias("row")).select("id", "v", "row.*")
     # Copies of whole documents: all their windows begin earlier in the first of them.
     copies = base.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     copies = small_side(materialize(copies.select(F.col("sha").alias("of"), "first"), "copies", few=True), 100)
@@ -312,23 +310,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = base.withColumn("first", F.coalesce("first", "id")).drop("of")
     # Anchors in more than one place. A copy's anchors are those of the first of its documents, whichever row sent them.
     asked = base.select(F.explode("asked").alias("a"), F.col("first").alias("id"), "v")
-    marks = base.select(F.explode("known").alias("a")).distinct().select("a", F.lit(0).cast("long"), F.lit(-1))
-    met = asked.union(marks).repartition("a").mapInArrow(_met, "id long, v int, a long")
+    marks = base.select(F.explode("known").alias("a")).distinct().select("a", F.lit(0).cast("long"), F.lit(-1).cast("long"))
+    met = asked.union(marks).repartition("a").mapInArrow(_met, "id long, v long, a long")
     known = base.select(F.col("first").alias("id"), "v", F.explode("known").alias("a"))
     met = met.union(known).groupBy("id", "v").agg(F.collect_set("a").alias("met"))
-    met = materialize(met, "met", few=True)
-    total = met.agg(F.sum(32 + 8 * F.size("met"))).first()[0] or 0
+    met = materialize(met.join(one_row, ["id", "v"]), "met", few=True)
+    total = met.agg(F.sum(48 + 8 * F.size("met"))).first()[0] or 0
     some = _sided(met, total)
-    texts = rows.join(some, "id").select("id", "v", "text", "met")
+    texts = rows.drop("id").join(some, KEY).select("id", "v", "text", "met")
     found = materialize(texts.mapInArrow(lambda batches: _suffixes(batches, least), SUFFIX), "suffixes")
     suffixes = found.where("length = 0").select("words", "id", "v", "start")
     runs = deep_leaves(suffixes).union(found.where("length > 0").select("id", "v", "start", "length"))
     spans = materialize(merged(runs), "spans", few=True)
-    total = spans.agg(F.sum(48 + 8 * F.size("starts"))).first()[0] or 0
-    some = _sided(spans, total)
-    left = rows.join(some, "id").select("id", "v", "text", "starts", "ends").mapInArrow(_kept, "id long, v int, removed long, left_sha string")
-    left = materialize(left.dropDuplicates(["id", "v"]), "left", few=True)
-    out = base.drop("asked", "known", "first").join(left, ["id", "v"], "left").join(spans, ["id", "v"], "left")
+    total = spans.agg(F.sum(64 + 8 * F.size("starts"))).first()[0] or 0
+    some = _sided(spans.join(one_row, ["id", "v"]), total)
+    left = rows.drop("id").join(some, KEY).select("id", "v", "text", "starts", "ends").mapInArrow(_kept, "id long, v long, removed long, left_sha string")
+    left = materialize(left, "left", few=True)
+    out = base.drop("asked", "known", "first", *KEY).join(left, ["id", "v"], "left").join(spans, ["id", "v"], "left")
     whole = lambda n: F.array(F.lit(n).cast("int"))
     return out.select(
         F.col("own").alias(id_col), "n_words",
@@ -346,7 +344,7 @@ def _sided(df: DataFrame, total_bytes: int) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated windows of 20 words over all documents."""
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("starts", "ends")
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), scan=True).drop("starts", "ends")
 
 
 OP7_SQL = r"""

@@ -95,3 +95,26 @@ def texts_order(texts, word):
             if w not in seen:
                 seen.append(w)
     return seen.index(word)
+
+
+def test_null_ids_read_each_text_once(spark, monkeypatch):
+    """Texts are joined by their rows, not by an id that a third of them may lack."""
+    from stridemap.llm import substring_dedup
+    from stridemap.runtime import KEY
+
+    passage = " ".join(f"p{k}" for k in range(25))
+    texts = [f"own{k} start{k} {passage} end{k}" for k in range(80)]
+    made, kept = {}, substring_dedup.materialize
+
+    def spy(df, name, **options):
+        made[name] = kept(df, name, **options)
+        return made[name]
+
+    monkeypatch.setattr(substring_dedup, "materialize", spy)
+    df = spark.createDataFrame([(None if k < 60 else k, t) for k, t in enumerate([*texts, texts[0], texts[79]])], "doc_id long, text string").repartition(3)
+    rows = substring_dedup.substring_dedup(df).collect()
+    assert made["met"].count() == made["met"].select(*KEY).distinct().count() == 80  # of each text one row is read again
+    assert len(rows) == 82 and made["met"].join(made["documents"], KEY).count() == 80
+    removed = sorted((r["n_removed"], r["doc_id"] or 0) for r in rows)
+    assert removed[0] == (0, 60) and removed[-2:] == [(28, 0), (28, 81)]  # the least id; copies, of which the one without an id is later
+    assert [n for n, _ in removed[1:-2]] == [25] * 79
