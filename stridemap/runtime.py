@@ -7,6 +7,7 @@ import contextlib
 import os
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -32,7 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _ROOTS: set[str] = set()
-_MADE: list[str] = []
+_THREAD = threading.local()
+
+
+def _made() -> list[str]:
+    """Paths of this thread's intermediate tables: streams run their batches in threads of their own."""
+    if not hasattr(_THREAD, "made"):
+        _THREAD.made = []
+    return _THREAD.made
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -41,8 +49,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if root not in _ROOTS:
         _ROOTS.add(root)
         atexit.register(clear_scratch, spark)
-    _MADE.append(f"{root}/{name}-{uuid.uuid4().hex[:12]}")
-    return _MADE[-1]
+    _made().append(f"{root}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made()[-1]
 
 
 def clear_scratch(spark: SparkSession) -> None:
@@ -54,10 +62,11 @@ def clear_scratch(spark: SparkSession) -> None:
 
 @contextlib.contextmanager
 def written_once(spark: SparkSession) -> Iterator[None]:
-    """Delete, at its end, the intermediate tables that are made inside; what is needed of them must have been written by then, to an older path."""
-    first = len(_MADE)
+    """Delete, at its end, the intermediate tables that this thread makes inside; what is needed of them must have been written by then, to an older path."""
+    made = _made()
+    first = len(made)
     yield
-    mine, _MADE[first:] = _MADE[first:], []
+    mine, made[first:] = made[first:], []
     for path in mine:
         gone = spark._jvm.org.apache.hadoop.fs.Path(path)
         gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)

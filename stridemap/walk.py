@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridemap import constants as C
-from stridemap.functions.exprs import distance_m, folded
+from stridemap.functions.exprs import distance_m, folded, strength
 from stridemap.operators import evaluate, geo, levels, matching, networks, placement, scans, sequence
 from stridemap.runtime import materialize
 
@@ -185,6 +185,67 @@ def settled(ranked: DataFrame, fps: DataFrame, order: str | None) -> DataFrame:
     return places.join(chosen.select("query", "other"), "query").withColumn("alternative", F.when(~F.col("scattered"), F.col("other"))).drop("other")
 
 
+# --- looks of a log on a map
+
+
+def asked_of(sightings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, asked) of sightings: the looks (run, seq, query, t), and what each heard (query, key, signal_dbm, signal_percent, strength), of a key the strongest."""
+    rows = sightings.withColumn("query", F.concat_ws("|", "run", "scan_id"))
+    runs = rows.groupBy("run", "query").agg(F.min("pos").alias("seq"), F.min("t").alias("t"))
+    best = scans.strongest(rows.where("key <> ''"), ["query", "key"], ["signal_dbm", "signal_percent", "strength", "has_signal"])
+    return runs, best.withColumn("strength", F.when(F.col("has_signal"), F.col("strength"))).drop("has_signal")
+
+
+def lessons(runs: DataFrame, asked: DataFrame, fps: DataFrame, keys: DataFrame, reach_s: int = C.ONE_LOOK_S) -> DataFrame:
+    """What each look teaches about its card (run, seq, query, key, off), where a match without levels is sure of the place."""
+    queries = runs.select("query", F.lit("").alias("grp"))
+    found = matching.locate(fps, keys, queries, asked.select("query", "key", "strength"), reach_s=reach_s)
+    return sequence.calibration_pairs(found.join(runs.select("run", "seq", "query"), "query").withColumn("grp", F.lit("")), fps, keys, asked.where("strength is not null"))
+
+
+def corrected(asked: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``asked`` at the levels that the map's card would have read (query, key, strength); ``offsets``: query, offset (null: not known)."""
+    rows = asked.join(offsets.select("query", "offset"), "query", "left").withColumn("offset", F.coalesce("offset", F.lit(0.0)))
+    dbm = F.bround(F.col("signal_dbm") - F.col("offset"))
+    percent = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(F.col("signal_percent") - F.col("offset") / 0.6)))
+    return rows.select("query", "key", F.when(F.col("strength").isNotNull(), strength(dbm, F.when(F.col("signal_percent").isNotNull(), percent))).alias("strength"))
+
+
+def ranked_places(runs: DataFrame, asked: DataFrame, fps: DataFrame, keys: DataFrame, by_signal: bool = False, reach_s: int = C.ONE_LOOK_S) -> DataFrame:
+    """The candidates of each look, with whether they are ``scattered`` and the line of their stretch (lat_0, lat_slope, lon_0, lon_slope)."""
+    queries = runs.select("query", F.lit("").alias("grp"))
+    scores = matching.walk_scores(fps, keys, queries, asked.select("query", "key", "strength"), by_signal)
+    ranked = matching.candidates(matching.best_looks(scores, reach_s), fps)
+    # Scatter is told of one candidate by itself, so each stands as a query with one.
+    alone = ranked.withColumn("one", F.struct("query", "rank")).drop("query").withColumnRenamed("one", "query").withColumn("rank", F.lit(1))
+    scattered = matching.locations(alone).select(F.col("query.query").alias("query"), F.col("query.rank").alias("rank"), "scattered")
+    return ranked.join(scattered, ["query", "rank"]).join(matching.stretch_lines(fps), "stretch", "left")
+
+
+def located(
+    sightings: DataFrame, fps: DataFrame, keys: DataFrame, order: str = "tie", by_signal: bool = False, pace: bool = False, reach_s: int = C.ONE_LOOK_S
+) -> DataFrame:
+    """Where each look of logs was taken (run, seq, query, t, stretch, fraction, lat, lon, score, settled, alternative), in the light of the looks before it.
+
+    ``order``: ties go by vote ("tie") or by the likeliest path ("path"). With ``by_signal`` levels count, corrected by what the run taught about its card up
+    to that look. With ``pace`` a place is kept to a walking pace on its stretch's line. Looks that match nothing have no row.
+    """
+    runs, asked = (materialize(x, n) for x, n in zip(asked_of(sightings), ("runs", "asked"), strict=True))
+    if by_signal:
+        offsets = sequence.running_offsets(lessons(runs, asked, fps, keys, reach_s), runs)
+        asked = materialize(corrected(asked, offsets), "corrected")
+    ranked = materialize(ranked_places(runs, asked, fps, keys, by_signal, reach_s), "ranked")
+    chosen = (sequence.vote if order == "tie" else sequence.path)(ranked, runs.select("run", "seq", "query")).select("query", "stretch", "settled", "alternative")
+    rows = ranked.join(chosen, ["query", "stretch"]).join(runs, "query")
+    if pace:
+        moved = sequence.paced(rows).select("query", F.col("fraction").alias("moved"))
+        rows = rows.join(moved, "query").withColumn("fraction", F.col("moved"))
+    on = lambda c: F.coalesce(F.col(f"{c}_0") + F.col(f"{c}_slope") * F.col("moved"), F.col(c)) if pace else F.col(c)
+    where = {c: F.when(~F.col("scattered") & F.col(c).isNotNull(), on(c)) for c in ("lat", "lon")}
+    rows = rows.withColumns({**where, "alternative": F.when(~F.col("scattered"), F.col("alternative"))})
+    return rows.select("run", "seq", "query", "t", "stretch", "fraction", "lat", "lon", F.col("best").alias("score"), F.col("settled").cast("int").alias("settled"), "alternative")
+
+
 def held_out_levels(answers: DataFrame, fps: DataFrame, keys: DataFrame, asked: DataFrame) -> DataFrame:
     """Answers placed on the level curves of the map without their own group."""
     own = answers.join(fps.select(F.col("fp_id").alias("query"), "grp"), "query")
