@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from stridemap import constants as C
 from stridemap.functions.exprs import folded, halves
 from stridemap.operators import geo, publish
+from stridemap.runtime import delete_path, renamed
 from stridemap.sources import sinks
 
 
@@ -91,10 +93,40 @@ def export(records: DataFrame, waypoints: DataFrame, key: bytes, ssid: str = "re
     return Exported(encoded, notes, publish.export_counts(rows, public, out), publish.survivors(secret, written))
 
 
+def one_walk(records: DataFrame, walk: str | None = None) -> DataFrame:
+    """The records of one walk of a log, to be published: the named one, or the only one there is. ``records`` have ``run`` and ``walk``.
+
+    Which of several walks goes out is not guessed, so a log of several needs a name. Refused are also a walk that the log lacks, and one whose looks have no time.
+    """
+    if walk is None:
+        names = [r["walk"] for r in records.select("walk").distinct().orderBy("walk").limit(20).collect()]
+        if len(names) > 1:
+            raise ValueError("an export is one walk, and the log holds several: " + ", ".join(n or "(unnamed)" for n in names))
+        walk = names[0] if names else ""
+    own = records.where(F.col("walk") == walk)
+    if own.isEmpty():
+        raise ValueError(f"no walk called {walk!r} in the log")
+    if own.where("event = 'scan' and time is not null").isEmpty():
+        raise ValueError("the walk has no look with a time")
+    return own
+
+
 def write_export(done: Exported, path: str) -> None:
-    """Write a published walk into a new folder; one that exists is refused."""
-    done.records.select("value").write.mode("errorifexists").text(f"{path}/log")
-    done.notebook.orderBy("run", "ord", "part").select("line").write.mode("errorifexists").text(f"{path}/notebook")
+    """Write a published walk as a new folder with ``log`` and ``notebook``; FileExistsError if anything is there.
+
+    Both are staged in a hidden folder beside it that becomes the export by one rename, which is refused if the name is taken. So there is a whole export or none,
+    whatever fails, and of two callers with one name the second gets the error.
+    """
+    spark = done.records.sparkSession
+    folder, _, name = path.rstrip("/").rpartition("/")
+    staging = f"{folder}/.{name}.{uuid.uuid4().hex[:12]}.new" if folder or path.startswith("/") else f".{name}.{uuid.uuid4().hex[:12]}.new"
+    try:
+        done.records.select("value").write.text(f"{staging}/log")
+        done.notebook.orderBy("run", "ord", "part").select("line").write.text(f"{staging}/notebook")
+        if not renamed(spark, staging, path.rstrip("/")):
+            raise FileExistsError(f"{path} is there already: delete it, or name another")
+    finally:
+        delete_path(spark, staging)
 
 
 def suggestion(outings: DataFrame, notebooks: int, mapped: list[str] | None) -> str | None:

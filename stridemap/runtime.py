@@ -11,6 +11,7 @@ import threading
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return _made()[-1]
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder with all in it, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def renamed(spark: SparkSession, source: str, target: str) -> bool:
+    """Whether ``source`` was renamed, in one step; not if ``target`` exists."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    old, new = fs.Path(source), fs.Path(target)
+    context = fs.FileContext.getFileContext(old.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    strict = spark._jvm.java.lang.reflect.Array.newInstance(fs.Options.Rename.NONE.getClass(), 0)
+    try:
+        context.rename(old, new, strict)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results that still read them must have been written before."""
     with contextlib.suppress(Exception):  # at the end of a driver the session may be gone
@@ -68,8 +90,7 @@ def written_once(spark: SparkSession) -> Iterator[None]:
     yield
     mine, made[first:] = made[first:], []
     for path in mine:
-        gone = spark._jvm.org.apache.hadoop.fs.Path(path)
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        delete_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str, few: bool = False, path: str | None = None) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridemap.functions.exprs import both_or_none, canonical, folded
 from stridemap.operators.geo import AREAS, POINT
+from stridemap.runtime import delete_path, renamed
 from stridemap.sources.logs import lines_of, moment, networks, number, parsed, text
 
 
@@ -70,25 +70,9 @@ def append_map(fps: DataFrame, path: str) -> int:
     encoded(append_outings(fps, read_map(spark, path))).select(part.alias("part"), "value").write.partitionBy("part").text(staging)
     try:
         staged = spark.read.schema("value string, part string").text(staging).groupBy("part").agg(F.count("*").alias("n")).collect()  # a row an outing
-        return sum(r["n"] for r in staged if _renamed(spark, f"{staging}/part={r['part']}", f"{path.rstrip('/')}/{r['part']}"))
+        return sum(r["n"] for r in staged if renamed(spark, f"{staging}/part={r['part']}", f"{path.rstrip('/')}/{r['part']}"))
     finally:
-        where = spark._jvm.org.apache.hadoop.fs.Path(staging)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _renamed(spark: SparkSession, source: str, target: str) -> bool:
-    """Whether ``source`` was renamed; not if ``target`` exists."""
-    fs = spark._jvm.org.apache.hadoop.fs
-    old, new = fs.Path(source), fs.Path(target)
-    context = fs.FileContext.getFileContext(old.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
-    strict = spark._jvm.java.lang.reflect.Array.newInstance(fs.Options.Rename.NONE.getClass(), 0)
-    try:
-        context.rename(old, new, strict)
-    except Py4JJavaError as e:
-        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
-            raise
-        return False
-    return True
+        delete_path(spark, staging)
 
 
 #: Layers of street shapes, and the least points of a shape of each.

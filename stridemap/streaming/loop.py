@@ -204,7 +204,7 @@ def follow_walks(
     lines: DataFrame, fps: DataFrame, keys: DataFrame, sink: Callable[[DataFrame, int], None], folder: str, order: str = "tie", by_signal: bool = False, pace: bool = True,
     every: str | None = None, forget_s: int = 7200, reach_s: int = C.ONE_LOOK_S,
 ) -> Loop:
-    """The loop over a stream of log lines (file, pos, value; a record's walk must be named in its batch, as by whole files): ``sink`` gets the answers of each batch, and must have
+    """The loop over a stream of log lines (file, pos, value, and walk if a file's lines come in several batches, see ``tail.whole_cycles``): ``sink`` gets the answers of each batch, and must have
     written what it needs of them when it returns.
 
     ``folder`` (shared) holds checkpoints and the tables between the streams. ``every`` (as ``5 seconds``) sets the rate; without it a stream ends when it
@@ -239,7 +239,10 @@ def follow_walks(
         hand_on(runs.join(ranked, "query", "left").select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in PLACES.split(", "))), "places", n)
 
     def look(df: DataFrame, n: int) -> None:
-        runs, asked = walk.asked_of(sightings(carry_walk(records_of(df), "outing", "file")))
+        records = records_of(df)
+        # A stream that carries walks over from batch to batch names them itself.
+        named = records.join(df.select("file", "pos", "walk"), ["file", "pos"]) if "walk" in df.columns else carry_walk(records, "outing", "file")
+        runs, asked = walk.asked_of(sightings(named))
         runs, asked = walk.materialize(runs, "runs"), walk.materialize(asked, "asked")
         if not by_signal:
             return places(runs, asked, n)

@@ -54,3 +54,35 @@ def test_phrases(spark):
     df = spark.createDataFrame([("A", "B", 0.0, 100.0), ("A", "B", 0.525, 100.0), ("A y C", "B", 0.1, 100.0), ("A", "B", 1.0, None)], "a string, b string, f double, n double")
     rows = df.select(exprs.described(F.col("a"), F.col("b"), F.col("f")).alias("d"), exprs.said(F.col("a"), F.col("b"), F.col("f"), F.col("n")).alias("s")).collect()
     assert rows[0]["d"] == 'at "A"' and rows[1]["d"] == 'between "A" and "B", 52% of the way' and rows[2]["s"] == 'at the corner of "A y C"' and rows[3]["s"] == 'at "B"'
+
+
+def exported(spark, value):
+    """An export of one line; one whose notebook can't be written if ``value`` is None."""
+    records = spark.createDataFrame([(value or "x",)], "value string")
+    notes = spark.createDataFrame([("r", 0, 0, "date 1970-01-01")], "run string, ord int, part int, line string")
+    return publishing.Exported(records, notes if value else notes.withColumn("line", F.raise_error(F.lit("full"))), records, records)
+
+
+def test_an_export_is_whole_or_not_there(spark, tmp_path):
+    out = tmp_path / "out" / "walk"
+    with pytest.raises(Exception, match="full"):
+        publishing.write_export(exported(spark, None), str(out))
+    assert list((tmp_path / "out").iterdir()) == []  # the log was written, and went
+    publishing.write_export(exported(spark, "one"), str(out))
+    assert spark.read.text(str(out / "log")).first()[0] == "one" and spark.read.text(str(out / "notebook")).count() == 1
+    with pytest.raises(FileExistsError):
+        publishing.write_export(exported(spark, "two"), str(out))
+    (tmp_path / "out" / "empty").mkdir()
+    with pytest.raises(FileExistsError):  # a folder that someone just made stays as it is
+        publishing.write_export(exported(spark, "two"), f"{tmp_path}/out/empty/")
+    assert spark.read.text(str(out / "log")).first()[0] == "one" and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["empty", "walk"]
+
+
+def test_one_walk(spark):
+    df = spark.createDataFrame([("a", "scan", datetime(2026, 9, 5)), ("b", "scan", None), ("", "mark", None)], "walk string, event string, time timestamp")
+    assert publishing.one_walk(df, "a").count() == publishing.one_walk(df.where("walk = 'a'")).count() == 1
+    for walk, match in ((None, r"several: \(unnamed\), a, b"), ("c", "no walk called 'c'"), ("b", "no look")):
+        with pytest.raises(ValueError, match=match):
+            publishing.one_walk(df, walk)
+    with pytest.raises(ValueError, match="no walk"):
+        publishing.one_walk(df.where("false"))
