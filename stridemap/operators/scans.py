@@ -142,7 +142,7 @@ def accepted_presses(presses: DataFrame, gap_s: float) -> DataFrame:
 def battery_warnings(readings: DataFrame, thresholds: tuple[int, ...] = C.BATTERY_WARNINGS) -> DataFrame:
     """The first reading at or under each threshold while not charging; one threshold a reading, the lowest. Needs run, pos, percent, charging."""
     under = F.filter(F.array(*(F.lit(x) for x in sorted(thresholds))), lambda x: F.col("percent") <= x)
-    rows = readings.where(~F.col("charging")).withColumn("threshold", F.element_at(under, 1)).where("threshold is not null")
+    rows = readings.where(~F.col("charging")).withColumn("threshold", F.get(under, F.lit(0))).where("threshold is not null")
     so_far = Window.partitionBy("run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("before", F.min("threshold").over(so_far)).where("before is null or threshold < before").drop("before")
 

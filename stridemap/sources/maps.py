@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from stridemap.functions.exprs import both_or_none, canonical, folded
 from stridemap.operators.geo import AREAS, POINT
-from stridemap.runtime import delete_path, renamed
+from stridemap.runtime import delete_path
+from stridemap.runtime import renamed as _renamed
 from stridemap.sources.logs import lines_of, moment, networks, number, parsed, text
 
 
@@ -70,7 +71,7 @@ def append_map(fps: DataFrame, path: str) -> int:
     encoded(append_outings(fps, read_map(spark, path))).select(part.alias("part"), "value").write.partitionBy("part").text(staging)
     try:
         staged = spark.read.schema("value string, part string").text(staging).groupBy("part").agg(F.count("*").alias("n")).collect()  # a row an outing
-        return sum(r["n"] for r in staged if renamed(spark, f"{staging}/part={r['part']}", f"{path.rstrip('/')}/{r['part']}"))
+        return sum(r["n"] for r in staged if _renamed(spark, f"{staging}/part={r['part']}", f"{path.rstrip('/')}/{r['part']}"))
     finally:
         delete_path(spark, staging)
 

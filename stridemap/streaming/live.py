@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stridemap import constants as C
 from stridemap.operators import matching, sequence
+from stridemap.runtime import delete_path
 from stridemap.sources.logs import records_of, sightings
 
 ANSWERS = "run string, seq bigint, query string, t bigint, stretch string, fraction double, lat double, lon double, score double, settled int, alternative string"
@@ -70,6 +71,8 @@ def follow(
         tails(both.drop("fresh")).write.mode("overwrite").parquet(f"{checkpoint}/looks/{n}")
         new = looks.select("run", F.concat_ws("|", "run", "scan_id").alias("query")).distinct()
         sink(locate_batch(both.drop("fresh"), fps, fp_keys, reach_s).join(new, ["run", "query"], "left_semi").select(*ANSWER_NAMES), n)
+        # If this batch is made again it needs the looks of the one before, and no older ones.
+        delete_path(spark, f"{checkpoint}/looks/{n - 2}")
 
     stream = read_lines(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()

@@ -34,6 +34,28 @@ def test_failures_and_associations(spark, tmp_path):
     assert got == {(r["pos"], r["change"]) for r in scans.associations(rows).collect()} == {(1, "connected"), (3, "roam"), (4, "disconnected")}
 
 
+def test_battery_changes_and_first_meetings(spark, tmp_path):
+    percents = [(90, False), (20, False), (19, True), (15, False), (10, False), (9, False), (50, False), (5, True)]
+    rows = spark.createDataFrame([("r", k, p, c) for k, (p, c) in enumerate(percents)], "run string, pos long, percent int, charging boolean")
+    got = {(r["pos"], r["threshold"]) for r in streamed(spark, rows, tmp_path, "battery", stateful.battery_warnings)}
+    assert got == {(r["pos"], r["threshold"]) for r in scans.battery_warnings(rows).collect()} == {(1, 20), (4, 10)}
+    rows = spark.createDataFrame([("r", k, s, f) for k, (s, f) in enumerate([("a|b", 0.11), ("a|b", 0.19), ("a|b", 0.2), ("b|c", 0.2), ("b|c", 0.21)])], "run string, pos long, stretch string, fraction double")
+    assert sorted(r["pos"] for r in streamed(spark, rows, tmp_path, "changes", stateful.answer_changes)) == [0, 2, 3]
+    rows = spark.createDataFrame([("r", "k"), ("r", "k"), ("r", "l"), ("q", "k")], "run string, key string")
+    assert sorted(tuple(r) for r in streamed(spark, rows, tmp_path, "met", stateful.first_seen)) == [("q", "k"), ("r", "k"), ("r", "l")]
+
+
+def test_calibrated_and_sessions(spark, tmp_path):
+    # Offsets hold from thirty pairs on, and not if they are absurd.
+    rows = spark.createDataFrame([(r, k, [off + 0.1 * j for j in range(10)]) for r, off in (("r", 4.0), ("far", 40.0)) for k in range(4)], "run string, seq long, offs array<double>")
+    got = {(r["run"], r["seq"]): (r["pairs"], r["offset"]) for r in streamed(spark, rows, tmp_path, "cards", stateful.calibrated)}
+    assert {k: v[0] for k, v in got.items()} == {(r, k): 10 * (k + 1) for r in ("r", "far") for k in range(4)}
+    assert [got["r", k][1] for k in (0, 1)] == [None, None] and all(abs(got["r", k][1] - 4.45) < 1e-9 for k in (2, 3)) and got["far", 3][1] is None
+    rows = spark.sql("select 'r' as run, timestamp '2026-09-05 17:00:00' + make_interval(0, 0, 0, 0, 0, m) as time from values (0), (10), (39), (75), (300) as v(m)")
+    got = sorted((r["session_window"]["start"].minute, r["records"]) for r in streamed(spark, rows, tmp_path, "silences", stateful.sessions))
+    assert got == [(0, 3), (15, 1)]  # the last one is open still
+
+
 def test_pace(spark, tmp_path):
     rows = spark.createDataFrame(
         [("r", k, k, float(5 * k), "a|b" if k < 6 else "b|c", (k % 6) / 6 + 0.05 * math.sin(k), 0.02, 90.0) for k in range(12)],
