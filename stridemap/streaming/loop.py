@@ -239,6 +239,7 @@ def follow_walks(
         hand_on(runs.join(ranked, "query", "left").select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in PLACES.split(", "))), "places", n)
 
     def look(df: DataFrame, n: int) -> None:
+        df = walk.materialize(df, "lines")  # read several times below, and it may come out of a state
         records = records_of(df)
         # A stream that carries walks over from batch to batch names them itself.
         named = records.join(df.select("file", "pos", "walk"), ["file", "pos"]) if "walk" in df.columns else carry_walk(records, "outing", "file")

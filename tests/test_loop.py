@@ -9,7 +9,7 @@ import pytest
 from stridemap import walk
 from stridemap.operators.scans import carry_walk
 from stridemap.sources import logs
-from stridemap.streaming import loop
+from stridemap.streaming import loop, tail
 
 MAP = "fp_id long, grp string, walk string, t long, stretch string, fraction double, lat double, lon double, length_m double"
 #: A stretch and where along the way it begins; the last one hears what the second does, and only the looks before tell the two apart.
@@ -80,3 +80,26 @@ def test_any_border_gives_the_answers_of_the_whole_log(spark, tmp_path, order, b
         runs, asked = walk.asked_of(found)
         off = {r["run"]: r["offset"] for r in walk.sequence.running_offsets(walk.lessons(runs, asked, fps, keys), runs).where("offset is not null").orderBy("seq").collect()}
         assert -8 < off["r1|r1"] < -4 and 1 < off["r2|r2"] < 5
+
+
+def test_a_log_that_grows(spark, tmp_path):
+    draw = random.Random(7)
+    fps, keys = the_map(spark, draw)
+    given = [r[2] + "\n" for r in log("w", 16, 0, draw)]
+    folder, out = tmp_path / "logs", str(tmp_path / "answers")
+    folder.mkdir()
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        for part in ("".join(given[:8]) + given[8][:30], given[8][30:] + "".join(given[9:])):  # the first ends within a line
+            with open(folder / "a", "a") as f:
+                f.write(part)
+            stream = tail.whole_cycles(tail.tailed(spark, f"file://{folder}"), 10)
+            loop.follow_walks(stream, fps, keys, lambda df, n: df.write.mode("append").parquet(out), f"file://{tmp_path}/loop").run(60)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    lines = spark.createDataFrame([("a", k, v) for k, v in enumerate(given)], "file string, pos long, value string")
+    columns = ["t", "stretch", "fraction", "lat", "score", "settled", "alternative"]
+    whole = answers(walk.located(logs.sightings(carry_walk(logs.records_of(lines), "outing", "file")), fps, keys, pace=True).select(columns))
+    got = answers(spark.read.parquet(out).select(columns))
+    # The last cycles wait for a later record of their log.
+    assert got == whole[: len(got)] and len(whole) - 2 <= len(got) < len(whole)
