@@ -4,18 +4,19 @@ A suffix is the sequence of words from one place of a document on; two places be
 their suffixes meet at a node of depth WINDOW or more in the suffix tree. Such a node's earliest leaf stays, and the windows
 of all its other leaves are repeats; consecutive ones make up maximal repeats, whose words are removed.
 
-1.  The suffixes are thinned: of each window's runs of ANCHOR words the one with the least hash is its anchor; equal windows have equal
-    anchors, and one in seven places is one. Suffixes whose anchor occurs only once in the corpus can have no equal and are left
+1.  The suffixes are thinned: of each window's runs of ANCHOR words the one with the least hash (of equal ones the first) is its anchor; equal windows have
+    equal anchors in the same place, and one in seven places is one. Suffixes whose anchor occurs only once in the corpus can have no equal and are left
     out, which needs only the anchors' hashes to move. Exact copies of whole documents are told by their digest before all this.
-2.  The other suffixes move as their first WINDOW words, as deeper nodes remove nothing else. They are dealt to groups by a prefix of PREFIX words;
-    where more than GROUP suffixes would meet in a group, theirs are dealt by a prefix that is PREFIX words longer, and so on. So a
-    group has at most GROUP suffixes and holds all suffixes that share its prefixes, which makes it a union of subtrees. (Suffixes that share all
-    WINDOW words are one leaf path; if they alone fill a group, their least is taken by an aggregation.)
-3.  Each group is searched alone: its words become numbers, its suffixes are sorted by their words, and the lengths of the common prefixes of neighbours
-    give the internal nodes. Runs of neighbours that have WINDOW words in common are the leaves below a deep node. Words are compared, not hashes.
+2.  The other suffixes move by their anchors: a stretch is the words of consecutive suffixes that have one anchor (at most 2 * WINDOW - ANCHOR words for up to
+    WINDOW - ANCHOR + 1 suffixes), so each word moves about once and not once a suffix. Stretches are dealt to groups by a prefix of PREFIX words from the anchor on;
+    where more than GROUP suffixes would meet in a group, by 2 * PREFIX words. If a group is still too full, its stretches are taken apart into suffixes of WINDOW words, and
+    these are dealt by prefixes of their own, PREFIX words longer each time. So a group has at most GROUP suffixes and holds all that can
+    be equal. (Suffixes that share all WINDOW words are one leaf path; if they alone fill a group, their least is taken by an aggregation.)
+3.  Each group is searched alone. Its words become numbers, and suffixes are ranked by their first 1, 2, 4, .. WINDOW words (prefix doubling): suffixes of equal rank
+    are the leaves below a node of depth WINDOW. Words are compared, not hashes.
 
-Whatever is found again within one task is settled there, after its words were compared: of an anchor or window with several places in one
-task, one row goes on. So a passage in a third of all documents gives a row a task, not a row a document.
+The trees of step 3 are also built in each task that reads texts, over the suffixes of that task, before any moves: of a deep node's leaves only the earliest
+goes on. So a passage in a third of all documents gives a row a task, not a row a document, and the anchors of a task that it met several times go on once.
 
 Defined results: see ``op7_substring_dedup``. A null text has no words, and the digest of the empty text. "Earlier" is the
 smaller id, then, for rows that share an id but not their text, an arbitrary but fixed order, then the start. Repeated rows with
@@ -42,7 +43,7 @@ from stridemap.runtime import BROADCAST_BYTES, KEY, keyed, materialize, small_si
 WINDOW, ANCHOR, PREFIX = 20, 8, 4
 #: Most suffixes of a group; groups for each such number of suffixes, so that most stay well below it.
 GROUP, FINE = 200_000, 16
-#: Anchors that a task looks at together; suffixes, and bytes of their texts, that it does.
+#: Anchors that a task looks at together; suffixes whose tree it builds, and bytes of their texts.
 LOOK, SUFFIXES, HELD = 4_000_000, 1_000_000, 64 << 20
 _LAST = 2**63 - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -60,6 +61,18 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple((x >> np.uint64(1)).view(np.int64) for x in (least, np.concatenate([grams[:0], *near])))
 
 
+def anchor_places(hashes: np.ndarray) -> np.ndarray:
+    """The word at which the anchor of each window of one document's words begins: the first of its least runs."""
+    grams, _ = windows(hashes, np.array([0, len(hashes)]), ANCHOR)
+    at, done, span = np.arange(len(grams)), 1, WINDOW - ANCHOR + 1
+    while done < span:
+        step = min(done, span - done)
+        left, right = at[:-step], at[step:]
+        at = np.where(grams[left] <= grams[right], left, right)
+        done += step
+    return at
+
+
 def variant(digest: bytes) -> int:
     """Tells texts of rows that share an id (or have none) apart, by 63 bits of their digest."""
     return int.from_bytes(digest[:8], "little") >> 1
@@ -137,11 +150,44 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids[good]), pa.array(v[good]), pa.array(a[good])], names=["id", "v", "a"])
 
 
+def word_numbers(texts: pa.Array) -> np.ndarray:
+    """The words of all ``texts`` (parted by one blank) as numbers, end to end: equal words have equal numbers."""
+    return pc.split_pattern(texts, " ").flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def path_ranks(numbers: np.ndarray) -> np.ndarray:
+    """The rank of the WINDOW numbers from each place on, by prefix doubling: equal for equal paths."""
+    ranks, done = numbers, 1
+    while done < WINDOW:
+        step = min(done, WINDOW - done)
+        pairs = ranks[:-step] * (int(ranks.max()) + 1) + ranks[step:]
+        ranks = np.unique(pairs, return_inverse=True)[1].reshape(-1)
+        done += step
+    return ranks
+
+
+def later_leaves(node: np.ndarray, ids: np.ndarray, v: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which suffixes are not the earliest below their node."""
+    order = np.lexsort((start, v, ids, node))
+    first = order[np.maximum.accumulate(np.where(np.r_[True, node[order][1:] != node[order][:-1]], np.arange(len(order)), 0))]
+    out = np.empty(len(order), bool)
+    out[order] = (ids[order] != ids[first]) | (v[order] != v[first]) | (start[order] != start[first])
+    return out
+
+
+def runs_of(ids: np.ndarray, v: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """(id, v, start, length) of the runs of consecutive windows among these."""
+    order = np.lexsort((start, v, ids))
+    ids, v, start = ids[order], v[order], start[order]
+    begins = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (v[1:] != v[:-1]) | (start[1:] != start[:-1] + 1)][: len(ids)])
+    return [ids[begins], v[begins], start[begins], np.diff(np.r_[begins, len(ids)])]
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch], most: int = SUFFIXES) -> Iterator[pa.RecordBatch]:
-    """Suffixes whose anchors were met: (words, id, v, start, length).
+    """Suffixes whose anchors were met, after a tree of those of this look: (head, words, id, v, start, length).
 
-    A row with length 0 is a suffix that is the first with its words in this look; one with a length is a run of windows
-    that begin earlier in it.
+    A row with words is a stretch: the words before its anchor, those from it on, and how many suffixes begin in it, the first and the last of
+    them the earliest with their words in this look. A row without words is a run of windows that begin earlier in it.
     """
     held: list[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray]] = []
     count = size = 0
@@ -149,31 +195,30 @@ def _suffixes(batches: Iterator[pa.RecordBatch], most: int = SUFFIXES) -> Iterat
     def look() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        sizes = [len(h[4]) for h in held]
-        doc = np.repeat(np.arange(len(held)), sizes)
-        ids, v = (np.array([h[k] for h in held], kind)[doc] for k, kind in ((0, np.int64), (1, np.int64)))
-        start, w = (np.concatenate([h[k] for h in held]) for k in (4, 5))
-        order = np.lexsort((start, v, ids, w))
-        first = np.maximum.accumulate(np.where(np.r_[True, w[order][1:] != w[order][:-1]], np.arange(len(order)), 0))
-        words = lambda k: held[doc[k]][2][held[doc[k]][3][start[k]] : held[doc[k]][3][start[k] + WINDOW] - 1]
-        again, repeated = np.zeros(len(order), bool), np.zeros(len(order), bool)
-        for at in np.flatnonzero(first != np.arange(len(order))).tolist():
-            k, earliest = order[at], order[first[at]]
-            if words(k) == words(earliest):
-                again[k] = True
-                # What a repeated row of the table repeats in the same place is no repeat.
-                repeated[k] = ids[k] == ids[earliest] and v[k] == v[earliest] and start[k] == start[earliest]
-        one = np.flatnonzero(~again)
-        for at in range(0, len(one), 100_000):
-            some = one[at : at + 100_000]
-            yield _suffix_rows([words(k) for k in some.tolist()], ids[some], v[some], start[some], np.zeros(len(some)))
-        again &= ~repeated
-        ids, v, start = ids[again], v[again], start[again]
-        if len(ids):
-            order = np.lexsort((start, v, ids))
-            ids, v, start = ids[order], v[order], start[order]
-            begins = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (v[1:] != v[:-1]) | (start[1:] != start[:-1] + 1)])
-            yield _suffix_rows([None] * len(begins), ids[begins], v[begins], start[begins], np.diff(np.r_[begins, len(ids)]))
+        doc = np.repeat(np.arange(len(held)), [len(h[4]) for h in held])
+        ids, v = (np.array([h[k] for h in held], np.int64)[doc] for k in (0, 1))
+        start, place = (np.concatenate([h[k] for h in held]) for k in (4, 5))
+        apart = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]
+        begins = np.flatnonzero(apart)
+        last = np.r_[begins[1:], len(doc)] - 1
+        cut = lambda d, a, b: held[d][2][held[d][3][a] : held[d][3][b] - 1]
+        texts = [cut(d, a, b + WINDOW) for d, a, b in zip(doc[begins].tolist(), start[begins].tolist(), start[last].tolist(), strict=True)]
+        # Each run of windows has WINDOW - 1 more words than windows.
+        at = np.arange(len(doc)) + (WINDOW - 1) * (np.cumsum(apart) - 1)
+        again = later_leaves(path_ranks(word_numbers(pa.array(texts, pa.binary()).cast(pa.string())))[at], ids, v, start)
+        del texts
+        stretch = np.cumsum(apart | np.r_[True, place[1:] != place[:-1]])
+        fresh = np.flatnonzero(~again)
+        edge = stretch[fresh][1:] != stretch[fresh][:-1]
+        ones, ends = fresh[np.r_[True, edge]], fresh[np.r_[edge, True]]
+        for k in range(0, len(ones), 20_000):
+            a, b = ones[k : k + 20_000], ends[k : k + 20_000]
+            where = list(zip(doc[a].tolist(), start[a].tolist(), place[a].tolist(), start[b].tolist(), strict=True))
+            heads = [held[d][2][held[d][3][s] : held[d][3][p]] for d, s, p, _ in where]
+            yield _suffix_rows(heads, [cut(d, p, e + WINDOW) for d, _, p, e in where], ids[a], v[a], start[a], b - a + 1)
+        if again.any():
+            runs = runs_of(ids[again], v[again], start[again])
+            yield _suffix_rows([None] * len(runs[0]), [None] * len(runs[0]), *runs)
         held.clear()
 
     for part in slices(batches, "text", 1 << 20):
@@ -186,14 +231,15 @@ def _suffixes(batches: Iterator[pa.RecordBatch], most: int = SUFFIXES) -> Iterat
             words = hashes[row_words[k] : row_words[k + 1]]
             if len(words) < WINDOW:
                 continue
-            own = data[offsets[k] : offsets[k + 1]].split()
-            text = b" ".join(own)
             known = np.unique(met_values[met_ends[k] : met_ends[k + 1]])
             least, _ = anchors(words)
             start = np.flatnonzero(known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least)
-            w, _ = windows(words, np.array([0, len(words)]), WINDOW, salt=3)
+            if not len(start):
+                continue
+            own = data[offsets[k] : offsets[k + 1]].split()
+            text = b" ".join(own)
             ends = np.r_[0, np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)]
-            held.append((id_, v, text, ends, start.astype(np.int32), w[start].view(np.int64)))
+            held.append((id_, v, text, ends, start.astype(np.int32), anchor_places(words)[start].astype(np.int32)))
             count += len(start)
             size += len(text) + ends.nbytes
         if count > most or size > HELD:
@@ -202,13 +248,51 @@ def _suffixes(batches: Iterator[pa.RecordBatch], most: int = SUFFIXES) -> Iterat
     yield from look()
 
 
-SUFFIX = "words string, id long, v long, start int, length int"
+SUFFIX = "head string, words string, id long, v long, start int, length int"
+RUN = "id long, v long, start int, length int"
 
 
-def _suffix_rows(words: list[bytes | None], *columns: np.ndarray) -> pa.RecordBatch:
+def _suffix_rows(heads: list[bytes | None], words: list[bytes | None], *columns: np.ndarray) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
     numbers = [pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), *numbers], names=["words", "id", "v", "start", "length"])
+    texts = [pa.array(x, pa.binary()).cast(pa.string()) for x in (heads, words)]
+    return pa.RecordBatch.from_arrays([*texts, *numbers], names=["head", "words", "id", "v", "start", "length"])
+
+
+def _run_table(columns: list[np.ndarray]) -> pa.Table:
+    kinds = {"id": pa.int64(), "v": pa.int64(), "start": pa.int32(), "length": pa.int32()}
+    return pa.table({name: pa.array(c.astype(k.to_pandas_dtype()), k) for (name, k), c in zip(kinds.items(), columns, strict=True)})
+
+
+def _stretches(table: pa.Table) -> pa.Table:
+    """A group of stretches: all leaves of its deep nodes but the earliest, as runs of windows."""
+    texts = pc.binary_join_element_wise(table.column("head"), table.column("words"), "").combine_chunks()
+    length = table.column("length").to_numpy().astype(np.int64)
+    which = np.repeat(np.arange(len(length)), length)
+    at = np.arange(len(which))
+    ids, v, start = (table.column(c).to_numpy()[which] for c in ("id", "v", "start"))
+    start = start + (at - (np.cumsum(length) - length)[which])
+    deep = later_leaves(path_ranks(word_numbers(texts))[at + (WINDOW - 1) * which], ids, v, start)
+    return _run_table(runs_of(ids[deep], v[deep], start[deep]))
+
+
+def repeats(stretches: DataFrame) -> DataFrame:
+    """(id, v, start, length) of all windows that begin earlier elsewhere. Groups of more than GROUP suffixes go by longer prefixes, then suffix by suffix."""
+    groups = FINE * max(1, -(-(stretches.agg(F.sum("length")).first()[0] or 0) // GROUP))
+    group_at = lambda n: F.pmod(F.xxhash64(F.substring_index("words", " ", n)), F.lit(groups))
+    out, left = None, stretches
+    for depth in (PREFIX, 2 * PREFIX):
+        left = left.withColumn("group", group_at(depth))
+        full = left.groupBy("group").agg(F.sum("length").alias("k")).where(F.col("k") > GROUP).select("group")
+        full = small_side(materialize(full, "full-stretches", few=True), 16)
+        found = left.join(full, "group", "left_anti").groupBy("group").applyInArrow(_stretches, RUN)
+        out = found if out is None else out.union(found)
+        if full.isEmpty():
+            return out
+        left = left.join(full, "group", "left_semi").drop("group")
+    words = left.select("id", "v", "start", F.split(F.concat("head", "words"), " ").alias("w"), F.posexplode(F.sequence(F.lit(1), "length")).alias("k", "at"))
+    single = words.select(F.array_join(F.slice("w", F.col("at"), F.lit(WINDOW)), " ").alias("words"), "id", "v", (F.col("start") + F.col("k")).alias("start"))
+    return out.union(deep_leaves(materialize(single, "single-suffixes")))
 
 
 def grouped(suffixes: DataFrame) -> DataFrame:
@@ -240,18 +324,14 @@ def _subtree(table: pa.Table) -> pa.Table:
     """A group of suffixes: all leaves of its deep nodes but the earliest, as runs of one window."""
     order, common = suffix_order(table.column("words").combine_chunks())
     ids, v, start = (table.column(c).to_numpy()[order] for c in ("id", "v", "start"))
-    node = np.cumsum(common < WINDOW)  # leaves below one node of depth WINDOW
-    order = np.lexsort((start, v, ids, node))
-    node, ids, v, start = node[order], ids[order], v[order], start[order]
-    first = np.maximum.accumulate(np.where(np.r_[True, node[1:] != node[:-1]], np.arange(len(node)), 0))
-    deep = (ids != ids[first]) | (v != v[first]) | (start != start[first])
-    return pa.table({"id": ids[deep], "v": v[deep], "start": start[deep], "length": np.ones(int(deep.sum()), np.int32)})
+    deep = later_leaves(np.cumsum(common < WINDOW), ids, v, start)  # leaves below one node of depth WINDOW
+    return _run_table([ids[deep], v[deep], start[deep], np.ones(int(deep.sum()))])
 
 
 def deep_leaves(suffixes: DataFrame) -> DataFrame:
     """(id, v, start, length): all suffixes whose WINDOW words begin earlier elsewhere."""
     dealt = grouped(suffixes)
-    out = dealt.where(F.col("depth") < WINDOW).groupBy("depth", "group").applyInArrow(_subtree, "id long, v long, start int, length int")
+    out = dealt.where(F.col("depth") < WINDOW).groupBy("depth", "group").applyInArrow(_subtree, RUN)
     paths = dealt.where(F.col("depth") >= WINDOW)
     at = F.struct("id", "v", "start")
     firsts = paths.groupBy("words").agg(F.min(at).alias("least"))
@@ -319,8 +399,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = _sided(met, total)
     texts = rows.drop("id").join(some, KEY).select("id", "v", "text", "met")
     found = materialize(texts.mapInArrow(lambda batches: _suffixes(batches, least), SUFFIX), "suffixes")
-    suffixes = found.where("length = 0").select("words", "id", "v", "start")
-    runs = deep_leaves(suffixes).union(found.where("length > 0").select("id", "v", "start", "length"))
+    runs = repeats(found.where("words is not null")).union(found.where("words is null").select("id", "v", "start", "length"))
     spans = materialize(merged(runs), "spans", few=True)
     total = spans.agg(F.sum(64 + 8 * F.size("starts"))).first()[0] or 0
     some = _sided(spans.join(one_row, ["id", "v"]), total)

@@ -118,3 +118,40 @@ def test_null_ids_read_each_text_once(spark, monkeypatch):
     removed = sorted((r["n_removed"], r["doc_id"] or 0) for r in rows)
     assert removed[0] == (0, 60) and removed[-2:] == [(28, 0), (28, 81)]  # the least id; copies, of which the one without an id is later
     assert [n for n, _ in removed[1:-2]] == [25] * 79
+
+
+def test_stretches_give_all_repeated_windows(spark, monkeypatch):
+    """The trees alone, of tasks and of groups, report each repeated window; hot anchors are split by longer prefixes, then suffix by suffix."""
+    from stridemap.llm import substring_dedup
+
+    r = random.Random(8)
+    hot = [f"h{k}" for k in range(8)]
+    texts = []
+    for k in range(160):
+        words = [str(r.randrange(40)) for _ in range(r.randrange(30))] + ([] if k % 3 else hot + [r.choice("xy") for _ in range(14)])
+        texts.append(" ".join(words + [str(r.randrange(3)) for _ in range(25)] + [str(x % 7) for x in range(20 + k % 9)]))
+    want, first = set(), {}
+    for k, text in enumerate(texts):
+        words = text.split()
+        for at in range(len(words) - 19):
+            if first.setdefault(tuple(words[at : at + 20]), (k, at)) != (k, at):
+                want.add((k, at))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    made, kept = {}, substring_dedup.materialize
+
+    def spy(df, name, **options):
+        made[name] = kept(df, name, **options)
+        return made[name]
+
+    monkeypatch.setattr(substring_dedup, "materialize", spy)
+    for group, most in ((200_000, 1_000_000), (30, 200)):
+        monkeypatch.setattr(substring_dedup, "GROUP", group)
+        monkeypatch.setattr(substring_dedup, "SUFFIXES", most)
+        made.clear()
+        substring_dedup.substring_dedup(docs)
+        found = made["suffixes"]
+        runs = substring_dedup.repeats(found.where("words is not null")).collect() + found.where("words is null").collect()
+        assert {(x["id"], x["start"] + k) for x in runs for k in range(x["length"])} == want
+        assert ("single-suffixes" in made) == (group == 30)
+        widest = found.where("words is not null").selectExpr("max(size(split(concat(head, words), ' ')))", "max(length)").first()
+        assert widest[0] <= 32 and widest[1] <= 13
