@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridemap import constants as C
+from stridemap.runtime import materialize
 
 
 def carry_walk(records: DataFrame, token: str = "token", run: str = "run", pos: str = "pos") -> DataFrame:
@@ -120,23 +121,32 @@ def clock_drift(ticks: DataFrame, least: float = C.SUSPEND_S) -> DataFrame:
 def accepted_presses(presses: DataFrame, gap_s: float) -> DataFrame:
     """Presses that count: at least ``gap_s`` after the last one that counted (not merely the last one), per run.
 
-    A press more than the gap after its predecessor always counts, so runs are cut there; within a cut the last accepted
-    time is folded over the ordered presses. Needs run, pos, t. The same rule throttles announcements.
+    A press more than the gap after its predecessor always counts, so runs are cut there. Within a cut each press points to the first one that is late enough
+    to count after it, and what the cut's first press reaches along these pointers counts. The pointers are doubled, so a chain of n presses takes log2(n)
+    rounds of joins, and no list of a cut is made. A press without a time counts. Needs run, pos (once a run), t. The same rule throttles announcements.
     """
+    if gap_s <= 0:
+        return presses.select("run", F.col("pos").cast("long").alias("pos"))
     w = Window.partitionBy("run").orderBy("t", "pos")
     cut = F.coalesce((F.col("t") - F.lag("t").over(w) >= gap_s).cast("int"), F.lit(1))
-    rows = presses.withColumn("cut", cut).withColumn("part", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = rows.groupBy("run", "part").agg(F.array_sort(F.collect_list(F.struct("t", "pos"))).alias("all"))
-    start = F.expr("named_struct('last', cast(null as double), 'kept', cast(array() as array<bigint>))")
-
-    def fold(state: Column, press: Column) -> Column:
-        good = state["last"].isNull() | (press["t"] - state["last"] >= gap_s)
-        return F.struct(
-            F.when(good, press["t"].cast("double")).otherwise(state["last"]).alias("last"),
-            F.when(good, F.concat(state["kept"], F.array(press["pos"].cast("bigint")))).otherwise(state["kept"]).alias("kept"),
-        )
-
-    return lists.select("run", F.explode(F.aggregate("all", start, fold, lambda s: s["kept"])).alias("pos"))
+    rows = presses.select("run", F.col("pos").cast("long").alias("pos"), F.col("t").cast("double").alias("t"))
+    rows = rows.withColumn("cut", cut).withColumn("part", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # The end of a press's gap stands among the presses: before those of its own time if they are late enough (t + gap is rounded), else after them.
+    until = F.col("t") + gap_s
+    side = F.when(until - F.col("t") >= gap_s, 0).otherwise(2)
+    ends = rows.select("run", "part", "pos", "cut", until.alias("t"), side.alias("side"), F.lit(None).cast("long").alias("press"))
+    both = ends.union(rows.select("run", "part", "pos", "cut", "t", F.lit(1), "pos"))
+    back = Window.partitionBy("run", "part").orderBy(F.desc("t"), F.desc("side"), F.desc("pos"))
+    both = both.withColumn("next", F.last("press", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    # As structs, so that a run without a name is joined with itself.
+    at, then = F.struct("run", "pos"), F.when(F.col("next").isNotNull(), F.struct("run", F.col("next").alias("pos")))
+    jumps = materialize(both.where("press is null").select("cut", at.alias("at"), then.alias("next")), "jumps")
+    counted, jumps = jumps.where("cut = 1").select("at"), jumps.where("next is not null").select("at", "next")
+    while not jumps.isEmpty():
+        counted = materialize(counted.union(counted.join(jumps, "at").select("next")), "counted", few=True)
+        further = jumps.select(F.col("at").alias("next"), F.col("next").alias("after"))
+        jumps = materialize(jumps.join(further, "next").select("at", F.col("after").alias("next")), "jumps", few=True)
+    return counted.select("at.*")
 
 
 def battery_warnings(readings: DataFrame, thresholds: tuple[int, ...] = C.BATTERY_WARNINGS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from datetime import date, datetime, timedelta, timezone
 
 import pytest
@@ -135,6 +136,25 @@ def test_debounce_counts_from_the_last_accepted(spark):
     assert sorted(r["pos"] for r in scans.accepted_presses(rows, 10.0).collect()) == [0, 2, 4]
 
 
+def test_debounce_by_doubled_pointers(spark):
+    """Long chains, ties, tenths that floats round, runs without a name and presses without a time, against a plain fold; no list in the plan."""
+    draw = random.Random(6)
+    rows = [("long", k, float(k)) for k in range(300)] + [("alike", k, 5.0) for k in range(20)] + [("tenths", k, k / 10) for k in range(120)]
+    rows += [(None, k, draw.randrange(2000) / 10) for k in range(80)] + [("late", 0, None), ("late", 1, 3.0), ("late", 2, 3.1)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "run string, pos long, t double")
+    for gap in (2.5, 0.3, 0.7, 0.0):
+        want, last = [], {}
+        for run, pos, t in sorted(rows, key=lambda x: (x[0] or "", x[2] is not None, x[2] or 0.0, x[1])):
+            if t is None or last.get(run) is None or t - last[run] >= gap:
+                want.append((run or "", pos))
+                last[run] = t
+        got = scans.accepted_presses(df, gap)
+        assert sorted((r["run"] or "", r["pos"]) for r in got.collect()) == sorted(want)
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert scans.accepted_presses(df.where("false"), 2.5).collect() == []
+
+
 def test_log_door(spark, tmp_path):
     p = tmp_path / "log.jsonl"
     p.write_text(
