@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stridemap.functions import exprs
-from stridemap.operators import geo, publish
+from stridemap.operators import geo, plan, publish
 from stridemap.plans.lens import E_SQL, events, waypoints
 from stridemap.sources import sinks
 
@@ -212,6 +212,31 @@ h AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY k DESC) AS nth
 SELECT line_id, round(a_lat + (b_lat - a_lat) * least(1, (goal - (upto - d)) / d), 7) AS lat, round(a_lon + (b_lon - a_lon) * least(1, (goal - (upto - d)) / d), 7) AS lon FROM h WHERE nth = 1"""
 
 
+def plan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a plan of all lines, large enough for legs of 20 m to hold a name, writes their names."""
+    frame = plan.frame_around(_points(spark, sf_dir), 100_000.0)
+    if frame is None:
+        raise ValueError("a plan needs two places")
+    rows = plan.labels(_lines(spark, sf_dir), frame)
+    return rows.select("line_id", "k", *(F.round(c, 4).alias(c) for c in ("x", "y", "angle")))
+
+
+PLAN_LABELS_SQL = (
+    "WITH RECURSIVE "
+    + _LEGS_SQL
+    + """, box AS (SELECT min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e, 200 / 111320.0::DOUBLE AS up, 200 / 111320.0::DOUBLE / greatest(cos(radians(avg(lat))), 0.01) AS aside FROM pts),
+fr AS (SELECT s - greatest((n - s) / 10, up) AS s, n + greatest((n - s) / 10, up) AS n, w - greatest((e - w) / 10, aside) AS w, e + greatest((e - w) / 10, aside) AS e FROM box),
+frame AS (SELECT *, least(greatest(99904 * (n - s) / ((e - w) * greatest(cos(radians((n + s) / 2)), 0.01)) + 96, 300), 200000) AS h FROM fr),
+mid AS (SELECT line_id, k, d, 48 + ((a_lon + b_lon) / 2 - w) / (e - w) * 99904 AS x, 48 + (n - (a_lat + b_lat) / 2) / (n - s) * (h - 96) AS y,
+  (b_lon - a_lon) / (e - w) * 99904 AS dx, (a_lat - b_lat) / (n - s) * (h - 96) AS dy, sum(d) OVER (PARTITION BY line_id ORDER BY k) - d / 2 AS m FROM (SELECT * EXCLUDE (n) FROM leg), frame),
+fit AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY m, k) AS i FROM mid WHERE sqrt(dx * dx + dy * dy) >= length(line_id::VARCHAR) * 4.95 + 8),
+f(line_id, i, last, kept) AS (SELECT line_id, i, m, TRUE FROM fit WHERE i = 1
+  UNION ALL SELECT t.line_id, t.i, CASE WHEN t.m - f.last >= 250 THEN t.m ELSE f.last END, t.m - f.last >= 250 FROM f JOIN fit t ON t.line_id = f.line_id AND t.i = f.i + 1),
+a AS (SELECT line_id, k, x, y, degrees(atan2(dy, dx)) AS g FROM fit JOIN f USING (line_id, i) WHERE kept)
+SELECT line_id, k, round(x, 4) AS x, round(y, 4) AS y, round(CASE WHEN g > 90 THEN g - 180 WHEN g <= -90 THEN g + 180 ELSE g END, 4) AS angle FROM a"""
+)
+
+
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _points(spark, sf_dir)
     return rows.select(F.col("point_id").alias("place_id"), (F.col("lat") + 0.00011).alias("lat"), (F.col("lon") + 0.00013).alias("lon"))
@@ -263,7 +288,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         channels, corner_split, confusable, fold_names, html_line, xml_escape, strip_comment, pseudonyms, public_records, leak_scan, notebook_export, clusters, nearest_pair,
-        polyline_length, point_along, nearest_on_line, block_between, implausible, geojson_crossings,
+        polyline_length, point_along, plan_labels, nearest_on_line, block_between, implausible, geojson_crossings,
     )
 }
 _FOLD = "replace(lower(strip_accents({0})), 'ß', 'ss')"
@@ -280,6 +305,6 @@ ORACLE_SQL = {
         AS escaped_md5 FROM pages""",
     "strip_comment": "SELECT page_id, trim(CASE WHEN page_id % 2 = 0 THEN '#7 ' ELSE '' END || string_split(url, '#')[1]) AS line FROM pages",
     "pseudonyms": PSEUDONYMS_SQL, "public_records": PUBLIC_SQL, "leak_scan": LEAK_SQL, "notebook_export": NOTEBOOK_SQL, "clusters": CLUSTERS_SQL, "nearest_pair": PAIR_SQL,
-    "polyline_length": f"WITH {_LEGS_SQL} SELECT line_id, round(sum(d), 4) AS length_m FROM leg GROUP BY line_id", "point_along": ALONG_SQL, "nearest_on_line": NEAREST_SQL,
+    "polyline_length": f"WITH {_LEGS_SQL} SELECT line_id, round(sum(d), 4) AS length_m FROM leg GROUP BY line_id", "point_along": ALONG_SQL, "plan_labels": PLAN_LABELS_SQL, "nearest_on_line": NEAREST_SQL,
     "implausible": IMPLAUSIBLE_SQL, "geojson_crossings": GEOJSON_SQL,
 }
