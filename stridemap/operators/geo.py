@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stridemap import constants as C
 from stridemap.functions.exprs import distance_m, folded, project
 from stridemap.operators.components import connected_components
+from stridemap.runtime import shuffled
 
 POINT = "struct<lat:double,lon:double>"
 
@@ -179,7 +180,10 @@ def drawn_surroundings(elements: DataFrame) -> DataFrame:
 
 
 def near_pairs(points: DataFrame, reach_m: float, by: list[str]) -> DataFrame:
-    """(by, a, b): pairs of points of one group within reach, through grid cells as wide as the reach. Needs point_id, lat, lon."""
+    """(by, a, b): pairs of points of one group within reach, through grid cells as wide as the reach. Needs point_id, lat, lon.
+
+    The join is always shuffled: of a side that is exploded, Spark's estimate from a file's compressed bytes says nothing.
+    """
     deg = reach_m / 111_000.0
     squeeze = F.greatest(F.cos(F.radians(F.col("lat"))), F.lit(0.01))
     y, x = F.floor(F.col("lat") / deg), F.floor(F.col("lon") * squeeze / deg)
@@ -188,7 +192,7 @@ def near_pairs(points: DataFrame, reach_m: float, by: list[str]) -> DataFrame:
     two = points.select(*by, F.col("point_id").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), y.alias("y0"), x.alias("x0"), around.alias("d"))
     two = two.select(*by, "b", "b_lat", "b_lon", (F.col("y0") + F.col("d.i")).alias("y"), (F.col("x0") + F.col("d.j")).alias("x"))
     gap = distance_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return one.join(two, [*by, "y", "x"]).where("a < b").withColumn("gap_m", gap).where(F.col("gap_m") <= reach_m)
+    return one.join(shuffled(two), [*by, "y", "x"]).where("a < b").withColumn("gap_m", gap).where(F.col("gap_m") <= reach_m)
 
 
 def clusters(points: DataFrame, reach_m: float = C.JUNCTION_CLUSTER_M, by: list[str] | None = None) -> DataFrame:

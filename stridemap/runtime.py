@@ -127,6 +127,11 @@ def keyed(df: DataFrame, *columns: Column | str, scan: bool = False) -> DataFram
     return materialize(numbered, "numbered").withColumn(KEY[0], F.lit(0).cast("long"))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that Spark must not broadcast by its own estimate, which is taken from compressed files before rows are exploded or aggregated."""
+    return df.hint("merge")
+
+
 def small_side(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows times ``row_bytes`` stay under ``limit`` (BROADCAST_BYTES), else as it is.
 
