@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridemap.runtime import materialize
+from stridemap.runtime import materialize, shuffled
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each greater neighbour of a node is tied to the node's least neighbour (or the node)."""
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    joined = both.join(least, "a").where("b > a")
+    joined = both.join(shuffled(least), "a").where("b > a")
     return joined.select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
 
 
@@ -39,6 +39,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
+    joined = down.join(shuffled(least), "a")
     pairs = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", "m"))
     return pairs.where("a <> b").distinct()

@@ -199,7 +199,7 @@ def clusters(points: DataFrame, reach_m: float = C.JUNCTION_CLUSTER_M, by: list[
     """``points`` with ``cluster``: the least point id that steps within reach lead to, inside a group."""
     by = by or []
     found = connected_components(near_pairs(points, reach_m, by).select("a", "b"))
-    return points.join(found.withColumnRenamed("node", "point_id"), "point_id", "left").withColumn("cluster", F.coalesce("component", "point_id")).drop("component")
+    return points.join(shuffled(found.withColumnRenamed("node", "point_id")), "point_id", "left").withColumn("cluster", F.coalesce("component", "point_id")).drop("component")
 
 
 def middles(clustered: DataFrame, by: list[str]) -> DataFrame:

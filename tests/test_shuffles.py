@@ -21,3 +21,15 @@ def points_file(spark, tmp_path, n):
 def test_the_exploded_side_of_near_pairs_is_shuffled(spark, tmp_path):
     said = plan(geo.near_pairs(points_file(spark, tmp_path, 400), 30.0, ["grp"]))
     assert "BroadcastExchange" not in said and "SortMergeJoin" in said
+
+
+def test_cluster_labels_and_stars_are_shuffled(spark, tmp_path):
+    points = points_file(spark, tmp_path, 400)
+    rows = geo.clusters(points, geo.C.JUNCTION_CLUSTER_M, ["grp"])
+    said = plan(rows)
+    assert "BroadcastExchange" not in said and "SortMergeJoin" in said
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "a long, b long")
+    edges.write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    for star in (components._large_star, components._small_star):
+        assert "BroadcastExchange" not in plan(star(edges))
