@@ -392,8 +392,10 @@ def exact_ties(rows: DataFrame, classes: DataFrame, ties: DataFrame) -> DataFram
     heads = materialize(heads.select("candidate", "cls").join(split.select("cls", "n"), "cls"), "heads", few=True)
     groups = heads.groupBy("candidate").agg(F.ceil(F.sum("n") * 1.5 / CAP).alias("groups"))
     heads = heads.join(groups, "candidate").select("candidate", "cls", (-1 - F.pmod(F.xxhash64("cls"), F.col("groups"))).alias("block"))
-    sets = whole.select("cls", "shingles").join(heads, "cls").select(*NAMES)
-    ties = ties.union(searched(sets, "heads-found").select("a", "b"))
+    # Only sets of split candidates are read again, and move only into their groups: the lists that choose them are counted and broadcast.
+    whole = whole.join(large.select("candidate"), "candidate", "left_semi").select("cls", "shingles")
+    heads = small_side(materialize(heads, "heads-placed", few=True), 40)
+    ties = ties.union(searched(whole.join(heads, "cls").select(*NAMES), "heads-found").select("a", "b"))
     # All that isn't in a candidate's largest component is held against every block of sizes that could link with it.
     merged = connected_components(ties)
     placed = split.select("candidate", "cls", "n", "band", "block").join(merged.withColumnRenamed("node", "cls"), "cls", "left")
@@ -409,8 +411,8 @@ def exact_ties(rows: DataFrame, classes: DataFrame, ties: DataFrame) -> DataFram
     cells = materialize(cells.select("candidate", "band", "chunk", "block", "cell"), "cells", few=True)
     ours = rest.join(cells, ["candidate", "band", "chunk"]).select("candidate", "cls", "cell")
     theirs = placed.join(cells.select("candidate", "block", "cell"), ["candidate", "block"]).select("candidate", "cls", "cell")
-    members = ours.union(theirs).distinct().withColumnRenamed("cell", "block")
-    last = searched(whole.select("cls", "shingles").join(members, "cls").select(*NAMES), "rest-found")
+    members = small_side(materialize(ours.union(theirs).distinct().withColumnRenamed("cell", "block"), "members", few=True), 40)
+    last = searched(whole.join(members, "cls").select(*NAMES), "rest-found")
     return ties.union(last.select("a", "b"))
 
 

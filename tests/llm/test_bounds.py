@@ -45,6 +45,27 @@ def test_no_search_of_the_join_is_larger_than_twice_its_cap(spark, monkeypatch,
     assert max(groups) <= 2 * limits[2] and sum(groups) <= 6 * sum(n for n, _ in want)
 
 
+def test_split_candidates_move_only_into_their_groups(spark, monkeypatch):
+    for name, value in (("WIDE", 6), ("LOCAL", 2), ("CAP", 1000)):
+        monkeypatch.setattr(ngram_join, name, value)
+    plans, searched = {}, ngram_join.searched
+
+    def watched(pieces, name):
+        plans[name] = pieces._jdf.queryExecution().executedPlan().toString()
+        return searched(pieces, name)
+
+    monkeypatch.setattr(ngram_join, "searched", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = licensed(160)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(table(spark, texts)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == dict(enumerate(brute_links(texts)))
+    assert set(plans) == {"first", "heads-found", "rest-found"}
+    assert not [name for name, plan in plans.items() if "hashpartitioning" in plan]
+
+
 def test_null_ids_do_not_multiply(spark):
     texts = ["a b c d e f"] * 3 + ["a b c d e f g h i j k l"] * 2 + ["one two three four five six"] * 3
     got = ngram_join.ngram_components(table(spark, texts, [None] * 8)).collect()
