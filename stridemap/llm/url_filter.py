@@ -31,7 +31,7 @@ from stridemap.runtime import BROADCAST_BYTES, materialize
 
 #: Segments of a path that the tree tells apart; least distinct children of a variable node.
 DEPTH, VARIED = 4, 8
-#: Branches of a node that others are held against.
+#: Rounds of leaders that run in any case; more follow while a node has several branches left.
 LEADERS = 2
 #: Weight of the parent's purity; purity without labels; purity from which a template is rejected.
 A, PRIOR, REJECT = 4.0, 0.5, 0.75
@@ -112,16 +112,27 @@ def merged(shaped: DataFrame) -> DataFrame:
             F.sum("n").cast("double").alias("n"), F.sum("labelled").cast("double").alias("l"), F.sum("blocked").cast("double").alias("b")
         )
         cells = materialize(cells, f"cells-{d}", few=True)
-        for k in range(LEADERS):
+        k = 0
+        while k < LEADERS or several_left(cells):
             like = materialize(like_leaders(cells), f"like-{d}-{k}", few=True)
             out = out.join(like, ["host", "node", "child"], "left")
             wild = F.concat("node", F.array(F.concat(F.lit("~"), F.col("leader"))), "tail")
             out = out.withColumn("template", F.when(F.col("several"), wild).otherwise(F.col("template"))).drop("leader", "several")
             cells = cells.join(like.select("host", "node", "child"), ["host", "node", "child"], "left_anti")
+            k += 1
+            if k >= LEADERS:  # plans must not grow with the rounds
+                cells = materialize(cells, f"left-{d}-{k}", few=True)
+            if k > LEADERS:
+                out = materialize(out, f"named-{d}-{k}", few=True)
         shaped = materialize(out.drop("node", "child", "tail"), f"merged-{d}", few=True)
     return shaped
 
 
+def several_left(cells: DataFrame) -> bool:
+    """Whether a node has two branches that no leader took."""
+    return not cells.groupBy("host", "node").agg((F.min("child") < F.max("child")).alias("two")).where("two").isEmpty()
+
+
 def like_leaders(cells: DataFrame) -> DataFrame:
     """(host, node, child, leader, several) of the branches that are like the largest of their node, itself among them.
 
