@@ -7,24 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-
-#: Most bytes of an Arrow batch between the JVM and a Python worker; both hold a few of them at a time. Most rows that a scan holds at once.
-ARROW_BYTES, SCAN_ROWS = 8 << 20, 1024
-_SETTING, _SCAN = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """``df`` itself, after its session's batches are limited to ARROW_BYTES and SCAN_ROWS (less if they were): texts are long rows."""
-    conf = df.sparkSession.conf
-    now = conf.get(_SETTING, "64m").lower().rstrip("b")
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
-    size = int(now.rstrip("kmg") or 0) * unit
-    if size <= 0 or size > ARROW_BYTES:
-        conf.set(_SETTING, str(ARROW_BYTES))
-    if int(conf.get(_SCAN, "4096")) > SCAN_ROWS:
-        conf.set(_SCAN, str(SCAN_ROWS))
-    return df
+
+from stridemap.runtime import bounded  # noqa: F401  the operators take it from here
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stridemap.functions import exprs
 from stridemap.operators import geo, plan, publish
 from stridemap.plans.lens import E_SQL, events, waypoints
+from stridemap.runtime import bounded
 from stridemap.sources import sinks
 
 #: A key for the queries below; a real export has its own.
@@ -59,7 +60,7 @@ def confusable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", exprs.folded(F.col("text")).alias("folded"))
+    return bounded(docs).select("doc_id", exprs.folded(F.col("text")).alias("folded"))
 
 
 def html_line(spark: SparkSession, sf_dir: str) -> DataFrame:
