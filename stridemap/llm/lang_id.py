@@ -29,6 +29,8 @@ from stridemap.llm.batches import bounded, slices, text_bytes
 
 #: Elements of a vector; classes that hash the code points' letters.
 DIMENSIONS, CLASSES = 2048, 1024
+#: Trigram vectors, and cells of a matrix of counts, that a task holds at a time.
+VECTORS, CELLS = 1024, 4_000_000
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -77,21 +79,23 @@ def trigrams(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise ValueError("text is not valid UTF-8")
     # With a gap before and after each text, and no two gaps together.
     letters = np.zeros(len(codes) + rows + 1, dtype=np.uint16)
-    row = np.repeat(np.arange(rows), np.diff(ends))
-    letters[np.arange(len(codes)) + row + 1] = letter_classes()[codes]
-    owner = np.zeros(len(letters), dtype=np.int64)
-    owner[np.arange(len(codes)) + row + 1] = row
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(ends))
+    at = np.arange(1, len(codes) + 1, dtype=np.int64) + row
+    letters[at] = letter_classes()[codes]
+    owner = np.zeros(len(letters), dtype=np.int32)
+    owner[at] = row
     owner[ends[1:] + np.arange(1, rows + 1)] = np.arange(rows)
+    del codes, heads, row, at
     keep = letters != 0
     keep[1:] |= letters[:-1] != 0
     keep[0] = True
-    letters, owner = letters[keep].astype(np.int64), owner[keep]
+    letters, owner = letters[keep].astype(np.int32), owner[keep]
     if len(letters) < 3:
         empty = np.empty(0, np.int64)
         return empty, empty, empty
-    grams = letters[:-2] << 20 | letters[1:-1] << 10 | letters[2:]
     whole = letters[1:-1] != 0  # the middle is a letter, so that both neighbours are of the same text
-    key, counts = np.unique(owner[1:-1][whole] << 30 | grams[whole], return_counts=True)
+    grams = (letters[:-2] << 20 | letters[1:-1] << 10 | letters[2:])[whole]
+    key, counts = np.unique(owner[1:-1][whole].astype(np.int64) << 30 | grams, return_counts=True)
     return key >> 30, key & (1 << 30) - 1, counts
 
 
@@ -101,10 +105,17 @@ def bundles(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(part), DIMENSIONS), dtype=np.float32)
     if len(rows):
         distinct, at = np.unique(grams, return_inverse=True)
-        matrix = np.zeros((len(part), len(distinct)), dtype=np.float32)
-        matrix[rows, at] = counts
-        for k in range(0, len(distinct), 4096):
-            out += matrix[:, k : k + 4096] @ trigram_vectors(distinct[k : k + 4096])
+        # Columns in order, and as many rows at a time as CELLS allow: a slice of very short texts has very many.
+        step = max(1, CELLS // min(len(distinct), VECTORS))
+        for k in range(0, len(distinct), VECTORS):
+            vectors = trigram_vectors(distinct[k : k + VECTORS])
+            mine = (at >= k) & (at < k + VECTORS)
+            r, c, n = rows[mine], at[mine] - k, counts[mine]
+            for i in range(0, len(part), step):
+                some = slice(*np.searchsorted(r, (i, i + step)))
+                matrix = np.zeros((min(step, len(part) - i), len(vectors)), dtype=np.float32)
+                matrix[r[some] - i, c[some]] = n[some]
+                out[i : i + step] += matrix @ vectors
     return out, np.bincount(rows, weights=counts, minlength=len(part))
 
 
@@ -119,8 +130,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             distinct, at = np.unique(grams[own], return_inverse=True)
             total = np.bincount(at, weights=counts[own], minlength=len(distinct))
             vector = sums.setdefault(lang, np.zeros(DIMENSIONS))
-            for j in range(0, len(distinct), 4096):
-                vector += total[j : j + 4096].astype(np.float32) @ trigram_vectors(distinct[j : j + 4096])
+            for j in range(0, len(distinct), VECTORS):
+                vector += total[j : j + VECTORS].astype(np.float32) @ trigram_vectors(distinct[j : j + VECTORS])
     if sums:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
